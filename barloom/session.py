@@ -24,7 +24,7 @@ def get_session(app: str = "barloom", cpus: str | int = "*", **conf: str) -> Spa
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
