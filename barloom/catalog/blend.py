@@ -89,3 +89,10 @@ def _(spark, sf):
     return out.select("series_id", "fold", "bar_date", "alpha", "pred", "actual")
 
 
+
+
+@query("preprocess_pipeline")
+def _(spark, sf):
+    from barloom.operators.preprocess import preprocess_pipeline
+
+    return preprocess_pipeline(fx.bars_priority(spark, sf))[0]

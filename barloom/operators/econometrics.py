@@ -19,6 +19,7 @@ from barloom.functions.columns import equi, ratio
 from barloom.operators.features import difference
 from barloom.plans.moments import Moments, gaussian_llf, lag_moments, lag_names, lag_products, standardise
 from barloom.plans.panel import IDX, KEYS, mapped, row_index, running, windowed
+from barloom.session import cut_lineage
 
 LEVEL, MIN_OBS = 0.05, 20
 # Fixed values, published: MacKinnon (1994) response surfaces for one and two variables, constant case.
@@ -55,9 +56,9 @@ def tau_p_value(stat: float, n_vars: int = 1) -> float:
 
 
 def prepared(df: DataFrame, value: str, keys: Sequence[str], order: str = IDX) -> DataFrame:
-    """Non-null values with a gap-free position and the length per key."""
+    """Non-null values with a gap-free position and the length per key, written once: the tests read them several times."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(order).alias("_o"), F.col(value).alias("y"))
-    return row_index(rows, keys, "_o", length="n_rows").drop("_o")
+    return cut_lineage(row_index(rows, keys, "_o", length="n_rows").drop("_o"))
 
 
 # --- unit roots
@@ -280,7 +281,7 @@ def _wide_moments(df: DataFrame, y: str, xs: Sequence[str], keys: list[str], ord
     """One row per key: moments of the standardised columns and their means and deviations."""
     names = [f"x{chr(97 + i)}" for i in range(len(xs))]
     rows = df.select(*keys, F.col(order).alias("_o"), F.col(y).alias("y"), *[F.col(c).alias(n) for c, n in zip(xs, names)]).na.drop(subset=["y", *names])
-    rows = row_index(rows, keys, "_o").drop("_o")
+    rows = cut_lineage(row_index(rows, keys, "_o").drop("_o"))
     z = standardise(rows, ["y", *names], keys)
     m = lag_moments(z, [f"z_{c}" for c in ("y", *names)], lag, keys, size=size)
     stats = rows.groupBy(*keys).agg(
@@ -498,7 +499,7 @@ def arma_order_select(
     """ARMA order and parameters per key, or per nested training segment of every key; default AR(1)."""
     keys = list(keys)
     rows = df.filter(F.col(ret).isNotNull()).select(*keys, F.col(IDX).alias("_o"), F.col(ret).alias("y"), *([segment] if segment else []))
-    rows = row_index(rows, keys, "_o").drop("_o")
+    rows = cut_lineage(row_index(rows, keys, "_o").drop("_o"))
     z = standardise(rows, ["y"], keys)
     m = lag_moments(z, ["z_y"], long_ar + max_q, keys, segment=segment, n_segments=n_segments, size=size)
     one = equi(m, z.groupBy(*keys).agg(F.first("mean_y").alias("mean"), F.first("sd_y").alias("sd")), keys)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators.folds import N_FOLDS, apply_scaler, fit_scaler
+from barloom.session import cut_lineage
 
 
 def scaled_samples(folded: DataFrame, cols: Sequence[str], by: Sequence[str] = ("fold",)) -> DataFrame:
@@ -26,7 +27,8 @@ def scaled_samples(folded: DataFrame, cols: Sequence[str], by: Sequence[str] = (
 
 def ml_return_forecast(samples: DataFrame, cols: Sequence[str], kind: str = "linear", reg: float = 1e-3, n_folds: int = N_FOLDS) -> DataFrame:
     """Test-row forecasts per fold: one distributed model fit per fold on its training rows."""
-    x = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(samples)
+    # every fold reads the samples again: write them once
+    x = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(cut_lineage(samples))
     args = {"featuresCol": "_x", "labelCol": "actual", "predictionCol": "pred"}
     parts = []
     for k in range(1, n_folds + 1):  # a handful of folds; every fit is a distributed job
@@ -45,6 +47,7 @@ def bagged_samples(
     task draws the same weights. Weighted cross-products are summed map-side; one small solve per member.
     """
     k = len(cols) + 1
+    samples = cut_lineage(samples)  # read for training and for scoring
     v = F.array(F.lit(1.0), *cols)
     train = samples.filter("role = 'train'")
     member = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))

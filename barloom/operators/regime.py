@@ -184,7 +184,7 @@ def hmm_fit(
     the same iterations with distributed expectation steps.
     """
     keys, cols = list(keys), list(cols)
-    rows = df.select(*keys, IDX, *cols)
+    rows = cut_lineage(df.select(*keys, IDX, *cols))  # counted, then fitted
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     small = equi(rows, sizes.filter(F.col("_n") <= max_rows).drop("_n"), keys, "left_semi")
     schema = T.StructType([rows.schema[k] for k in keys] + PARAM_FIELDS + STAT_FIELDS)
@@ -198,7 +198,7 @@ def hmm_fit(
     large = sizes.filter(F.col("_n") > max_rows).drop("_n")
     if not large.limit(1).count():
         return fitted
-    big = cut_lineage(equi(rows, large, keys, "left_semi"))
+    big = equi(rows, large, keys, "left_semi")
     return fitted.unionByName(_fit_distributed(big, cols, keys, n_states, iters, tol, CHUNK_ROWS))
 
 
