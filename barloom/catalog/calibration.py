@@ -9,6 +9,7 @@ from barloom.catalog.folds import EXPANDED
 from barloom.operators import calibration as cal, drift, features as ft, folds
 from barloom.plans.panel import windowed
 from barloom.plans.quantiles import exact_quantiles
+from barloom.session import cut_lineage
 
 ROW = ["series_id", "fold", "bar_date"]
 _Q = ", ".join(f"quantile_cont(value, {a!r}::DOUBLE) AS lower_{t}, quantile_cont(value, {b!r}::DOUBLE) AS upper_{t}" for t, a, b in [(f"{round(c * 100)}", (1 - c) / 2, 1 - (1 - c) / 2) for c in cal.LEVELS])
@@ -103,7 +104,7 @@ def feature_long(spark, sf):
         )
 
     df = windowed(panel(spark, sf), build, back=21)
-    df = rounded(df, 9, *_VARS)
+    df = cut_lineage(rounded(df, 9, *_VARS).select("series_id", "row_idx", "n_rows", *_VARS))  # features once, read per pass
     ex = folds.expand_folds(df).filter("role <> 'val'").withColumn("is_reference", F.col("role") == "train")
     return drift.long_features(ex, ["fold", "is_reference"], _VARS)
 

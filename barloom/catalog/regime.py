@@ -24,6 +24,7 @@ def observations(spark, sf):
 def pinned(df):
     arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
     names = [f.name for f in regime.PARAM_FIELDS]
+    """One parameter row per series of `df`."""
     return df.select("series_id").distinct().select("series_id", *[arr(v).alias(n) for v, n in zip(PINNED, names)])
 
 

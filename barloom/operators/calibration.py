@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import as_col, equi
 from barloom.functions.special import kolmogorov_p
 from barloom.plans.quantiles import ranked_values
+from barloom.session import cut_lineage
 
 LEVELS = (0.5, 0.8, 0.9)
 # Inner edges of ten equal bins on [0, 1] as doubles (note 0.30000000000000004).
@@ -101,7 +102,7 @@ def calibration_report(
     with_p: bool = True,
 ) -> DataFrame:
     """One row per key: counts, coverage per level, PIT histogram, KS statistic, mean sample deviation."""
-    rows = sample_summary(samples, actuals, row_keys, levels)
+    rows = cut_lineage(sample_summary(samples, actuals, row_keys, levels))  # one row per forecast, read twice
     cover = [
         F.avg(F.col("actual").between(F.col(f"lower_{_tag(c)}"), F.col(f"upper_{_tag(c)}")).cast("double")).alias(
             f"coverage_{_tag(c)}"

@@ -74,7 +74,10 @@ def psi_from_counts(counts: DataFrame, by: Sequence[str], epsilon: float = EPSIL
 
 
 def psi(long: DataFrame, by: Sequence[str], buckets: int = BUCKETS, epsilon: float = EPSILON, edges: DataFrame | None = None) -> DataFrame:
-    """`long`: by..., value, is_reference. Edges come from the reference side unless given."""
+    """`long`: by..., value, is_reference. Edges come from the reference side unless given.
+
+    `long` is read three times (sketch, ranks, bucket counts): unpivot it from a written feature table.
+    """
     if edges is None:
         edges = psi_edges(long.filter("is_reference"), by, buckets)
     return psi_from_counts(bucket_counts(long, edges, by), by, epsilon)

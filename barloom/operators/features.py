@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import as_col, clip, finite_or_zero, ratio
@@ -132,23 +132,45 @@ def inverse_difference(
     return running(first, {"_acc": ("sum", "_d1")}, keys).withColumn(out, as_col(level) + F.col("_acc")).drop("_d1", "_acc")
 
 
+def moving_means(df: DataFrame, w: WindowSpec, specs: dict[str, tuple[str, int]], full: bool = True) -> DataFrame:
+    """Moving averages name -> (column, n) by differencing running sums: constant work per row.
+
+    A sliding frame re-adds its n rows for every row. The sums are of deviations from the chunk's first
+    value, so they stay small and the difference keeps its digits. full=True needs n non-null rows.
+    """
+    cols = {c for c, _ in specs.values()}
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_base_{c}": F.first(c, True).over(run) for c in cols})
+    df = df.withColumns({f"_sum_{c}": F.sum(F.col(c) - F.col(f"_base_{c}")).over(run) for c in cols})
+    df = df.withColumns({f"_cnt_{c}": F.count(c).over(run) for c in cols})
+    out = {}
+    for name, (c, n) in specs.items():
+        s = F.col(f"_sum_{c}") - F.coalesce(F.lag(f"_sum_{c}", n).over(w), F.lit(0.0))
+        k = F.col(f"_cnt_{c}") - F.lag(f"_cnt_{c}", n, 0).over(w)
+        out[name] = F.when(k == n if full else k > 0, F.col(f"_base_{c}") + s / F.nullif(k, F.lit(0)))
+    return df.withColumns(out).drop(*[f"_{p}_{c}" for c in cols for p in ("base", "sum", "cnt")])
+
+
 def price_features(df: DataFrame, w: WindowSpec) -> DataFrame:
     """All non-recursive bar features; reaches back 199 rows."""
     df = df.withColumns({f"ret_{n}d": pct_change("close", w, n) for n in (1, 5, 10, 21)})
-    return df.withColumns(
+    means = {f"_m{n}": ("close", n) for n in (10, 20, 50, 200)} | {"_mv": ("volume", 20)}
+    df = moving_means(df, w, means)
+    df = df.withColumns(
         {
             "BB_Width": bollinger_width("close", w),
             "MOM": momentum("close", w),
             "ROC": rate_of_change("close", w),
             **{f"vol_{n}d": realised_vol("ret_1d", w, n) for n in (5, 10, 21)},
-            **{f"sma{n}_ratio": sma_ratio("close", w, n) for n in (10, 20, 50, 200)},
+            **{f"sma{n}_ratio": clip(ratio("close", f"_m{n}") - 1.0, -0.5, 0.5) for n in (10, 20, 50, 200)},
             "overnight_gap": overnight_gap(w),
             "intraday_range": intraday_range(),
             "close_position": close_position(),
-            "volume_ratio": volume_ratio(w),
+            "volume_ratio": clip(ratio("volume", "_mv"), 0.0, 10.0),
             **calendar(),
         }
     )
+    return df.drop(*means)
 
 
 def macro_features(df: DataFrame, w: WindowSpec, names: Sequence[str]) -> DataFrame:

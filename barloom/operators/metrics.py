@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import equi, ratio
 from barloom.plans.panel import CHUNK, IDX, MIN_CHUNK, windowed
+from barloom.session import cut_lineage
 
 PERIODS, RISK_FREE, COST_BPS = 252, 0.02, 10.0
 ANNUAL = PERIODS**0.5
@@ -114,7 +115,8 @@ def backtest(df: DataFrame, keys: Sequence[str], cost_bps: float = COST_BPS) ->
     the equity peak starts at the first equity value.
     """
     daily = RISK_FREE / PERIODS
-    path = drawdown_path(strategy_returns(df, keys, cost_bps), ["strat", "actual"], keys)
+    flows = cut_lineage(strategy_returns(df, keys, cost_bps).select(*keys, IDX, "strat", "actual"))  # read by both scan levels
+    path = drawdown_path(flows, ["strat", "actual"], keys)
     s, ex = F.col("strat"), F.col("strat") - daily
     down = F.when(ex < 0, ex)
     agg = path.groupBy(*keys).agg(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import equi
-from barloom.plans.panel import CHUNK, IDX, KEYS, chunk_size, haloed, mapped, owned
+from barloom.plans.panel import CHUNK, IDX, KEYS, chunk_size, haloed, in_order, mapped, owned
 
 FORGET = 1e-30
 RSI_PERIOD, MACD_SPANS, ATR_SPAN, ADX_SPAN = 14, (12, 26, 9), 14, 14
@@ -140,7 +140,7 @@ def add_indicators(
     fast, slow, signal = MACD_SPANS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, ignore_index=True)
+        pdf = in_order(pdf)
         mine = pdf["_owned"].to_numpy()
         if not mine.any():
             return pdf.reindex(columns=names).iloc[:0]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import equi
-from barloom.plans.panel import CHUNK, IDX, KEYS
+from barloom.plans.panel import CHUNK, IDX, KEYS, in_order
 from barloom.session import cut_lineage
 
 N_STATES, N_ITER, TOL = 2, 200, 1e-3
@@ -190,7 +190,7 @@ def hmm_fit(
     schema = T.StructType([rows.schema[k] for k in keys] + PARAM_FIELDS + STAT_FIELDS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, ignore_index=True)
+        pdf = in_order(pdf)
         p, llf, used = fit_array(_matrix(pdf, cols), n_states, iters, tol)
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *p.flat(), llf, used, len(pdf)]], columns=schema.fieldNames())
 
@@ -229,7 +229,7 @@ def _fit_distributed(rows: DataFrame, cols: list[str], keys: list[str], k: int,
     out_schema = T.StructType(key_fields + [T.StructField("_var", _A)] + PARAM_FIELDS + STAT_FIELDS + [T.StructField("done", T.BooleanType())])
 
     def expect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, ignore_index=True)
+        pdf = in_order(pdf)
         row = pdf.iloc[0]
         stats = _expect(_matrix(pdf, cols), _params_of(row), np.asarray(row["_in"]), np.asarray(row["_out"]), pdf[IDX].iloc[0] == 0)
         return pd.DataFrame([[*[row[c] for c in keys], stats]], columns=stat_schema.fieldNames())
@@ -266,7 +266,7 @@ def _carries(chunked: DataFrame, params: DataFrame, cols: list[str], keys: list[
     carry_schema = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("_in", _A), T.StructField("_out", _A)])
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, ignore_index=True)
+        pdf = in_order(pdf)
         m, _ = step_matrices(_matrix(pdf, cols), _params_of(pdf.iloc[0]), pdf[IDX].iloc[0] == 0)
         return pd.DataFrame([[*[pdf[c].iloc[0] for c in keys], pdf[CHUNK].iloc[0], product(m).ravel()]], columns=prod_schema.fieldNames())
 
@@ -293,7 +293,8 @@ def high_vol_state(params: DataFrame, vol_col: int = 0, n_states: int = N_STATES
 
 def _posteriors(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Sequence[str], size: int, smooth: bool, out: str) -> DataFrame:
     keys, cols = list(keys), list(cols)
-    chunked = df.withColumn(CHUNK, F.expr(f"{IDX} div {size}"))
+    # read by the carries and by the posterior pass
+    chunked = cut_lineage(df).withColumn(CHUNK, F.expr(f"{IDX} div {size}"))
     slim = chunked.select(*keys, IDX, CHUNK, *cols)
     carried = _carries(slim, params, cols, keys, size)
     names = [f.name for f in PARAM_FIELDS]
@@ -301,7 +302,7 @@ def _posteriors(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Seq
     schema = T.StructType([*df.schema.fields, T.StructField(out, _A)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, ignore_index=True)
+        pdf = in_order(pdf)
         row = pdf.iloc[0]
         m, _ = step_matrices(_matrix(pdf, cols), _params_of(row), pdf[IDX].iloc[0] == 0)
         p = forward(np.asarray(row["_in"]), m)
@@ -348,7 +349,7 @@ def _path(score: np.ndarray, logm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hmm_viterbi(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, size: int = CHUNK_ROWS) -> DataFrame:
     """`noncausal_state`: the most likely state path over the whole series. Diagnostics only."""
     keys, cols = list(keys), list(cols)
-    chunked = df.withColumn(CHUNK, F.expr(f"{IDX} div {size}"))
+    chunked = cut_lineage(df).withColumn(CHUNK, F.expr(f"{IDX} div {size}"))
     names = [f.name for f in PARAM_FIELDS]
     ready = equi(chunked.select(*keys, IDX, CHUNK, *cols), params.select(*keys, *names), keys)
     key_fields = [df.schema[c] for c in keys]
@@ -360,7 +361,7 @@ def hmm_viterbi(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Seq
         return np.log(np.maximum(m, 1e-300))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, ignore_index=True)
+        pdf = in_order(pdf)
         logm = logs(pdf)
         k = logm.shape[1]
         # entering in state i for sure, for each i: best score of leaving in state j
@@ -388,7 +389,7 @@ def hmm_viterbi(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Seq
     schema = T.StructType([*df.schema.fields, T.StructField("noncausal_state", T.IntegerType())])
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX, ignore_index=True)
+        pdf = in_order(pdf)
         _, back = _path(np.asarray(pdf["_in"].iloc[0], dtype=float), logs(pdf))
         states, state = np.empty(len(pdf), dtype=np.int32), int(pdf["_last"].iloc[0])
         for t in range(len(pdf) - 1, -1, -1):

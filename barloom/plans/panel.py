@@ -110,6 +110,11 @@ def windowed(
     return build(haloed(df, size, back, ahead), w).filter(owned(size)).drop(CHUNK)
 
 
+def in_order(pdf, order: str = IDX):
+    """The chunk by position; chunks coming straight from a window are sorted already."""
+    return pdf if pdf[order].is_monotonic_increasing else pdf.sort_values(order, ignore_index=True)
+
+
 def mapped(
     df: DataFrame,
     fn: Callable,
@@ -124,7 +129,7 @@ def mapped(
     cut = haloed(df, size, back, ahead).withColumn("_owned", owned(size))
 
     def run(pdf):
-        return fn(pdf.sort_values(IDX, ignore_index=True))
+        return fn(in_order(pdf))
 
     return cut.groupBy(*keys, CHUNK).applyInPandas(run, schema)
 
