@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.columns import equi
-from barloom.plans.panel import IDX, KEYS, row_index, running
+from barloom.plans.panel import KEYS, running
 
 
 def outer_join_series(long: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -16,10 +17,18 @@ def outer_join_series(long: DataFrame, names: Sequence[str]) -> DataFrame:
     return long.groupBy("obs_date").pivot("name", list(names)).agg(F.first("value", ignorenulls=True))
 
 
+def _calendar_window(order: str):
+    """Order of a table with one row per calendar day: its size is bounded by the days it spans."""
+    return Window.partitionBy(F.lit(0)).orderBy(order)
+
+
 def ffill_dates(wide: DataFrame, cols: Sequence[str], order: str = "obs_date") -> DataFrame:
-    """Forward fill a keyless date-indexed table, chunk by chunk."""
-    keyed = wide.withColumn("_all", F.lit(0))
-    return running(keyed, {c: ("last", F.col(c)) for c in cols}, ["_all"], [order]).select(order, *cols)
+    """Forward fill a table with one row per date."""
+    if not isinstance(wide.schema[order].dataType, T.DateType):
+        keyed = wide.withColumn("_all", F.lit(0))
+        return running(keyed, {c: ("last", F.col(c)) for c in cols}, ["_all"], [order]).select(order, *cols)
+    w = _calendar_window(order).rowsBetween(Window.unboundedPreceding, 0)
+    return wide.select(order, *[F.last(c, True).over(w).alias(c) for c in cols])
 
 
 def asof_align(
@@ -53,13 +62,9 @@ def align_macro(df: DataFrame, macro: DataFrame, on: str = "bar_date") -> DataFr
     the as-of join into an equi-join on the date. Values must already be forward filled.
     """
     cols = [c for c in macro.columns if c != "obs_date"]
-    keyed = row_index(macro.withColumn("_all", F.lit(0)), ["_all"], "obs_date")
-    ends = keyed.select(
-        (F.col(IDX) - 1).alias(IDX), F.col("obs_date").alias("_next")
-    ).filter(F.col(IDX) >= 0)
     horizon = df.agg(F.max(on).alias("_horizon")).withColumn("_all", F.lit(0))  # one row
     spans = (
-        keyed.join(ends, IDX, "left")
+        macro.select("obs_date", *cols, F.lead("obs_date").over(_calendar_window("obs_date")).alias("_next"), F.lit(0).alias("_all"))
         .join(F.broadcast(horizon), "_all")
         .withColumn("_last", F.coalesce(F.date_sub("_next", 1), F.greatest("obs_date", "_horizon")))
     )
