@@ -264,7 +264,7 @@ def confusion_matrix(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def coverage_of(df: DataFrame, lower: str, upper: str) -> Column:
+def coverage_of(lower: str, upper: str) -> Column:
     return F.avg(F.col("actual").between(F.col(lower), F.col(upper)).cast("double"))
 
 
