@@ -66,7 +66,7 @@ RETURNS = PANEL + f""", rets AS (
          lead(close) OVER ({W}) AS nxt FROM panel)"""
 MACRO_LONG = """macro AS (
   SELECT CAST(l_shipdate AS DATE) AS obs_date, avg(l_quantity) AS VIX, 100 * avg(l_discount) AS TNX,
-         100 * avg(l_tax) AS IRX, avg(l_extendedprice) / 1000 AS DXY, max(l_extendedprice) / 100 AS GLD,
+         100 * avg(l_tax) AS IRX, sum(l_extendedprice) / 1000 AS DXY, max(l_extendedprice) / 100 AS GLD,
          min(l_extendedprice) / 10 AS TLT FROM lineitem GROUP BY 1)"""
 FOLDS = """sizes AS (SELECT series_id, count(*) AS n FROM bars GROUP BY 1),
 first_part AS (SELECT *, CAST(floor(n * 0.55::DOUBLE) AS BIGINT) AS initial FROM sizes),

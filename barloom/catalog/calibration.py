@@ -93,8 +93,8 @@ _LONG = f"""{RETURNS}, {EXPANDED}, fv AS (SELECT series_id, row_idx, {', '.join(
   edges AS (SELECT fold, feature, CASE WHEN len(e) >= 3 THEN list_sort(e)[2:len(e) - 1] ELSE [mn, mx] END AS inner_edges FROM q)"""
 
 
-def feature_long(spark, sf):
-    """fold, feature, value, is_reference over the train and test rows of every fold."""
+def fold_features(spark, sf):
+    """fold, is_reference and the features over the train and test rows of every fold."""
 
     def build(d, w):
         d = d.withColumn("ret_1d", ft.pct_change("close", w))
@@ -105,8 +105,11 @@ def feature_long(spark, sf):
 
     df = windowed(panel(spark, sf), build, back=21)
     df = cut_lineage(rounded(df, 9, *_VARS).select("series_id", "row_idx", "n_rows", *_VARS))  # features once, read per pass
-    ex = folds.expand_folds(df).filter("role <> 'val'").withColumn("is_reference", F.col("role") == "train")
-    return drift.long_features(ex, ["fold", "is_reference"], _VARS)
+    return folds.expand_folds(df).filter("role <> 'val'").withColumn("is_reference", F.col("role") == "train")
+
+
+def feature_long(spark, sf):
+    return drift.long_features(fold_features(spark, sf), ["fold", "is_reference"], _VARS)
 
 
 @query("psi_edges", f"WITH {_LONG}, x AS (SELECT fold, feature, unnest(inner_edges) AS edge, generate_subscripts(inner_edges, 1) - 1 AS pos FROM edges) SELECT fold, feature, pos, round(edge, 10) AS edge FROM x")
@@ -128,7 +131,7 @@ _PSI = _LONG + """, bk AS (SELECT l.fold, l.feature, l.is_reference, len(list_fi
 
 @query("psi", f"WITH {_PSI} SELECT fold, feature, round(psi, 8) AS psi, n_reference, n_current, n_buckets, is_saturated FROM psi")
 def _(spark, sf):
-    return rounded(drift.psi(feature_long(spark, sf), ["fold", "feature"]), 8)
+    return rounded(drift.psi_features(fold_features(spark, sf), ["fold"], _VARS), 8)
 
 
 @query("psi_report", f"WITH {_PSI} SELECT fold, feature, round(psi, 8) AS psi, status FROM rep")
@@ -140,5 +143,6 @@ def _(spark, sf):
   SELECT fold, count(*) FILTER (status = 'alert') AS n_alert, count(*) FILTER (status = 'moderate_drift') AS n_moderate, round(max(psi), 8) AS psi_max,
     string_agg(feature, ',' ORDER BY k) FILTER (k <= 5) AS top_features FROM rk GROUP BY 1""")
 def _(spark, sf):
-    s = drift.psi_summary(drift.psi_report(feature_long(spark, sf), ["fold", "feature"]), ["fold"])
+    report = drift.ranked_report(drift.psi_features(fold_features(spark, sf), ["fold"], _VARS), ["fold", "feature"])
+    s = drift.psi_summary(report, ["fold"])
     return rounded(s.withColumn("top_features", F.array_join("top_features", ",")), 8)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import equi, finite
-from barloom.plans.quantiles import exact_quantiles
+from barloom.plans.quantiles import ACCURACY, count_below, exact_quantiles, feature_quantiles
 
 BUCKETS, EPSILON, ALERT, MODERATE = 10, 1e-4, 0.25, 0.10
 
@@ -24,22 +24,29 @@ def psi_edges(reference: DataFrame, by: Sequence[str], buckets: int = BUCKETS) -
 
     Fewer than three unique edges leave the two extremes as inner edges.
     """
-    probs = [i / buckets for i in range(buckets + 1)]
-    q = exact_quantiles(reference, by, "value", probs, "_q").withColumn("_e", F.array_distinct("_q"))
+    return _inner_edges(exact_quantiles(reference, by, "value", _deciles(buckets), "_q"), by)
+
+
+def _deciles(buckets: int) -> list[float]:
+    return [i / buckets for i in range(buckets + 1)]
+
+
+def _inner_edges(q: DataFrame, by: Sequence[str]) -> DataFrame:
+    q = q.withColumn("_e", F.array_distinct("_q"))
     wide = F.slice("_e", F.lit(2), F.size("_e") - 2)
     narrow = F.array(F.array_min("_q"), F.array_max("_q"))
     return q.select(*by, F.when(F.size("_e") >= 3, wide).otherwise(narrow).alias("inner_edges"))
 
 
-def bucket_of(value: str = "value", edges: str = "inner_edges") -> Column:
-    return F.size(F.filter(edges, lambda e: e <= F.col(value)))
+def bucket_of(value: str = "value", edges: str = "inner_edges", buckets: int = BUCKETS) -> Column:
+    return count_below(edges, buckets - 1, lambda e: e <= F.col(value))
 
 
-def bucket_counts(long: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
+def bucket_counts(long: DataFrame, edges: DataFrame, by: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """by..., is_reference, bucket, n - `long` carries the boolean is_reference."""
     return (
         equi(long, edges, list(by))
-        .groupBy(*by, "is_reference", bucket_of().alias("bucket"), F.size("inner_edges").alias("last_bucket"))
+        .groupBy(*by, "is_reference", bucket_of(buckets=max(buckets, 3)).alias("bucket"), F.size("inner_edges").alias("last_bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -80,7 +87,22 @@ def psi(long: DataFrame, by: Sequence[str], buckets: int = BUCKETS, epsilon: flo
     """
     if edges is None:
         edges = psi_edges(long.filter("is_reference"), by, buckets)
-    return psi_from_counts(bucket_counts(long, edges, by), by, epsilon)
+    return psi_from_counts(bucket_counts(long, edges, by, buckets), by, epsilon)
+
+
+def psi_features(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], buckets: int = BUCKETS, epsilon: float = EPSILON, accuracy: int = ACCURACY
+) -> DataFrame:
+    """PSI per key and feature of a wide table with the boolean is_reference; absent columns are skipped.
+
+    `df` is read three times (sketch, ranks, bucket counts): derive it cheaply from a written feature table.
+    """
+    by, have = list(by), [c for c in cols if c in df.columns]
+    clean = df.select(*by, "is_reference", *[finite(c).alias(c) for c in have])
+    q = feature_quantiles(clean.filter("is_reference"), by, have, _deciles(buckets), "_q", accuracy)
+    key = [*by, "feature"]
+    counts = bucket_counts(long_features(clean, [*by, "is_reference"], have), _inner_edges(q, key), key, buckets)
+    return psi_from_counts(counts, key, epsilon)
 
 
 def with_status(df: DataFrame) -> DataFrame:
@@ -95,8 +117,12 @@ def with_status(df: DataFrame) -> DataFrame:
 
 def psi_report(long: DataFrame, by: Sequence[str], **kw) -> DataFrame:
     """PSI with status, highest first within each leading key."""
+    return ranked_report(psi(long, by, **kw), by)
+
+
+def ranked_report(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     *lead, feature = by
-    return with_status(psi(long, by, **kw)).orderBy(*lead, F.col("psi").desc_nulls_last(), feature)
+    return with_status(scores).orderBy(*lead, F.col("psi").desc_nulls_last(), feature)
 
 
 def psi_summary(report: DataFrame, by: Sequence[str], top: int = 5) -> DataFrame:

@@ -114,34 +114,17 @@ def ar_return_input(forecast: str = "ar_forecast", close: str = "close") -> Colu
     return F.when(F.col(close) > 0, gap).otherwise(F.when(F.col(close).isNotNull(), 0.0))
 
 
-def _long(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return df.unpivot(list(ids), list(cols), "feature", "value")
-
-
 def fit_scaler(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kind: str = "standard") -> DataFrame:
     """Scaler table (by..., feature, mean, scale); fit it on training rows only.
 
     standard: population deviation, 1 where it is 0. minmax: minimum and range, 1 where it is 0.
     """
-    aggs = []
-    for c in cols:
-        aggs += (
-            [F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_b_{c}")]
-            if kind == "standard"
-            else [F.min(c).alias(f"_a_{c}"), (F.max(c) - F.min(c)).alias(f"_b_{c}")]
-        )
-    one = df.groupBy(*by).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"_a_{c}").alias("mean"),
-                F.coalesce(F.nullif(F.col(f"_b_{c}"), F.lit(0.0)), F.lit(1.0)).alias("scale"),
-            )
-            for c in cols
-        ]
-    )
-    return one.select(*by, F.inline(rows))
+    # long form: two aggregates over few keys compile, a pair per column does not beyond some 30 columns
+    spread = F.stddev_pop("value") if kind == "standard" else F.max("value") - F.min("value")
+    center = F.avg("value") if kind == "standard" else F.min("value")
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "feature", "value")
+    fitted = long.groupBy(*by, "feature").agg(center.alias("mean"), spread.alias("_spread"))
+    return fitted.select(*by, "feature", "mean", F.coalesce(F.nullif(F.col("_spread"), F.lit(0.0)), F.lit(1.0)).alias("scale"))
 
 
 def _params(scaler: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:

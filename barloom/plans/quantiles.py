@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import equi
@@ -53,6 +53,24 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, splits: int =
     )
 
 
+def _grid(probs: Sequence[float], accuracy: int) -> list[float]:
+    """Lower, then upper bracket positions of every wanted quantile, ascending."""
+    eps = 2.0 / accuracy
+    ps = sorted(probs)
+    return [max(p - eps, 0.0) for p in ps] + [min(p + eps, 1.0) for p in ps]
+
+
+def _brackets(total, cuts, k: int, accuracy: int) -> list:
+    small = total <= 2 * accuracy  # a bounded group is one bracket
+    lows = F.when(small, F.array(F.lit(-float("inf")))).otherwise(F.slice(cuts, 1, k))
+    return [lows.alias("_los"), F.when(small, F.array(F.lit(float("inf")))).otherwise(F.slice(cuts, k + 1, k)).alias("_his")]
+
+
+def count_below(edges: str, n: int, test) -> Column:
+    """How many of the first n array elements pass `test`, as plain comparisons (array lambdas are not compiled)."""
+    return sum((F.coalesce(test(F.get(edges, F.lit(i))).cast("int"), F.lit(0)) for i in range(n)), F.lit(0))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles", accuracy: int = ACCURACY
 ) -> DataFrame:
@@ -61,28 +79,43 @@ def exact_quantiles(
     A mergeable sketch brackets every wanted rank; rows outside the brackets are only counted, rows
     inside (about 4 / accuracy of a large group per quantile) are ranked exactly. Reads `df` twice.
     """
-    keys, k = list(keys), len(probs)
-    wanted_p = sorted(range(k), key=lambda i: probs[i])
-    eps = 2.0 / accuracy
-    grid = [max(probs[i] - eps, 0.0) for i in wanted_p] + [min(probs[i] + eps, 1.0) for i in wanted_p]
+    keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"))
     sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.percentile_approx("value", F.lit(grid), F.lit(accuracy)).alias("_c")
+        F.count(F.lit(1)).alias("total"), F.percentile_approx("value", F.lit(_grid(probs, accuracy)), F.lit(accuracy)).alias("_c")
     )
-    small = F.col("total") <= 2 * accuracy  # a bounded group is one bracket
-    infinite = float("inf")
-    sketch = sketch.select(
-        *keys,
-        "total",
-        F.when(small, F.array(F.lit(-infinite))).otherwise(F.slice("_c", 1, k)).alias("_los"),
-        F.when(small, F.array(F.lit(infinite))).otherwise(F.slice("_c", k + 1, k)).alias("_his"),
+    sketch = sketch.select(*keys, "total", *_brackets(F.col("total"), F.col("_c"), len(probs), accuracy))
+    return _ranked_quantiles(rows, sketch, keys, probs, out)
+
+
+def feature_quantiles(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: Sequence[float], out: str = "quantiles", accuracy: int = ACCURACY
+) -> DataFrame:
+    """keys, feature, `out`: `exact_quantiles` of many columns at once.
+
+    The sketches are one aggregate per column over the few `keys`, so no row is repeated per feature for them.
+    """
+    keys, k = list(keys), len(probs)
+    grid = F.lit(_grid(probs, accuracy))
+    sketch = df.groupBy(*keys).agg(
+        *[F.struct(F.count(c).alias("n"), F.percentile_approx(F.col(c).cast("double"), grid, F.lit(accuracy)).alias("c")).alias(f"_s_{c}") for c in cols]
     )
-    placed = equi(rows, sketch, keys).withColumn("_j", F.expr("size(filter(_his, h -> h < value))"))
+    stacked = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_s_{c}.n").alias("total"), F.col(f"_s_{c}.c").alias("_c")) for c in cols])
+    sketch = sketch.select(*keys, F.inline(stacked)).filter("total > 0")
+    sketch = sketch.select(*keys, "feature", "total", *_brackets(F.col("total"), F.col("_c"), k, accuracy))
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, list(cols), "feature", "value").filter("value IS NOT NULL")
+    return _ranked_quantiles(rows, sketch, [*keys, "feature"], probs, out)
+
+
+def _ranked_quantiles(rows: DataFrame, sketch: DataFrame, keys: list[str], probs: Sequence[float], out: str) -> DataFrame:
+    k = len(probs)
+    placed = equi(rows, sketch, keys).withColumn("_j", count_below("_his", k, lambda h: h < F.col("value")))
     # rows below their bracket sort before it and need no value
-    inside = F.when(F.col("value") >= F.coalesce(F.get("_los", F.col("_j")), F.lit(infinite)), F.col("value"))
+    inside = F.when(F.col("value") >= F.coalesce(F.get("_los", F.col("_j")), F.lit(float("inf"))), F.col("value"))
     counts = placed.groupBy(*keys, "total", "_j", inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     by_bracket = Window.partitionBy(*keys, "_j").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     # each row carries its place inside the bracket and the bracket's size so far; brackets per key are few
+    counts = cut_lineage(counts)
     inner = counts.withColumn("_in", F.sum("n").over(by_bracket))
     sizes = counts.groupBy(*keys, "_j").agg(F.sum("n").alias("_m"))
     before = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_j").rowsBetween(Window.unboundedPreceding, -1))

@@ -11,7 +11,7 @@ MACRO_AGGREGATES = {
     "VIX": lambda: F.avg("l_quantity"),
     "TNX": lambda: 100.0 * F.avg("l_discount"),
     "IRX": lambda: 100.0 * F.avg("l_tax"),
-    "DXY": lambda: F.avg("l_extendedprice") / 1000.0,
+    "DXY": lambda: F.sum("l_extendedprice") / 1000.0,
     "GLD": lambda: F.max("l_extendedprice") / 100.0,
     "TLT": lambda: F.min("l_extendedprice") / 10.0,
 }

@@ -46,7 +46,7 @@ def rows_of(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(df, sql: str, con) -> str | None:
+def compare(df, sql: str, con, allow_empty: bool = False) -> str | None:
     """None when equal, else a short description of the first difference."""
     rel = con.execute(sql)
     cols = [d[0] for d in rel.description]
@@ -59,4 +59,4 @@ def compare(df, sql: str, con) -> str | None:
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return f"{len(bad)} of {len(got)} rows differ; first {bad[0][0]} != {bad[0][1]}"
-    return None if got else "no rows"
+    return None if got or allow_empty else "no rows"

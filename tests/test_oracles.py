@@ -1,4 +1,8 @@
-"""Every query with SQL, side by side with DuckDB on the same files."""
+"""Registered queries side by side with DuckDB on the same files.
+
+The default run takes at least one query of every operator group; ORACLE_ALL=1 runs all of them
+(`python check.py` does so at sf0.01).
+"""
 
 import os
 
@@ -9,6 +13,16 @@ from tests.oracle import compare, duck
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = load()
+# series at the smallest scale are too short for a scored block behind 60 context rows
+MAY_BE_EMPTY = {"scored_rows", "rolling_stability"}
+GROUPS = (
+    "resample_ticks_to_bars", "load_macro", "parse_chart_bars", "append_since_high_water", "snapshot_provenance", "news_daily_digest", "validate_and_clean_bars",
+    "dedupe_keep_last", "asof_align", "align_macro", "series_pairs", "bollinger", "sma_ratios", "returns_target", "on_balance_volume", "macro_yields", "rsi",
+    "engineer_features", "fold_boundaries", "expand_folds", "sequence_windows", "apply_scaler", "inverse_predictions", "serving_parity_check", "metric_report",
+    "backtest", "rolling_stability", "diebold_mariano_h3_absolute", "calibration_report", "exact_quantiles", "psi_report", "kpss_statistic_c", "rolling_fit_predict",
+    "model_diagnostics", "cointegration_stage1", "hmm_filter", "forecast_response", "aggregate_sentiment", "sentiment_temporal_features", "stream_bars", "stream_psi",
+)
+CHOSEN = sorted(ORACLES) if os.environ.get("ORACLE_ALL") else GROUPS
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +30,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", CHOSEN)
 def test_matches_sql(spark, con, name):
-    assert compare(QUERIES[name](spark, SF), ORACLES[name], con) is None
+    assert compare(QUERIES[name](spark, SF), ORACLES[name], con, name in MAY_BE_EMPTY) is None
 
 
 def test_every_oracle_has_a_query():
