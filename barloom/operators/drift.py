@@ -98,10 +98,10 @@ def psi_features(
     `df` is read three times (sketch, ranks, bucket counts): derive it cheaply from a written feature table.
     """
     by, have = list(by), [c for c in cols if c in df.columns]
-    clean = df.select(*by, "is_reference", *[finite(c).alias(c) for c in have])
-    q = feature_quantiles(clean.filter("is_reference"), by, have, _deciles(buckets), "_q", accuracy)
+    slim = df.select(*by, "is_reference", *have)
+    q = feature_quantiles(slim.filter("is_reference"), by, have, _deciles(buckets), "_q", accuracy)
     key = [*by, "feature"]
-    counts = bucket_counts(long_features(clean, [*by, "is_reference"], have), _inner_edges(q, key), key, buckets)
+    counts = bucket_counts(long_features(slim, [*by, "is_reference"], have), _inner_edges(q, key), key, buckets)
     return psi_from_counts(counts, key, epsilon)
 
 

@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import equi
+from barloom.functions.columns import equi, finite
 from barloom.session import cut_lineage
 
 SPLITS = 64
-ACCURACY = 20_000
+ACCURACY = 5_000
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, splits: int = SPLITS) -> DataFrame:
@@ -91,19 +91,20 @@ def exact_quantiles(
 def feature_quantiles(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: Sequence[float], out: str = "quantiles", accuracy: int = ACCURACY
 ) -> DataFrame:
-    """keys, feature, `out`: `exact_quantiles` of many columns at once.
+    """keys, feature, `out`: `exact_quantiles` of the finite values of many columns at once.
 
     The sketches are one aggregate per column over the few `keys`, so no row is repeated per feature for them.
     """
     keys, k = list(keys), len(probs)
     grid = F.lit(_grid(probs, accuracy))
     sketch = df.groupBy(*keys).agg(
-        *[F.struct(F.count(c).alias("n"), F.percentile_approx(F.col(c).cast("double"), grid, F.lit(accuracy)).alias("c")).alias(f"_s_{c}") for c in cols]
+        *[F.struct(F.count(finite(c)).alias("n"), F.percentile_approx(finite(c), grid, F.lit(accuracy)).alias("c")).alias(f"_s_{c}") for c in cols]
     )
     stacked = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_s_{c}.n").alias("total"), F.col(f"_s_{c}.c").alias("_c")) for c in cols])
     sketch = sketch.select(*keys, F.inline(stacked)).filter("total > 0")
     sketch = sketch.select(*keys, "feature", "total", *_brackets(F.col("total"), F.col("_c"), k, accuracy))
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, list(cols), "feature", "value").filter("value IS NOT NULL")
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, list(cols), "feature", "value")
+    rows = rows.withColumn("value", finite("value")).filter("value IS NOT NULL")
     return _ranked_quantiles(rows, sketch, [*keys, "feature"], probs, out)
 
 
