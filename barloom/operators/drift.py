@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import equi, finite
+from barloom.functions.columns import finite
+from barloom.plans.attach import attach
 from barloom.plans.quantiles import ACCURACY, count_below, exact_quantiles, feature_quantiles
 
 BUCKETS, EPSILON, ALERT, MODERATE = 10, 1e-4, 0.25, 0.10
@@ -45,7 +46,7 @@ def bucket_of(value: str = "value", edges: str = "inner_edges", buckets: int = B
 def bucket_counts(long: DataFrame, edges: DataFrame, by: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """by..., is_reference, bucket, n - `long` carries the boolean is_reference."""
     return (
-        equi(long, edges, list(by))
+        attach(long, edges, by)
         .groupBy(*by, "is_reference", bucket_of(buckets=max(buckets, 3)).alias("bucket"), F.size("inner_edges").alias("last_bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.columns import equi, ratio
 from barloom.operators.features import difference
+from barloom.plans.attach import attach
 from barloom.plans.moments import Moments, gaussian_llf, lag_moments, lag_names, lag_products, standardise
 from barloom.plans.panel import IDX, KEYS, mapped, row_index, running, windowed
 from barloom.session import cut_lineage
@@ -170,7 +171,7 @@ def kpss_screen(
         F.first("n_rows").alias("_n"), F.avg("y").alias("_m"), F.regr_slope("y", IDX).alias("_b"), F.regr_intercept("y", IDX).alias("_a")
     )
     line = F.col("_m") if trend == "c" else F.col("_a") + F.col("_b") * F.col(IDX)
-    resid = equi(rows, fit, keys).withColumn("e", F.col("y") - line).select(*keys, IDX, "n_rows", "e")
+    resid = attach(rows, fit, keys).withColumn("e", F.col("y") - line).select(*keys, IDX, "n_rows", "e")
     eta = running(resid, {"s": ("sum", "e")}, keys).groupBy(*keys).agg(
         F.first("n_rows").alias("n_rows"), (F.sum(F.col("s") * F.col("s")) / F.pow(F.first("n_rows"), F.lit(2.0))).alias("_eta")
     )
@@ -186,7 +187,7 @@ def kpss_screen(
             *keys, F.coalesce(F.least(F.floor(bandwidth * F.pow("n_rows", F.lit(1.0 / 3.0))), F.col("n_rows") - 1), F.lit(0)).cast("int").alias("lag")
         )
         widest = chosen.agg(F.max("lag")).first()[0] or 0
-        sums = lag_products(equi(resid, chosen, keys), "e", int(widest), keys, "lag", size)
+        sums = lag_products(attach(resid, chosen, keys), "e", int(widest), keys, "lag", size)
         sums = equi(sums, chosen, keys)
     else:
         prods = windowed(
@@ -290,7 +291,7 @@ def _wide_moments(df: DataFrame, y: str, xs: Sequence[str], keys: list[str], ord
         F.max_by("y", IDX).alias("last_y"),
     )
     tail = F.col("n_all") - F.col(IDX) <= lag
-    sized = equi(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all")), keys)
+    sized = attach(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all")), keys)
     recent = sized.filter(tail).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct((-F.col(IDX)).alias("i"), F.array("y", *names).alias("v")))), lambda s: s["v"]).alias("recent")
     )
@@ -386,7 +387,7 @@ def ar1_residuals(df: DataFrame, value: str = "close", keys: Sequence[str] = KEY
     """One-lag regression per key and its residuals, all native."""
     lagged = windowed(df, lambda d, w: d.withColumn("_prev", F.lag(value).over(w)), back=1, keys=keys).filter("_prev IS NOT NULL")
     fit = lagged.groupBy(*keys).agg(F.regr_slope(value, "_prev").alias("slope"), F.regr_intercept(value, "_prev").alias("intercept"))
-    return equi(lagged, fit, list(keys)).withColumn("residual", F.col(value) - F.col("intercept") - F.col("slope") * F.col("_prev")).drop("_prev")
+    return attach(lagged, fit, keys).withColumn("residual", F.col(value) - F.col("intercept") - F.col("slope") * F.col("_prev")).drop("_prev")
 
 
 _BOUNDS = T.StructType(
@@ -443,7 +444,7 @@ def bounds_f_screen(
 def cointegration_residuals(pairs: DataFrame, keys: Sequence[str] = ("a", "b"), order: str = "bar_date") -> DataFrame:
     """Stage one: y on x with a constant per pair; slope, intercept and the residual per row."""
     fit = pairs.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    out = equi(pairs, fit, list(keys)).withColumn("residual", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
+    out = attach(pairs, fit, keys).withColumn("residual", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
     return out.select(*keys, order, "slope", "intercept", "residual")
 
 
@@ -549,7 +550,7 @@ def rolling_arma_forecast(
     packed = params.groupBy(*keys).agg(
         F.collect_list(F.struct(F.col("segment").alias("fold"), "const", "phi", "theta")).alias("_params")  # one entry per fold
     )
-    work = equi(rows, packed, keys, "left")
+    work = attach(rows, packed, keys, "left")
     schema = T.StructType([*rows.schema.fields, T.StructField("arma_forecast", T.DoubleType())])
     names = schema.fieldNames()
 
@@ -591,7 +592,7 @@ def latest_arma_forecast(df: DataFrame, ret: str = "ret_1d", keys: Sequence[str]
     whole = df.filter(F.col(ret).isNotNull()).withColumn("_seg", F.lit(1))
     params = arma_order_select(whole, ret, keys, "_seg", 1)
     n = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_returns"), F.max(IDX).alias("_last"))
-    marked = equi(whole.drop("_seg"), n, keys).withColumn("fold", F.when(F.col(IDX) == F.col("_last"), F.lit(1)))
+    marked = attach(whole.drop("_seg"), n, keys).withColumn("fold", F.when(F.col(IDX) == F.col("_last"), F.lit(1)))
     # only the tail that still matters for the newest innovation is scored
     tail = row_index(marked.filter(F.col(IDX) > F.col("_last") - 4096).select(*keys, F.col(IDX).alias("_o"), ret, "fold"), keys, "_o").drop("_o")
     scored = rolling_arma_forecast(tail, params, ret, keys, size=size).select(*keys, "arma_forecast")

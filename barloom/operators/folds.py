@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import as_col, clip, equi, ratio
 from barloom.operators.clean import latest_rows
+from barloom.plans.attach import attach
 from barloom.plans.panel import IDX, KEYS, windowed
 
 N_FOLDS, INITIAL, VALIDATION = 5, 0.55, 0.15
@@ -137,7 +138,7 @@ def _params(scaler: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFr
 def _with_params(df: DataFrame, scaler: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     by = list(by)
     if by:
-        return equi(df, _params(scaler, cols, by), by, "left")
+        return attach(df, _params(scaler, cols, by), by, "left")
     one = _params(scaler, cols, by).withColumn("_one", F.lit(1))
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", "left").drop("_one")
 

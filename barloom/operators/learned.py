@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators.folds import N_FOLDS, apply_scaler, fit_scaler
+from barloom.plans.attach import attach
 from barloom.session import cut_lineage
 
 
@@ -76,7 +77,7 @@ def bagged_samples(
 
     members = sums.select(by, "sample_id", solve(vector_to_array("s")).alias("beta"))
     packed = members.groupBy(by).agg(F.collect_list(F.struct("sample_id", "beta")).alias("_members"))  # n_samples entries
-    scored = samples.filter("role = 'test'").join(packed, by)
+    scored = attach(samples.filter("role = 'test'"), packed, [by])
     each = scored.select(*dict.fromkeys([by, *row_keys]), v.alias("v"), "actual", F.inline("_members"))
     dot = F.aggregate(F.zip_with("v", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return each.select(*dict.fromkeys([by, *row_keys]), "sample_id", dot.alias("value"), "actual")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import equi
+from barloom.plans.attach import attach
 from barloom.plans.panel import CHUNK, IDX, KEYS, in_order
 from barloom.session import cut_lineage
 
@@ -186,7 +187,7 @@ def hmm_fit(
     keys, cols = list(keys), list(cols)
     rows = cut_lineage(df.select(*keys, IDX, *cols))  # counted, then fitted
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    small = equi(rows, sizes.filter(F.col("_n") <= max_rows).drop("_n"), keys, "left_semi")
+    small = attach(rows, sizes.filter(F.col("_n") <= max_rows).drop("_n"), keys, "left_semi")
     schema = T.StructType([rows.schema[k] for k in keys] + PARAM_FIELDS + STAT_FIELDS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +199,7 @@ def hmm_fit(
     large = sizes.filter(F.col("_n") > max_rows).drop("_n")
     if not large.limit(1).count():
         return fitted
-    big = equi(rows, large, keys, "left_semi")
+    big = attach(rows, large, keys, "left_semi")
     return fitted.unionByName(_fit_distributed(big, cols, keys, n_states, iters, tol, CHUNK_ROWS))
 
 
@@ -210,9 +211,9 @@ def _fit_distributed(rows: DataFrame, cols: list[str], keys: list[str], k: int,
     first = rows.groupBy(*keys).agg(
         F.avg(cols[0]).alias("_m"), F.array(*[F.var_pop(F.coalesce(F.col(c), F.lit(0.0))) for c in cols]).alias("_var")
     )
-    sized = equi(rows.fillna(0.0, cols), first, keys).withColumn("_size", F.abs(F.col(cols[0]) - F.col("_m")))
+    sized = attach(rows.fillna(0.0, cols), first, keys).withColumn("_size", F.abs(F.col(cols[0]) - F.col("_m")))
     cuts = exact_quantiles(sized, keys, "_size", [i / k for i in range(1, k)], "_cuts")
-    grouped = equi(sized, cuts, keys).withColumn("_g", F.expr("size(filter(_cuts, c -> c <= _size))"))
+    grouped = attach(sized, cuts, keys).withColumn("_g", F.expr("size(filter(_cuts, c -> c <= _size))"))
     per = grouped.groupBy(*keys, "_var", "_g").agg(F.array(*[F.avg(c) for c in cols]).alias("mu"), F.array(*[F.var_pop(c) for c in cols]).alias("v"))
     packed = per.groupBy(*keys, "_var").agg(F.sort_array(F.collect_list(F.struct("_g", "mu", "v"))).alias("_s"))  # k entries
     even = Params(np.full(k, 1.0 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), np.zeros((k, d)), np.ones((k, d)))
@@ -251,7 +252,7 @@ def _fit_distributed(rows: DataFrame, cols: list[str], keys: list[str], k: int,
         if not active.limit(1).count():
             break
         carried = _carries(chunked, active, cols, keys, size)
-        stats = equi(equi(chunked, active.select(*keys, *[f.name for f in PARAM_FIELDS]), keys), carried, [*keys, CHUNK])
+        stats = equi(attach(chunked, active.select(*keys, *[f.name for f in PARAM_FIELDS]), keys), carried, [*keys, CHUNK])
         total = sum_arrays(stats.groupBy(*keys, CHUNK).applyInPandas(expect, stat_schema), keys, "stats")
         moved = equi(active, total, keys).groupBy(*keys).applyInPandas(maximise, out_schema)
         state = cut_lineage(state.filter("done").select(*out_schema.fieldNames()).unionByName(moved))
@@ -279,7 +280,7 @@ def _carries(chunked: DataFrame, params: DataFrame, cols: list[str], keys: list[
         alpha = np.concatenate([even[None], forward(even, m)[:-1]])
         return pdf.assign(_in=list(alpha), _out=list(backward(even, m)))[carry_schema.fieldNames()]
 
-    joined = equi(chunked, params.select(*keys, *[f.name for f in PARAM_FIELDS]), keys)
+    joined = attach(chunked, params.select(*keys, *[f.name for f in PARAM_FIELDS]), keys)
     # one row of K x K numbers per chunk of 65,536 rows reaches the scan
     return joined.groupBy(*keys, CHUNK).applyInPandas(multiply, prod_schema).groupBy(*keys).applyInPandas(scan, carry_schema)
 
@@ -298,7 +299,7 @@ def _posteriors(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Seq
     slim = chunked.select(*keys, IDX, CHUNK, *cols)
     carried = _carries(slim, params, cols, keys, size)
     names = [f.name for f in PARAM_FIELDS]
-    ready = equi(equi(chunked, params.select(*keys, *names), keys), carried, [*keys, CHUNK])
+    ready = equi(attach(chunked, params.select(*keys, *names), keys), carried, [*keys, CHUNK])
     schema = T.StructType([*df.schema.fields, T.StructField(out, _A)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -326,8 +327,9 @@ def hmm_smooth(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Sequ
 def high_vol_probability(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, size: int = CHUNK_ROWS) -> DataFrame:
     """`regime_high_vol_prob`: the filtered probability of the high-volatility state."""
     keys = list(keys)
+    params = cut_lineage(params)  # joined three times below
     state = high_vol_state(params).select(*keys, "high_vol_state")
-    f = equi(hmm_filter(df, params, cols, keys, size), state, keys)
+    f = attach(hmm_filter(df, params, cols, keys, size), state, keys)
     return f.withColumn("regime_high_vol_prob", F.get("filtered", F.col("high_vol_state"))).drop("filtered", "high_vol_state")
 
 
@@ -351,7 +353,7 @@ def hmm_viterbi(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Seq
     keys, cols = list(keys), list(cols)
     chunked = cut_lineage(df).withColumn(CHUNK, F.expr(f"{IDX} div {size}"))
     names = [f.name for f in PARAM_FIELDS]
-    ready = equi(chunked.select(*keys, IDX, CHUNK, *cols), params.select(*keys, *names), keys)
+    ready = attach(chunked.select(*keys, IDX, CHUNK, *cols), params.select(*keys, *names), keys)
     key_fields = [df.schema[c] for c in keys]
     piece = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("_m", _A)])
     ends = T.StructType(key_fields + [T.StructField(CHUNK, T.LongType()), T.StructField("_in", _A), T.StructField("_last", T.LongType())])
@@ -398,7 +400,7 @@ def hmm_viterbi(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Seq
         return pdf.assign(noncausal_state=states)[schema.fieldNames()]
 
     carried = ready.groupBy(*keys, CHUNK).applyInPandas(summarise, piece).groupBy(*keys).applyInPandas(scan, ends)
-    full = equi(equi(chunked, params.select(*keys, *names), keys), carried, [*keys, CHUNK])
+    full = equi(attach(chunked, params.select(*keys, *names), keys), carried, [*keys, CHUNK])
     return full.groupBy(*keys, CHUNK).applyInPandas(trace, schema)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.columns import equi
+from barloom.plans.attach import attach
 from barloom.plans.panel import IDX, KEYS, mapped
 
 
@@ -30,7 +30,7 @@ def standardise(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS,
     """Adds z_<c>, mean_<c>, sd_<c>: columns centred and scaled per key, which keeps the sums well conditioned."""
     base = df.filter(where) if where is not None else df
     aggs = [a for c in cols for a in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"sd_{c}"))]
-    out = equi(df, base.groupBy(*keys).agg(*aggs), list(keys), "left")
+    out = attach(df, base.groupBy(*keys).agg(*aggs), keys, "left")
     return out.withColumns({f"z_{c}": (F.col(c) - F.col(f"mean_{c}")) / F.coalesce(F.nullif(f"sd_{c}", F.lit(0.0)), F.lit(1.0)) for c in cols})
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import equi, finite
+from barloom.plans.attach import attach
 from barloom.session import cut_lineage
 
 SPLITS = 64
@@ -28,7 +29,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, splits: int =
     splitters = counts.groupBy(*keys).agg(
         F.percentile_approx("value", F.lit(cuts), F.lit(16 * splits)).alias("_cuts")
     )
-    placed = equi(counts, splitters, keys).withColumn(
+    placed = attach(counts, splitters, keys).withColumn(
         "_range", F.expr("size(filter(_cuts, c -> c <= value))")
     ).drop("_cuts")
     by_key = Window.partitionBy(*keys)
@@ -110,7 +111,7 @@ def feature_quantiles(
 
 def _ranked_quantiles(rows: DataFrame, sketch: DataFrame, keys: list[str], probs: Sequence[float], out: str) -> DataFrame:
     k = len(probs)
-    placed = equi(rows, sketch, keys).withColumn("_j", count_below("_his", k, lambda h: h < F.col("value")))
+    placed = attach(rows, sketch, keys).withColumn("_j", count_below("_his", k, lambda h: h < F.col("value")))
     # rows below their bracket sort before it and need no value
     inside = F.when(F.col("value") >= F.coalesce(F.get("_los", F.col("_j")), F.lit(float("inf"))), F.col("value"))
     counts = placed.groupBy(*keys, "total", "_j", inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
