@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import rules
+from barloom.llm import mixing, rules
+from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         rules.fails(rules.BASE).alias("base_failed"), (~rules.fails(rules.DEFAULT)).alias("kept"), "failed",
     )
+
+
+@query("op1_mixing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mixing.sized(table(spark, sf, "documents"), "text", "source", "doc_id")
+    sizes = written(rows.select(F.col("doc.doc_id").alias("doc_id"), "size", "_s", "_null", "u"))
+    out = mixing.with_copies(sizes, mixing.plan(sizes))
+    return out.select(
+        "doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
+        F.when(F.col("_null"), None).otherwise(F.col("_s")).alias("source"), "rate",
+    )
