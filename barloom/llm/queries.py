@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, rules
+from barloom.llm import mixing, rules, simhash
 from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
         F.when(F.col("_null"), None).otherwise(F.col("_s")).alias("source"), "rate",
     )
+
+
+@query("op2_simhash")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = simhash.fingerprints(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    out = simhash.with_component(rows, "doc_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
