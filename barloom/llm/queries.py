@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, rules, simhash
+from barloom.llm import decontaminate, mixing, rules, simhash
 from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,15 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     rows = simhash.fingerprints(table(spark, sf, "documents").select("doc_id", "text"), "text")
     out = simhash.with_component(rows, "doc_id")
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    marks = decontaminate.mark(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    ends = F.filter("spans", lambda x, i: i % 2 == 1)
+    starts = F.filter("spans", lambda x, i: i % 2 == 0)
+    n_hit = F.aggregate(F.zip_with(ends, starts, lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return marks.select(
+        "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
