@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, mixing, rules, simhash
+from barloom.llm import decontaminate, mixing, rules, simhash, tokens
 from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 RULES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS w FROM d),
@@ -83,3 +89,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op10_token_ids")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    folder = tokens.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary())
+    return tokens.digests(spark, folder)
