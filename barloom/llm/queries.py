@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, mixing, rules, simhash, tokens
+from barloom.llm import decontaminate, mixing, quality_model, rules, simhash, tokens
 from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,16 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     folder = tokens.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary())
     return tokens.digests(spark, folder)
+
+
+def remainder(modulus: int):
+    """crc32 of the id as text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
+@query("op4_quality_model")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    machine = quality_model.fit(*quality_model.sample(docs, table(spark, sf, "labels"), remainder(5) != 0))
+    out = quality_model.score(docs.withColumn("held_out", remainder(5) == 0), machine)
+    return out.select("doc.doc_id", "doc.held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
