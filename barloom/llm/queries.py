@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, mixing, quality_model, rules, simhash, tokens
+from barloom.llm import decontaminate, hmm_lm, mixing, quality_model, rules, simhash, tokens
 from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     machine = quality_model.fit(*quality_model.sample(docs, table(spark, sf, "labels"), remainder(5) != 0))
     out = quality_model.score(docs.withColumn("held_out", remainder(5) == 0), machine)
     return out.select("doc.doc_id", "doc.held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op3_hmm_lm")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", remainder(10) == 0)
+    out, model = hmm_lm.score_all(docs, ~F.col("held_out"))
+    return out.select("doc.doc_id", "doc.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
