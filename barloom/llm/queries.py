@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hmm_lm, mixing, quality_model, rules, simhash, tokens
+from barloom.llm import decontaminate, hmm_lm, language, mixing, quality_model, rules, secrets, simhash, tokens
 from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,22 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", remainder(10) == 0)
     out, model = hmm_lm.score_all(docs, ~F.col("held_out"))
     return out.select("doc.doc_id", "doc.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
+    return out.select(
+        "doc.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listing(base), 256).alias("base_sha256"),
+        secrets.listing(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, remainder(4) != 2)
+    out = language.predict(docs.select("doc_id", "text").withColumn("held_out", remainder(4) == 2), model)
+    return out.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
