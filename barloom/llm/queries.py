@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hmm_lm, language, mixing, quality_model, rules, secrets, simhash, tokens
+from barloom.llm import decontaminate, hmm_lm, language, mixing, quality_model, rules, secrets, simhash, tokens, urls
 from barloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     model = language.fit(docs, remainder(4) != 2)
     out = language.predict(docs.select("doc_id", "text").withColumn("held_out", remainder(4) == 2), model)
     return out.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    model = urls.fit(urls.labelled(spark))
+    return urls.judge(table(spark, sf, "pages").select("page_id", "url"), model).select("doc.page_id", "host", "path", "rule", "verdict", F.round("p_block", 6).alias("p_block"))
