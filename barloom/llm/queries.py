@@ -46,7 +46,7 @@ m AS (SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[ \t-\r
   coalesce(cov.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
   FROM d JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN lines USING (r)),
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) | (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
-  | (CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END) | (CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
+  | (CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END) | (CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
   | (CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words) THEN 16 ELSE 0 END) AS failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed FROM b"""

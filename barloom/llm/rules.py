@@ -21,7 +21,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("symbols", "2 * n_symbols > n_words"),
+    ("symbols", "5 * n_symbols > n_words"),
     ("duplicate_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
     ("word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words)"),
 )

@@ -152,6 +152,9 @@ def allocate(fps: DataFrame, radius: int, parts_choices: Sequence[int] = (2, 3,
 def _walk(own: np.ndarray, probe: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links of a slot: `own` stand in it, `probe` reach it. Every link has an end in `own`; enough for its components."""
     a, b = [], []
+    if len(own) > 2:  # begin where most are near
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(0) > 0.5
+        own = own[np.argsort(np.bitwise_count(own ^ np.packbits(bits, bitorder="little").view("<u8")[0]), kind="stable")]
     left_own, left_probe = own, np.setdiff1d(probe, own, assume_unique=True)
     while len(left_own):
         todo_own, todo_probe = [left_own[:1]], []
