@@ -84,7 +84,7 @@ class SuffixArray:
 
     def _sort(self, depth: int) -> np.ndarray:
         bits = max(1, int(len(self.alphabet)).bit_length())
-        take = max(1, 62 // bits)
+        take = min(max(1, 62 // bits), len(self.code))
         key = np.zeros(len(self.code), dtype=np.int64)
         for k in range(take):
             key <<= bits

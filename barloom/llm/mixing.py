@@ -58,7 +58,7 @@ def _rate(lam: Column, size: Column, scale: Column, most: int) -> Column:
 
 def multipliers(cells: DataFrame, goals: DataFrame, most: int, tolerance: float = 1e-10, rounds: int = 60) -> DataFrame:
     """(_s, _null, total, target, scale, lam): the dual solution of every source."""
-    scales = cells.groupBy("_s", "_null").agg(F.coalesce(F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n")), F.lit(1.0)).alias("scale"))
+    scales = cells.groupBy("_s", "_null").agg(F.coalesce(F.try_divide(F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")), F.sum(F.col("size") * F.col("n"))), F.lit(1.0)).alias("scale"))
     solved = (F.col("total") == 0) | (F.col("target") >= F.col("total") * most)
     state = written(
         goals.join(scales, ["_s", "_null"]).select(
@@ -79,7 +79,7 @@ def multipliers(cells: DataFrame, goals: DataFrame, most: int, tolerance: float
         done = F.col("done") | (F.abs(gap) <= tolerance * F.col("target"))
         lo = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
-        step = F.when(F.col("h") > 0, F.greatest(F.lit(-SHIFT), F.least(F.lit(SHIFT), -gap / F.col("h")))).otherwise(-F.signum(gap) * SHIFT)
+        step = F.when(F.col("h") > 0, F.greatest(F.lit(-SHIFT), F.least(F.lit(SHIFT), F.try_divide(-gap, F.col("h"))))).otherwise(-F.signum(gap) * SHIFT)
         both = both.select("_s", "_null", "total", "target", "scale", "lam", lo.alias("lo"), hi.alias("hi"), done.alias("done"), (F.col("lam") + step).alias("to"))
         inside = (F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi"))
         new = F.when(F.col("done"), F.col("lam")).when(inside, F.col("to")).otherwise((F.col("lo") + F.col("hi")) / 2)
@@ -95,7 +95,7 @@ def _parts(most: int) -> tuple[Column, Column, Column]:
     r = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("lam") == float("inf"), F.lit(float(most))).otherwise(_rate(F.col("lam"), z, F.col("scale"), most))
     whole = F.floor(r)
     rest = r - whole
-    u = F.col("u") / rest
+    u = F.try_divide(F.col("u"), rest)
     return r, whole, F.when((rest > 0) & (F.col("size") > 0), u / (1 + u))
 
 
