@@ -132,7 +132,7 @@ def word_scores(m: Model, w: Words, scripts: np.ndarray) -> np.ndarray:
     s = cum[w.end] - cum[w.start] + WORD_WEIGHT * m.whole[_word_bucket(w)]
     fits = (scripts[:, None] & m.scripts) != 0
     none = ~fits.any(1)
-    s[~fits] = s.min() - 30.0 if len(s) else 0
+    s[~fits] = s.min() - 30.0
     s[none] = 0
     return s
 
@@ -185,6 +185,8 @@ def _walk(s: np.ndarray, first: np.ndarray, size: np.ndarray, switch: float) ->
 def label(m: Model, w: Words, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
     """Language of each word, -1 for words without letters of a learned script; and the words' scripts."""
     scripts = _scripts(w)
+    if not m.names:
+        return np.full(len(scripts), -1), scripts
     s = word_scores(m, w, scripts)
     path = np.zeros(len(s), dtype=np.int64)
     if len(s):
