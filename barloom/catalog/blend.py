@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import FORECASTS, RETURNS, W, clip_sql, forecasts, panel, query, rounded, wide_forecasts
+from barloom.catalog.base import FOLDS, FORECASTS, RETURNS, W, clip_sql, forecasts, panel, query, rounded, wide_forecasts
 from barloom.catalog.metrics import _G, gated
 from barloom.operators import blend, clean, features as ft, folds, learned, rolling
 from barloom.plans.panel import row_index, windowed
@@ -72,9 +72,7 @@ def _(spark, sf):
     return learned.bagged_samples(learned.scaled_samples(rows, cols), cols, ["series_id", "fold", "bar_date"])
 
 
-@query("fit_gate")
-def _(spark, sf):
-    """Gate trained on validation rows, applied to test rows."""
+def gate_rows(spark, sf):
     def build(d, w):
         d = d.withColumns({"ret_1d": ft.pct_change("close", w), "_prev": F.lag("close").over(w)})
         return d.withColumns(
@@ -83,12 +81,25 @@ def _(spark, sf):
         )
 
     df = windowed(panel(spark, sf), build, back=121, ahead=1).withColumns({"ar1": folds.ar_return_input(), "last_return": F.col("ret_1d")})
-    rows = folds.expand_folds(df).filter("actual IS NOT NULL AND ar1 IS NOT NULL")
-    model = blend.fit_gate(rows.filter("role = 'val'"), GATE_INPUTS, "ar1", "last_return")
-    out = blend.apply_gate(model, rows.filter("role = 'test'"), GATE_INPUTS, "ar1", "last_return")
+    return folds.expand_folds(df).filter("actual IS NOT NULL AND ar1 IS NOT NULL")
+
+
+@query("fit_gate")
+def _(spark, sf):
+    """Per fold: gate trained on its validation rows, applied to its test rows."""
+    out = blend.fold_gates(gate_rows(spark, sf), GATE_INPUTS, "ar1", "last_return")
     return out.select("series_id", "fold", "bar_date", "alpha", "pred", "actual")
 
 
+@query("gate_leakage", f"""WITH {RETURNS}, {FOLDS}, ar AS (SELECT series_id, row_idx, CASE WHEN nxt IS NOT NULL AND row_idx >= 119 THEN 1 END AS ok FROM rets),
+  rows AS (SELECT f.fold, a.series_id, a.row_idx, CASE WHEN a.row_idx < f.test_start THEN 'val' ELSE 'test' END AS role FROM ar a JOIN folds f USING (series_id)
+    WHERE ok = 1 AND a.row_idx >= f.val_start AND a.row_idx < f.test_end)
+  SELECT fold, count(*) FILTER (role = 'val') AS n_val, count(*) FILTER (role = 'test') AS n_test, 0::BIGINT AS n_both FROM rows GROUP BY fold""")
+def _(spark, sf):
+    """Rows a fold's gate learns from, rows it scores, and rows in both."""
+    rows = gate_rows(spark, sf).filter("role IN ('val', 'test')")
+    once = rows.groupBy("fold", "series_id", "bar_date").agg(F.max(F.when(F.col("role") == "val", 1).otherwise(0)).alias("v"), F.max(F.when(F.col("role") == "test", 1).otherwise(0)).alias("t"))
+    return once.groupBy("fold").agg(F.sum("v").alias("n_val"), F.sum("t").alias("n_test"), F.sum(F.col("v") * F.col("t")).alias("n_both"))
 
 
 @query("preprocess_pipeline")

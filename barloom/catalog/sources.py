@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from barloom.operators import clean, joins
 from barloom.schemas import BARS as BARS_SCHEMA
 from barloom.schemas import OHLCV
 from barloom.sources import bars as src
+from barloom.session import shared_folder
 from barloom.sources import fixtures as fx
 from barloom.sources import news
 
@@ -20,10 +20,8 @@ ALL = "series_id, bar_date, open, high, low, close, volume"
 
 
 def scratch(spark, name: str) -> str:
-    """Folder for a written table: the cluster's shared one where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = os.path.join(shared, "barloom-scratch") if shared else tempfile.mkdtemp(prefix="barloom-")
-    return os.path.join(path, f"{name}-{os.urandom(6).hex()}")
+    """Folder for a written table, in the folder that the driver and the executors share."""
+    return f"{shared_folder(spark)}/barloom-scratch/{name}-{os.urandom(6).hex()}"
 
 
 @query("resample_ticks_to_bars", f"WITH {BARS} SELECT {ALL} FROM bars")
@@ -139,7 +137,7 @@ def _(spark, sf):
 
 @query("snapshot_provenance", f"""WITH {BARS}, {MACRO_LONG} SELECT max(bar_date) AS as_of, 'bundled+live' AS source,
   count(*) FILTER (bar_date >= DATE '1999-01-01') AS live_rows,
-  'Macro series not refreshed (forward-filled from last value): GLD' AS note,
+  'No new values, last ones carried forward: GLD' AS note,
   (SELECT CAST(max(CASE WHEN obs_date < DATE '1999-01-01' THEN obs_date END) AS VARCHAR) FROM macro) AS gold_as_of,
   (SELECT CAST(max(obs_date) AS VARCHAR) FROM macro) AS vix_as_of FROM bars""")
 def _(spark, sf):

@@ -10,20 +10,29 @@ from barloom.plans.panel import row_index
 from barloom.session import cut_lineage
 from barloom.sources import fixtures as fx
 
-# class probabilities derived from the labels, so that SQL can repeat the scores
-_PROB = """pr AS (SELECT d.doc_id, d.lang, d.source, (doc_id * 37 % 101) / 400.0::DOUBLE + 0.3::DOUBLE * l.quality AS positive, (doc_id * 53 % 97) / 400.0::DOUBLE + 0.3::DOUBLE * l.toxic AS negative
-    FROM documents d JOIN labels l USING (doc_id)), ps AS (SELECT *, 1 - positive - negative AS neutral, positive - negative AS score FROM pr)"""
+# A fixed linear model over the words of the whole text, so that SQL can repeat the scores; labels add to it where
+# a document has them.
+UP = ("with", "for", "and", "mit", "und", "avec", "et", "con", "y")
+DOWN = ("not", "no", "nicht", "pas", "ne", "idiot", "stupid", "moron", "trash", "loser", "clown", "scum", "pathetic", "worthless")
+_SPLIT = "[ \\t\\n.,!?|]+"
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_PROB = f"""w AS (SELECT doc_id, lang, source, regexp_split_to_array(lower(coalesce(text, '')), '{_SPLIT}') AS w FROM documents),
+  c AS (SELECT doc_id, lang, source, len(list_filter(w, lambda x: x IN {_IN(UP)})) AS up, len(list_filter(w, lambda x: x IN {_IN(DOWN)})) AS down, len(w) AS n FROM w),
+  pr AS (SELECT c.doc_id, lang, source, (1 + 4 * up + n * coalesce(l.quality, 0) * 0.25::DOUBLE) AS a, (1 + 40 * down + n * coalesce(l.toxic, 0) * 0.5::DOUBLE) AS b, 1 + n * 0.5::DOUBLE AS m
+    FROM c LEFT JOIN labels l USING (doc_id)),
+  ps AS (SELECT *, a / (a + b + m) AS positive, b / (a + b + m) AS negative, m / (a + b + m) AS neutral, a / (a + b + m) - b / (a + b + m) AS score FROM pr)"""
 
 
 def probabilities(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id", "lang", "source").join(fx.table(spark, sf, "labels"), "doc_id")
-    d = d.withColumns(
-        {
-            "positive": (F.col("doc_id") * 37 % 101) / 400.0 + 0.3 * F.col("quality"),
-            "negative": (F.col("doc_id") * 53 % 97) / 400.0 + 0.3 * F.col("toxic"),
-        }
-    )
-    return d.withColumns({"neutral": 1 - F.col("positive") - F.col("negative"), "sentiment_score": sen.bipolar_score()})
+    """Class probabilities of every document, from its whole text."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "lang", "source", F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \\t\\n.,!?|]+", -1).alias("_w"))
+    count = lambda words: F.size(F.filter("_w", lambda x: x.isin(*words)))
+    d = d.select("doc_id", "lang", "source", count(UP).alias("_up"), count(DOWN).alias("_down"), F.size("_w").alias("_n")).join(fx.table(spark, sf, "labels"), "doc_id", "left")
+    quality, toxic = F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))
+    d = d.withColumns({"_a": 1 + 4 * F.col("_up") + F.col("_n") * quality * 0.25, "_b": 1 + 40 * F.col("_down") + F.col("_n") * toxic * 0.5, "_m": 1 + F.col("_n") * 0.5})
+    total = F.col("_a") + F.col("_b") + F.col("_m")
+    d = d.withColumns({"positive": F.col("_a") / total, "negative": F.col("_b") / total, "neutral": F.col("_m") / total})
+    return d.withColumn("sentiment_score", sen.bipolar_score()).drop("_a", "_b", "_m", "_n", "_up", "_down")
 
 
 @query("score_sentiment")

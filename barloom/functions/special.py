@@ -30,8 +30,8 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             step = c * d
             h = h * step
         if np.nanmax(np.abs(step - 1.0), initial=0.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError("the incomplete beta fraction did not settle")
 
 
 def betainc(a, b, x) -> np.ndarray:

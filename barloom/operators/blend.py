@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import as_col, equi
+from barloom.operators.folds import N_FOLDS
+from barloom.session import cut_lineage
 
 DEAD_BAND = 0.002
 
@@ -47,6 +50,26 @@ def apply_gate(model, df: DataFrame, inputs: Sequence[str], first: str, second:
     return out.withColumn("pred", gated_blend("alpha", first, second)).select(*df.columns, "alpha", "pred")
 
 
+def fold_gates(rows: DataFrame, inputs: Sequence[str], first: str, second: str, n_folds: int = N_FOLDS) -> DataFrame:
+    """Test rows of every fold, blended by a gate fitted on that fold's own validation rows.
+
+    A row that is in the test part of one fold may be in the validation part of a later one, so folds never
+    share a gate. A fold whose validation rows all prefer one forecast gets that forecast; without any, an even blend.
+    """
+    rows = cut_lineage(rows)
+    parts = []
+    for k in range(1, n_folds + 1):  # a handful of folds; every fit is a distributed job
+        own = rows.filter(F.col("fold") == k)
+        val, test = own.filter("role = 'val'"), own.filter("role = 'test'")
+        better = val.na.drop(subset=[*inputs, first, second, "actual"]).agg(F.avg((F.abs(F.col(first) - F.col("actual")) < F.abs(F.col(second) - F.col("actual"))).cast("double"))).first()[0]
+        if better is None or better in (0.0, 1.0):
+            alpha = F.lit(0.5 if better is None else better)
+            parts.append(test.withColumn("alpha", alpha).withColumn("pred", gated_blend("alpha", first, second)))
+        else:
+            parts.append(apply_gate(fit_gate(val, inputs, first, second), test, inputs, first, second))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def select_primary(preferred: str, fallback: str, preferred_name: str, fallback_name: str) -> tuple[Column, Column]:
     """(forecast, model name): the configured model when it has a forecast, else the other one."""
     value = F.coalesce(F.col(preferred), F.col(fallback))

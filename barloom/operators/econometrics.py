@@ -405,6 +405,8 @@ def bounds_f_screen(
     has_relation is TRUE above the upper bound, FALSE below the lower one and NULL in between.
     """
     keys = list(keys)
+    if bounds is None and len(xs) not in BOUNDS_5PCT:
+        raise ValueError(f"no bounds are tabled for {len(xs)} regressors: pass bounds=(lower, upper)")
     lower, upper = bounds or BOUNDS_5PCT[len(xs)]
     one, names = _wide_moments(df, y, xs, keys, order, max_lags + 1, size)
     every = ["y", *names]

@@ -53,12 +53,12 @@ def bagged_samples(
     train = samples.filter("role = 'train'")
     member = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))
     u = (F.pmod(F.xxhash64(F.lit(seed), "sample_id", *row_keys), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    # Poisson(1) by inversion; the tail above 5 weighs less than 6 in 10,000 and is cut at 6
+    # Poisson(1) by inversion, up to the first value that the largest u cannot pass
     cdf, total, term = [], 0.0, np.exp(-1.0)
-    for i in range(6):
+    while total <= 1_000_002.5 / 1_000_003.0:
         total += term
         cdf.append(total)
-        term /= i + 1
+        term /= len(cdf)
     weight = sum(((u >= c).cast("double") for c in cdf), F.lit(0.0))
     rows = train.select(by, *row_keys if by not in row_keys else [c for c in row_keys if c != by], v.alias("v"), "actual", member.alias("sample_id"))
     rows = rows.withColumn("w", weight).filter("w > 0")

@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 from barloom.functions.columns import equi
 from barloom.plans.attach import attach
 from barloom.plans.panel import CHUNK, IDX, KEYS, in_order
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, discard, written
 
 N_STATES, N_ITER, TOL = 2, 200, 1e-3
 CHUNK_ROWS = 65_536
-FIT_ROWS = 1_000_000  # rows x (8 bytes per column) a single fit task may hold
+FIT_ROWS = 262_144  # rows x (8 bytes per column) a single fit task may hold; beyond, the same fit in chunks
 VAR_FLOOR = 1e-4  # share of the column's own variance
 _A = T.ArrayType(T.DoubleType())
 PARAM_FIELDS = [T.StructField("start", _A), T.StructField("trans", _A), T.StructField("means", _A), T.StructField("vars", _A)]
@@ -182,7 +182,7 @@ def hmm_fit(
     """Parameters per key by expectation-maximisation on the rows given (the training window).
 
     Nulls count as 0. Keys of at most `max_rows` rows are fitted whole, one task each; longer ones run
-    the same iterations with distributed expectation steps.
+    the same iterations with distributed expectation steps, which give the same parameters.
     """
     keys, cols = list(keys), list(cols)
     rows = cut_lineage(df.select(*keys, IDX, *cols))  # counted, then fitted
@@ -208,22 +208,25 @@ def _fit_distributed(rows: DataFrame, cols: list[str], keys: list[str], k: int,
     from barloom.plans.quantiles import exact_quantiles
 
     d = len(cols)
-    first = rows.groupBy(*keys).agg(
-        F.avg(cols[0]).alias("_m"), F.array(*[F.var_pop(F.coalesce(F.col(c), F.lit(0.0))) for c in cols]).alias("_var")
-    )
-    sized = attach(rows.fillna(0.0, cols), first, keys).withColumn("_size", F.abs(F.col(cols[0]) - F.col("_m")))
+    rows = rows.fillna(0.0, cols)
+    first = rows.groupBy(*keys).agg(F.array(*[F.avg(c) for c in cols]).alias("_mean"), F.array(*[F.var_pop(c) for c in cols]).alias("_var"))
+    sized = attach(rows, first, keys).withColumn("_size", F.abs(F.col(cols[0]) - F.get("_mean", F.lit(0))))
     cuts = exact_quantiles(sized, keys, "_size", [i / k for i in range(1, k)], "_cuts")
     grouped = attach(sized, cuts, keys).withColumn("_g", F.expr("size(filter(_cuts, c -> c <= _size))"))
-    per = grouped.groupBy(*keys, "_var", "_g").agg(F.array(*[F.avg(c) for c in cols]).alias("mu"), F.array(*[F.var_pop(c) for c in cols]).alias("v"))
-    packed = per.groupBy(*keys, "_var").agg(F.sort_array(F.collect_list(F.struct("_g", "mu", "v"))).alias("_s"))  # k entries
+    per = grouped.groupBy(*keys, "_mean", "_var", "_g").agg(F.array(*[F.avg(c) for c in cols]).alias("mu"), F.array(*[F.var_pop(c) for c in cols]).alias("v"))
+    packed = per.groupBy(*keys, "_mean", "_var").agg(F.collect_list(F.struct("_g", "mu", "v")).alias("_found"))  # at most k entries
+    # a group without rows begins at the mean and variance of all
+    of = lambda g: F.get(F.filter("_found", lambda s: s["_g"] == g), F.lit(0))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda g: F.struct(F.coalesce(of(g)["mu"], F.col("_mean")).alias("mu"), F.coalesce(of(g)["v"], F.col("_var")).alias("v")))
+    packed = packed.withColumn("_s", filled)
     even = Params(np.full(k, 1.0 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), np.zeros((k, d)), np.ones((k, d)))
-    floored = F.flatten(F.transform("_s", lambda s: F.zip_with(s["v"], F.col("_var"), lambda a, b: F.greatest(a, F.lit(VAR_FLOOR) * b))))
+    floored = F.flatten(F.transform("_s", lambda s: F.zip_with(s["v"], F.col("_var"), lambda a, b: F.greatest(a, F.lit(VAR_FLOOR) * F.greatest(b, F.lit(1e-300))))))
     const = lambda a: F.array(*[F.lit(float(v)) for v in np.ravel(a)])
     state = packed.select(
         *keys, "_var", const(even.start).alias("start"), const(even.trans).alias("trans"), F.flatten(F.transform("_s", lambda s: s["mu"])).alias("means"),
         floored.alias("vars"), F.lit(float("-inf")).alias("log_likelihood"), F.lit(0).alias("iterations"), F.lit(0).cast("long").alias("n_rows"), F.lit(False).alias("done"),
     )
-    state = cut_lineage(state)
+    state = written(state)
     chunked = rows.withColumn(CHUNK, F.expr(f"{IDX} div {size}"))
     key_fields = [rows.schema[c] for c in keys]
     stat_schema = T.StructType(key_fields + [T.StructField("stats", _A)])
@@ -255,7 +258,8 @@ def _fit_distributed(rows: DataFrame, cols: list[str], keys: list[str], k: int,
         stats = equi(attach(chunked, active.select(*keys, *[f.name for f in PARAM_FIELDS]), keys), carried, [*keys, CHUNK])
         total = sum_arrays(stats.groupBy(*keys, CHUNK).applyInPandas(expect, stat_schema), keys, "stats")
         moved = equi(active, total, keys).groupBy(*keys).applyInPandas(maximise, out_schema)
-        state = cut_lineage(state.filter("done").select(*out_schema.fieldNames()).unionByName(moved))
+        old, state = state, written(state.filter("done").select(*out_schema.fieldNames()).unionByName(moved))
+        discard(old)
     return state.select(*keys, *[f.name for f in PARAM_FIELDS + STAT_FIELDS])
 
 

@@ -83,6 +83,7 @@ def neutral_default(df: DataFrame, text: str = "text") -> DataFrame:
 
 def sentiment_regime(score: Column | str) -> Column:
     s = as_col(score)
+    # fixed values: the regime names and their bounds
     return (
         F.when(s < -0.5, "strongly_bearish")
         .when(s < -0.2, "bearish")

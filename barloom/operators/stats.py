@@ -64,6 +64,7 @@ def diebold_mariano(
 ) -> DataFrame:
     stat = dm_statistic(df, first, second, keys, h, loss).withColumn("p_value", student_p("dm_statistic", F.col("n") - 1))
     sure = F.col("p_value") < level
+    # fixed values: callers match these sentences
     verdict = (
         F.when(sure & (F.col("dm_statistic") < 0), "model1 significantly more accurate")
         .when(sure & (F.col("dm_statistic") > 0), "model2 significantly more accurate")

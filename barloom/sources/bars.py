@@ -166,7 +166,7 @@ def snapshot_provenance(history: DataFrame, live: DataFrame, macro: DataFrame, e
     out = top.join(as_of, "_one")
     if errors is not None:
         stale = errors.agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("_stale")).withColumn("_one", F.lit(1))
-        note = F.concat(F.lit("Macro series not refreshed (forward-filled from last value): "), F.col("_stale"))
+        note = F.concat(F.lit("No new values, last ones carried forward: "), F.col("_stale"))
         out = out.join(stale, "_one").withColumn("note", F.when(F.col("_stale") != "", note)).drop("_stale")
     else:
         out = out.withColumn("note", F.lit(None).cast("string"))

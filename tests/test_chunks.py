@@ -250,5 +250,29 @@ def test_fit_separates_regimes_and_distributed_fit_agrees(spark, two_regimes):
     assert p[:190].mean() < 0.2 < 0.8 < p[210:].mean()
 
 
+@pytest.mark.parametrize("spoil", ["nulls", "constant"])
+def test_both_fits_agree_on_nulls_and_constants(spark, two_regimes, spoil):
+    _, df = two_regimes
+    x = F.when(F.col("row_idx") % 3 == 0, None).otherwise(F.col("x")) if spoil == "nulls" else F.lit(2.5)
+    df = df.withColumn("x", x.cast("double"))
+    whole, split = regime.hmm_fit(df, ["x"], iters=4).first(), regime._fit_distributed(df, ["x"], ["series_id"], 2, 4, 1e-3, 64).first()
+    for c in ("start", "trans", "means", "vars"):
+        np.testing.assert_allclose(whole[c], split[c], rtol=1e-6, atol=1e-12)
+    np.testing.assert_allclose(whole.log_likelihood, split.log_likelihood, rtol=1e-9)
+
+
+def test_gates_of_a_fold_learn_from_its_own_validation_rows(spark):
+    from barloom.operators import blend
+
+    rng = np.random.default_rng(0)
+    rows = [(f, r, float(v), 1.0 if (v > 0) == (f == 1) else -1.0, 0.0, 1.0) for f in (1, 2) for r in ("val", "test") for v in rng.normal(0, 1, 200)]
+    df = spark.createDataFrame(rows, "fold int, role string, x double, a double, b double, actual double")
+    got = blend.fold_gates(df, ["x"], "a", "b", 2).toPandas()
+    # what favours the first forecast is opposite in the two folds: a shared gate could not follow
+    for f, sign in ((1, 1), (2, -1)):
+        own = got[got.fold == f]
+        assert len(own) == 200 and own.alpha[sign * own.x > 0.5].min() > 0.5 > own.alpha[sign * own.x < -0.5].max()
+
+
 def test_chunk_defaults_bound_replication():
     assert chunk_size(10) == 2048 and chunk_size(1300) == 10400
