@@ -15,6 +15,8 @@ come first. A null or empty text has the end id only.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,41 +30,71 @@ from barloom.session import shared_folder, written
 
 CACHE = 500_000
 BATCH = 20_000
-_CACHED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_CACHED: dict[str, tuple[object, np.ndarray, dict[bytes, bytes]]] = {}
 
 
-def _tokenizer(model: str) -> tuple[object, dict[bytes, bytes]]:
-    """The tokenizer (its definition travels with the task) and this process's words."""
+def _tokenizer(model: str) -> tuple[object, np.ndarray, dict[bytes, bytes]]:
+    """The tokenizer (its definition travels with the task), which ids end a word, and this process's words."""
     if model not in _CACHED:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tok = Tokenizer.from_str(model)
+        vocabulary = tok.get_vocab()
+        suffix = tok.model.end_of_word_suffix
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         _CACHED.clear()
-        _CACHED[model] = (Tokenizer.from_str(model), {})
+        _CACHED[model] = (tok, ends, {})
     return _CACHED[model]
 
 
-def _learn(tok, known: dict[bytes, bytes], words: list[bytes]) -> None:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    for at in range(0, len(words), BATCH):
-        some = words[at : at + BATCH]
-        for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+def _plain(word: str) -> bool:
+    """Letters only, also in the tokenizer's normal form: such a word is one piece whose last id ends a word."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+def _learn(tok, ends: np.ndarray, known: dict[bytes, bytes], words: list[bytes]) -> None:
+    """Ids of new words. Plain words are encoded side by side in one text and parted by the ids that end a word; a sentence
+    mark after a plain word is a piece of its own. All other words are encoded one by one."""
+    parts: dict[str, bytes] = {}
+    split = {}
+    for w in words:
+        t = w.decode()
+        head, tail = (t[:-1], t[-1]) if t[-1] in ".,!?:;" and _plain(t[:-1]) else (t, "")
+        split[w] = head, tail
+        parts[head] = parts[tail] = b""
+    parts.pop("", None)
+    plain = [p for p in parts if _plain(p)] if ends.any() else []
+    for at in range(0, len(plain), BATCH):
+        some = plain[at : at + BATCH]
+        ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) == len(some):
+            raw, stop = ids.tobytes(), (4 * cut).tolist()
+            parts.update((p, raw[a:b]) for p, a, b in zip(some, [0, *stop], stop))
+    rest = [p for p, ids in parts.items() if not ids]
+    for at in range(0, len(rest), BATCH):
+        some = rest[at : at + BATCH]
+        for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
+            parts[p] = np.array(e.ids, dtype="<u4").tobytes()
+    parts[""] = b""
+    known.update((w, parts[head] + parts[tail]) for w, (head, tail) in split.items())
 
 
 def ids_of(texts: list[str | None], model: str, end_id: int) -> list[bytes]:
     """The ids of each text and the end id, as little-endian 32-bit numbers."""
-    tok, known = _tokenizer(model)
+    tok, ends, known = _tokenizer(model)
     split = [(t or "").encode().split() for t in texts]
     new = list({w for ws in split for w in ws if w not in known})
     room = CACHE - len(known)
     local = known
     if len(new) > room:
         local = {}
-        _learn(tok, local, new[max(0, room) :])
+        _learn(tok, ends, local, new[max(0, room) :])
         new = new[: max(0, room)]
-    _learn(tok, known, new)
+    _learn(tok, ends, known, new)
     end = np.array([end_id], dtype="<u4").tobytes()
     get = known.__getitem__ if local is known else lambda w: known[w] if w in known else local[w]
     return [b"".join(map(get, ws)) + end for ws in split]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import finite
-from barloom.plans.attach import attach
+from barloom.plans.attach import attach, table_bytes
 from barloom.plans.quantiles import ACCURACY, count_below, exact_quantiles, feature_quantiles
+from barloom.plans.wide import MAX_BYTES, collected, count_pass
+from barloom.session import cut_lineage
 
 BUCKETS, EPSILON, ALERT, MODERATE = 10, 1e-4, 0.25, 0.10
 
@@ -102,10 +105,27 @@ def psi_features(
     slim = df.select(*by, "is_reference", *have)
     q = feature_quantiles(slim.filter("is_reference"), by, have, _deciles(buckets), "_q", accuracy)
     key = [*by, "feature"]
-    counts = bucket_counts(long_features(slim, [*by, "is_reference"], have), _inner_edges(q, key), key, buckets)
+    edges = cut_lineage(_inner_edges(q, key))
+    if table_bytes(edges) <= MAX_BYTES:
+        counts = _wide_counts(slim, by, have, edges, max(buckets, 3))
+    else:
+        counts = bucket_counts(long_features(slim, [*by, "is_reference"], have), edges, key, buckets)
     return psi_from_counts(counts, key, epsilon)
 
 
+def _wide_counts(df: DataFrame, by: list[str], cols: Sequence[str], edges: DataFrame, buckets: int) -> DataFrame:
+    """`bucket_counts` of all columns in one pass over wide rows, for an edge table of checked size."""
+    found = collected(edges, by, cols, "inner_edges")
+    numbers = {key: [None if e is None else np.asarray(e) for e in row] for key, row in found.items()}
+    both = {(*key, side): row for key, row in numbers.items() for side in (True, False)}
+    keys = [*by, "is_reference"]
+    wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    counted = count_pass(wide, keys, cols, both, buckets, lambda v, e: np.searchsorted(e, v, side="right"))
+    counts = counted.groupBy(*keys, "feature", F.col("_j").alias("bucket")).agg(F.sum("n").alias("n"))
+    last = edges.select(*by, "feature", F.size("inner_edges").alias("last_bucket"))
+    return attach(counts, last, [*by, "feature"])
+
+
 def with_status(df: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("psi").isNull(), "unknown")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import equi, finite
-from barloom.plans.attach import attach
+from barloom.plans.attach import attach, table_bytes
+from barloom.plans.wide import MAX_BYTES, collected, count_pass
 from barloom.session import cut_lineage
 
 SPLITS = 64
@@ -103,7 +105,20 @@ def feature_quantiles(
     )
     stacked = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_s_{c}.n").alias("total"), F.col(f"_s_{c}.c").alias("_c")) for c in cols])
     sketch = sketch.select(*keys, F.inline(stacked)).filter("total > 0")
-    sketch = sketch.select(*keys, "feature", "total", *_brackets(F.col("total"), F.col("_c"), k, accuracy))
+    sketch = cut_lineage(sketch.select(*keys, "feature", "total", *_brackets(F.col("total"), F.col("_c"), k, accuracy)))
+    if table_bytes(sketch) <= MAX_BYTES:
+        packed = sketch.withColumn("_p", F.array(F.col("total").cast("double")))
+        packed = packed.withColumn("_p", F.concat("_p", "_los", "_his"))
+        # a bounded group has one bracket: its only lower bound stands for all
+        split = lambda p: (p[1:2], p[2:]) if len(p) == 3 else (p[1 : 1 + k], p[1 + k :])
+        places = {key: [None if p is None else tuple(map(np.asarray, split(p))) for p in row] for key, row in collected(packed, keys, cols, "_p").items()}
+
+        def inside(v, j, p):
+            return v >= np.append(p[0], np.inf)[np.minimum(j, len(p[0]))]
+
+        counted = count_pass(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]), keys, cols, places, k + 1, lambda v, p: np.searchsorted(p[1], v, side="left"), inside)
+        counts = counted.groupBy(*keys, "feature", "_j", "value").agg(F.sum("n").alias("n"))
+        return _interpolated(attach(counts, sketch.select(*keys, "feature", "total"), [*keys, "feature"]), [*keys, "feature"], probs, out)
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, list(cols), "feature", "value")
     rows = rows.withColumn("value", finite("value")).filter("value IS NOT NULL")
     return _ranked_quantiles(rows, sketch, [*keys, "feature"], probs, out)
@@ -115,6 +130,12 @@ def _ranked_quantiles(rows: DataFrame, sketch: DataFrame, keys: list[str], probs
     # rows below their bracket sort before it and need no value
     inside = F.when(F.col("value") >= F.coalesce(F.get("_los", F.col("_j")), F.lit(float("inf"))), F.col("value"))
     counts = placed.groupBy(*keys, "total", "_j", inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return _interpolated(counts, keys, probs, out)
+
+
+def _interpolated(counts: DataFrame, keys: list[str], probs: Sequence[float], out: str) -> DataFrame:
+    """Quantiles from rows per bracket: counts of rows before it (NULL value) and of each value inside."""
+    k = len(probs)
     by_bracket = Window.partitionBy(*keys, "_j").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     # each row carries its place inside the bracket and the bracket's size so far; brackets per key are few
     counts = cut_lineage(counts)
