@@ -55,9 +55,10 @@ def _(spark, sf):
     return rounded(cal.ks_uniform_statistic(cal.pit_values(*sample_grid(spark, sf), ROW), ["fold"]), 8)
 
 
-@query("ks_uniform_test")
+@query("ks_uniform_test", f"""WITH {SUMMARY}, {_KS}, l AS (SELECT fold, n, d, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * d AS l FROM ks)
+  SELECT fold, n, {rsql(8, ks_statistic='d')}, round(CASE WHEN l < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * l * l))))) END, 6) AS ks_pvalue FROM l""")
 def _(spark, sf):
-    return cal.ks_uniform(cal.pit_values(*sample_grid(spark, sf), ROW), ["fold"])
+    return rounded(rounded(cal.ks_uniform(cal.pit_values(*sample_grid(spark, sf), ROW), ["fold"]), 8, "ks_statistic"), 6, "ks_pvalue")
 
 
 @query("calibration_report", f"""WITH {SUMMARY}, {_KS}, r AS (SELECT fold, count(*) AS n_predictions, max(n_samples) AS n_samples, {', '.join(f'round({_IN(t)}, 8) AS coverage_{t}' for t in (50, 80, 90))},

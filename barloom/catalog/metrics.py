@@ -191,9 +191,19 @@ def _(spark, sf):
     return stats.direction_counts(forecasts(spark, sf), ["model", "fold"])
 
 
-@query("binomial_test")
+# upper tail P(X >= k) at success probability p, as a sum of terms; the interval's ends are found by bisection
+_TAIL = lambda k, p: f"list_sum(list_transform(range({k}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - ({p})))))"
+
+
+@query("binomial_test", f"""WITH RECURSIVE {FORECASTS}, c AS (SELECT model, count(*) FILTER (sign(pred) = sign(actual)) AS n_correct, count(*) AS n FROM forecasts GROUP BY ALL),
+  b AS (SELECT *, 0 AS step, 0::DOUBLE AS l0, 1::DOUBLE AS l1, 0::DOUBLE AS h0, 1::DOUBLE AS h1 FROM c
+    UNION ALL SELECT model, n_correct, n, step + 1, CASE WHEN tl < 0.025 THEN (l0 + l1) / 2 ELSE l0 END, CASE WHEN tl < 0.025 THEN l1 ELSE (l0 + l1) / 2 END,
+      CASE WHEN th < 0.975 THEN (h0 + h1) / 2 ELSE h0 END, CASE WHEN th < 0.975 THEN h1 ELSE (h0 + h1) / 2 END
+    FROM (SELECT *, {_TAIL('n_correct', '(l0 + l1) / 2')} AS tl, coalesce({_TAIL('n_correct + 1', '(h0 + h1) / 2')}, 0) AS th FROM b WHERE step < 45))
+  SELECT model, n_correct, n, {rsql(6, p_two_sided=f"least(1, 2 * {_TAIL('greatest(n_correct, n - n_correct)', '0.5::DOUBLE')})", p_greater=_TAIL('n_correct', '0.5::DOUBLE'))},
+    round(CASE WHEN n_correct = 0 THEN 0 ELSE (l0 + l1) / 2 END, 6) AS ci_low, round(CASE WHEN n_correct = n THEN 1 ELSE (h0 + h1) / 2 END, 6) AS ci_high FROM b WHERE step = 45""")
 def _(spark, sf):
-    return stats.binomial_test(forecasts(spark, sf), ["model"])
+    return rounded(stats.binomial_test(forecasts(spark, sf), ["model"]), 6)
 
 
 def _dm_sql(h: int, loss: str) -> str:
@@ -219,15 +229,17 @@ for _h, _loss in ((1, "squared"), (3, "absolute")):
         return rounded(rounded(_dm(spark, sf, h, loss), 6, "dm_statistic"), 8, "mean_loss_model1", "mean_loss_model2")
 
 
-@query("diebold_mariano_test")
-def _(spark, sf):
-    return stats.diebold_mariano(wide_forecasts(spark, sf), "ar1", "persistence", ["fold"])
+# Student's t by the finite sums for whole degrees of freedom
+_T_INSIDE = """CASE WHEN f % 2 = 0 THEN sin(a) * (1 + coalesce(list_sum(list_transform(range(1, f // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2) + 2 * k * ln(cos(a))))), 0))
+  ELSE 2 / pi() * (a + CASE WHEN f > 1 THEN sin(a) * cos(a) * (1 + coalesce(list_sum(list_transform(range(1, (f - 1) // 2), lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + 2 * k * ln(cos(a))))), 0)) ELSE 0 END) END"""
 
 
-@query("walk_forward_summary", f"""WITH {FORECASTS} SELECT series_id, fold, model, {rsql(6, mse=METRICS['mse'], mae=METRICS['mae'], directional_accuracy=METRICS['directional_accuracy'])}, count(*) AS n
-  FROM forecasts GROUP BY GROUPING SETS ((series_id, fold, model), (series_id, model))""")
+@query("diebold_mariano_test", f"""WITH {FORECASTS}, l AS (SELECT fold, (actual - ar1) * (actual - ar1) AS l1, (actual - persistence) * (actual - persistence) AS l2 FROM wide WHERE ar1 IS NOT NULL),
+  g AS (SELECT fold, count(*) AS n, avg(l1 - l2) / sqrt(greatest(var_pop(l1 - l2), 1e-300) / count(*)) * sqrt((count(*) - 1) / count(*)::DOUBLE) AS t, avg(l1) AS m1, avg(l2) AS m2 FROM l GROUP BY 1),
+  p AS (SELECT *, 1 - ({_T_INSIDE}) AS p FROM (SELECT *, n - 1 AS f, atan(abs(t) / sqrt(n - 1)) AS a FROM g))
+  SELECT fold, n, {rsql(6, dm_statistic='t', p_value='p')}, {rsql(8, mean_loss_model1='m1', mean_loss_model2='m2')}, 'squared' AS loss_function, 1 AS horizon,
+    CASE WHEN p < 0.05 AND t < 0 THEN 'model1' WHEN p < 0.05 AND t > 0 THEN 'model2' ELSE 'neither' END AS better FROM p""")
 def _(spark, sf):
-    out = mt.metric_report(forecasts(spark, sf), ("series_id", "model"))
-    return rounded(out.select("series_id", "fold", "model", "mse", "mae", "directional_accuracy", "n"), 6)
-
-
+    out = stats.diebold_mariano(wide_forecasts(spark, sf).filter("ar1 IS NOT NULL"), "ar1", "persistence", ["fold"])
+    better = F.when(F.col("interpretation").startswith("model"), F.substring("interpretation", 1, 6)).otherwise("neither")
+    return rounded(rounded(out.withColumn("better", better).drop("interpretation"), 6, "dm_statistic", "p_value"), 8, "mean_loss_model1", "mean_loss_model2")

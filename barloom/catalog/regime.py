@@ -81,13 +81,24 @@ def _(spark, sf):
     return out.select("series_id", "fold", "bar_date", "role", "regime_high_vol_prob")
 
 
-@query("hmm_smooth")
+@query("hmm_smooth", f"""WITH RECURSIVE {_OBS_SQL}, ends AS (SELECT series_id, max(row_idx) AS last FROM eb GROUP BY 1),
+  b AS (SELECT series_id, last AS row_idx, 0.5::DOUBLE AS q0 FROM ends
+    UNION ALL SELECT series_id, row_idx - 1, u0 / (u0 + u1) FROM (SELECT b.series_id, b.row_idx, {_T[0]} * e.b0 * b.q0 + {_T[1]} * e.b1 * (1 - b.q0) AS u0, {_T[2]} * e.b0 * b.q0 + {_T[3]} * e.b1 * (1 - b.q0) AS u1
+      FROM b JOIN eb e USING (series_id, row_idx) WHERE b.row_idx > 0))
+  SELECT series_id, bar_date, round((1 - p0) * (1 - q0) / (p0 * q0 + (1 - p0) * (1 - q0)), 6) AS noncausal_p_state1 FROM f JOIN b USING (series_id, row_idx) JOIN eb USING (series_id, row_idx)""")
 def _(spark, sf):
     df = observations(spark, sf)
-    return regime.hmm_smooth(df, pinned(df), OBS).select(*KEY, F.col("noncausal_smoothed")[1].alias("noncausal_p_state1"))
+    return rounded(regime.hmm_smooth(df, pinned(df), OBS, size=1024).select(*KEY, F.col("noncausal_smoothed")[1].alias("noncausal_p_state1")), 6)
 
 
-@query("hmm_viterbi")
+@query("hmm_viterbi", f"""WITH RECURSIVE {_OBS_SQL}, v AS (SELECT series_id, row_idx, ln({_PI[0]}) + l0 AS d0, ln({_PI[1]}) + l1 AS d1, 0 AS k0, 0 AS k1 FROM em WHERE row_idx = 0
+    UNION ALL SELECT e.series_id, e.row_idx, greatest(v.d0 + ln({_T[0]}), v.d1 + ln({_T[2]})) + l0, greatest(v.d0 + ln({_T[1]}), v.d1 + ln({_T[3]})) + l1,
+      CASE WHEN v.d1 + ln({_T[2]}) > v.d0 + ln({_T[0]}) THEN 1 ELSE 0 END, CASE WHEN v.d1 + ln({_T[3]}) > v.d0 + ln({_T[1]}) THEN 1 ELSE 0 END
+    FROM v JOIN em e ON e.series_id = v.series_id AND e.row_idx = v.row_idx + 1),
+  ends AS (SELECT series_id, max(row_idx) AS last FROM em GROUP BY 1),
+  s AS (SELECT v.series_id, v.row_idx, CASE WHEN d1 > d0 THEN 1 ELSE 0 END AS state FROM v JOIN ends ON v.series_id = ends.series_id AND v.row_idx = ends.last
+    UNION ALL SELECT s.series_id, s.row_idx - 1, CASE WHEN s.state = 0 THEN v.k0 ELSE v.k1 END FROM s JOIN v USING (series_id, row_idx) WHERE s.row_idx > 0)
+  SELECT series_id, bar_date, state AS noncausal_state FROM s JOIN em USING (series_id, row_idx)""")
 def _(spark, sf):
     df = observations(spark, sf)
-    return regime.hmm_viterbi(df, pinned(df), OBS).select(*KEY, "noncausal_state")
+    return regime.hmm_viterbi(df, pinned(df), OBS, size=1024).select(*KEY, "noncausal_state")

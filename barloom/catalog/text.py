@@ -43,6 +43,16 @@ def _(spark, sf):
     return sen.score_sentiment(model, fx.table(spark, sf, "documents").select("doc_id", "lang", "text")).drop("text")
 
 
+@query("score_sentiment_checks", "SELECT count(*) AS n, 0::BIGINT AS n_bad FROM documents")
+def _(spark, sf):
+    """Every document scored once: probabilities add up to one and the score is their difference."""
+    labelled = cut_lineage(fx.labelled_documents(spark, sf))
+    out = sen.score_sentiment(sen.train_sentiment(labelled), fx.table(spark, sf, "documents").select("doc_id", "text"))
+    total = F.col("positive") + F.col("negative") + F.col("neutral")
+    bad = (F.abs(total - 1) > 1e-9) | (F.abs(F.col("sentiment_score") - (F.col("positive") - F.col("negative"))) > 1e-12) | (F.least("positive", "negative", "neutral") < 0)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("n_bad"))
+
+
 @query("bipolar_score", f"WITH {_PROB} SELECT doc_id, round(score, 8) AS score FROM ps")
 def _(spark, sf):
     return rounded(probabilities(spark, sf).select("doc_id", F.col("sentiment_score").alias("score")), 8)
