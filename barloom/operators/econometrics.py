@@ -19,7 +19,7 @@ from barloom.functions.columns import equi, ratio
 from barloom.operators.features import difference
 from barloom.plans.attach import attach
 from barloom.plans.moments import Moments, gaussian_llf, lag_moments, lag_names, lag_products, standardise
-from barloom.plans.panel import IDX, KEYS, mapped, row_index, running, windowed
+from barloom.plans.panel import CHUNK, IDX, KEYS, haloed, in_order, mapped, owned, row_index, running, windowed
 from barloom.session import cut_lineage
 
 LEVEL, MIN_OBS = 0.05, 20
@@ -458,7 +458,8 @@ def cointegration_screen(pairs: DataFrame, keys: Sequence[str] = ("a", "b"), ord
 
 
 # --- ARMA on returns
-LONG_AR, MAX_ROOT = 12, 0.98
+LONG_AR = 12
+ARMA_CHUNK, ARMA_BLOCK = 65_536, 256
 _ARMA = T.StructType(
     [T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType()), T.StructField("const", T.DoubleType()), T.StructField("phi", T.ArrayType(T.DoubleType())),
      T.StructField("theta", T.ArrayType(T.DoubleType())), T.StructField("sigma2", T.DoubleType()), T.StructField("bic", T.DoubleType()), T.StructField("nobs", T.LongType())]
@@ -468,7 +469,8 @@ _ARMA = T.StructType(
 def _arma_solve(flat, mean: float, sd: float, max_p: int, max_q: int, long_ar: int):
     """Two-stage (Hannan-Rissanen) estimates of every order from one moment matrix; the smallest BIC wins.
 
-    Orders whose moving-average part is not safely invertible are left out.
+    Moving-average roots outside the unit circle are reflected into it, which leaves the autocovariances as they
+    are; every order competes.
     """
     m = Moments(flat, lag_names(["y"], long_ar + max_q))
     beta, _, _ = m.ols("y0", ["1", *[f"y{i}" for i in range(1, long_ar + 1)]])
@@ -486,8 +488,7 @@ def _arma_solve(flat, mean: float, sd: float, max_p: int, max_q: int, long_ar: i
         except np.linalg.LinAlgError:
             continue
         phi, theta = b[1 : 1 + p], b[1 + p :]
-        if q and np.max(np.abs(np.roots(np.concatenate([[1.0], theta]))), initial=0.0) > MAX_ROOT:
-            continue
+        theta = _invertible(theta)
         bic = m.n * np.log(ssr / m.n) + np.log(m.n) * (p + q + 2)
         if best is None or bic < best[0]:
             const = mean * (1 - phi.sum()) + sd * b[0]
@@ -526,18 +527,54 @@ def arma_order_select(
     return one.withColumn("_s", solve("moments", "mean", "sd")).select(*keys, *(["segment"] if segment else []), "_s.*")
 
 
-def _residuals(y: np.ndarray, const: float, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """Innovations of a fixed ARMA, zero before the start: the MA part as a decaying convolution."""
+def _invertible(theta: np.ndarray) -> np.ndarray:
+    roots = np.roots(np.concatenate([[1.0], theta])) if len(theta) else np.zeros(0)
+    outside = np.abs(roots) > 1.0
+    if not outside.any():
+        return theta
+    roots[outside] = 1.0 / np.conj(roots[outside])
+    full = np.zeros(len(theta))
+    poly = np.real(np.poly(roots))[1:]
+    full[: len(poly)] = poly
+    return full
+
+
+def _companion(theta: np.ndarray) -> np.ndarray:
+    """State matrix of e[t] = u[t] - sum theta_j e[t-j] for the state (e[t], e[t-1], ...)."""
+    q = len(theta)
+    m = np.eye(q, k=-1)
+    m[0] = -theta
+    return m
+
+
+def _driven(y: np.ndarray, first: int, const: float, phi: np.ndarray) -> np.ndarray:
+    """y - const - sum phi_i y[t-i]; zero on the first rows of a series. `first` is the position of y[0] in it."""
     u = y - const
     for i, f in enumerate(phi, 1):
         u[i:] -= f * y[:-i]
-    u[: len(phi)] = 0.0
-    if len(theta) == 0:
+    u[: max(0, len(phi) - first)] = 0.0
+    return u
+
+
+def _innovations(u: np.ndarray, theta: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """e[t] = u[t] - sum theta_j e[t-j] with `before` = (e[-1], e[-2], ...): exact, block by block."""
+    q = len(theta)
+    if q == 0:
         return u
-    weights = np.zeros(min(len(y), 2048))
-    for k in range(len(weights)):
-        weights[k] = (k == 0) - sum(t * weights[k - j] for j, t in enumerate(theta, 1) if k >= j)
-    return np.convolve(u, weights)[: len(y)]
+    m, state = _companion(theta), np.asarray(before, dtype=float)
+    # rows of `free`: what the incoming state adds to each row of a block; `pulse`: the response to one unit
+    free, power = np.empty((ARMA_BLOCK, q)), np.eye(q)
+    for t in range(ARMA_BLOCK):
+        power = m @ power
+        free[t] = power[0]
+    pulse = np.concatenate([[1.0], free[:-1, 0]])
+    out = np.empty(len(u))
+    for a in range(0, len(u), ARMA_BLOCK):
+        block = u[a : a + ARMA_BLOCK]
+        e = np.convolve(block, pulse[: len(block)])[: len(block)] + free[: len(block)] @ state
+        out[a : a + len(block)] = e
+        state = np.concatenate([e[::-1], state])[:q]
+    return out
 
 
 def rolling_arma_forecast(
@@ -546,38 +583,75 @@ def rolling_arma_forecast(
     """One-step forecasts with parameters fixed per (key, fold), absorbing every actual.
 
     `rows` holds the whole history with `fold` set on rows to score (NULL elsewhere). The forecast on a
-    row is for the next row. Innovations forget their start within the halo (roots are at most 0.98).
+    row is for the next row. The innovations are a linear recursion over the whole history: each chunk reports
+    its affine map of the last q innovations, a scan over chunk rows hands every chunk its state, and the
+    chunks then run independently, exactly, whatever the roots.
     """
-    keys = list(keys)
+    keys, size = list(keys), size or ARMA_CHUNK
     packed = params.groupBy(*keys).agg(
         F.collect_list(F.struct(F.col("segment").alias("fold"), "const", "phi", "theta")).alias("_params")  # one entry per fold
     )
-    work = attach(rows, packed, keys, "left")
+    depth = max(1, params.agg(F.max(F.size("phi"))).first()[0] or 1)
+    work = cut_lineage(attach(rows, packed, keys, "left").filter("_params IS NOT NULL"))
+    fields = [rows.schema[k] for k in keys]
+    piece = T.StructType([*fields, T.StructField("_f", T.LongType()), T.StructField(CHUNK, T.LongType()), T.StructField("_map", T.ArrayType(T.DoubleType())), T.StructField("_end", T.ArrayType(T.DoubleType()))])
+    start = T.StructType([*fields, T.StructField("_f", T.LongType()), T.StructField(CHUNK, T.LongType()), T.StructField("_in", T.ArrayType(T.DoubleType()))])
+
+    def parts(pdf: pd.DataFrame):
+        """Of the chunk's own rows and each fold: parameters and driven values."""
+        y, at, mine = np.nan_to_num(pdf[ret].to_numpy(dtype=float)), int(pdf[IDX].iloc[0]), pdf["_owned"].to_numpy()
+        for p in pdf["_params"].iloc[0]:
+            phi, theta = np.asarray(p["phi"], dtype=float), np.asarray(p["theta"], dtype=float)
+            yield p, phi, theta, _driven(y.copy(), at, p["const"], phi)[mine]
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, out = pdf[pdf["_owned"]], []
+        if len(own):
+            key, chunk = [own[k].iloc[0] for k in keys], int(own[IDX].iloc[0]) // size
+            for p, _, theta, u in parts(pdf):
+                q = len(theta)
+                e = _innovations(u, theta, np.zeros(q)) if q else u[:0]
+                end = np.concatenate([e[::-1], np.zeros(q)])[:q]
+                out.append([*key, int(p["fold"]), chunk, np.linalg.matrix_power(_companion(theta), len(own)).ravel() if q else [], end])
+        return pd.DataFrame(out, columns=piece.fieldNames())
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK, ignore_index=True)
+        state, incoming = np.zeros(len(pdf["_end"].iloc[0])), []
+        for m, end in zip(pdf["_map"], pdf["_end"]):
+            incoming.append(state)
+            state = np.asarray(m).reshape(len(state), -1) @ state + np.asarray(end) if len(state) else state
+        return pdf.assign(_in=incoming)[start.fieldNames()]
+
+    pieces = mapped(work, summarise, piece, back=depth, keys=keys, size=size)
+    # one row per fold and chunk of a series
+    carried = pieces.groupBy(*keys, "_f").applyInPandas(scan, start).groupBy(*keys, CHUNK).agg(F.collect_list(F.struct("_f", "_in")).alias("_carry"))
+    ready = equi(haloed(work, size, depth).withColumn("_owned", owned(size)), carried, [*keys, CHUNK])
     schema = T.StructType([*rows.schema.fields, T.StructField("arma_forecast", T.DoubleType())])
     names = schema.fieldNames()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf["_owned"] & pdf[fold].notna()
-        if not mine.any() or pdf["_params"].iloc[0] is None:
-            return pd.DataFrame(columns=names)
-        y = np.nan_to_num(pdf[ret].to_numpy(dtype=float))
-        f = pdf[fold].to_numpy(dtype=float)
-        out = np.full(len(y), np.nan)
-        for p in pdf["_params"].iloc[0]:
-            at = np.flatnonzero(mine.to_numpy() & (f == p["fold"]))
-            if len(at) == 0:
+        pdf = in_order(pdf)
+        own = pdf["_owned"].to_numpy()
+        fold_of = pdf[fold].to_numpy(dtype=float)
+        out, y, before = np.full(len(pdf), np.nan), np.nan_to_num(pdf[ret].to_numpy(dtype=float)), int((~own).sum())
+        carry = {int(c["_f"]): np.asarray(c["_in"], dtype=float) for c in pdf["_carry"].iloc[0]}
+        for p, phi, theta, u in parts(pdf):
+            at = np.flatnonzero(own & (fold_of == p["fold"]))
+            if not len(at):
                 continue
-            phi, theta = np.asarray(p["phi"], dtype=float), np.asarray(p["theta"], dtype=float)
-            e = _residuals(y, p["const"], phi, theta)
             step = np.full(len(at), p["const"])
             for i, w in enumerate(phi):
                 step += w * np.where(at >= i, y[at - i], 0.0)
-            for j, w in enumerate(theta):
-                step += w * np.where(at >= j, e[at - j], 0.0)
+            if len(theta):
+                state = carry[int(p["fold"])]
+                e = np.concatenate([state[::-1], _innovations(u, theta, state)])
+                for j, w in enumerate(theta):
+                    step += w * e[at - before - j + len(state)]
             out[at] = step
-        return pdf.assign(arma_forecast=out).loc[mine, names]
+        return pdf.assign(arma_forecast=out).loc[own & ~np.isnan(fold_of), names]
 
-    return mapped(work, run, schema, back=2064, keys=keys, size=size)
+    return ready.groupBy(*keys, CHUNK).applyInPandas(run, schema)
 
 
 def fixed_ar_forecast(w, ret: str, const: float, phi: Sequence[float]) -> Column:
@@ -595,8 +669,7 @@ def latest_arma_forecast(df: DataFrame, ret: str = "ret_1d", keys: Sequence[str]
     params = arma_order_select(whole, ret, keys, "_seg", 1)
     n = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_returns"), F.max(IDX).alias("_last"))
     marked = attach(whole.drop("_seg"), n, keys).withColumn("fold", F.when(F.col(IDX) == F.col("_last"), F.lit(1)))
-    # only the tail that still matters for the newest innovation is scored
-    tail = row_index(marked.filter(F.col(IDX) > F.col("_last") - 4096).select(*keys, F.col(IDX).alias("_o"), ret, "fold"), keys, "_o").drop("_o")
-    scored = rolling_arma_forecast(tail, params, ret, keys, size=size).select(*keys, "arma_forecast")
+    ordered = row_index(marked.select(*keys, F.col(IDX).alias("_o"), ret, "fold"), keys, "_o").drop("_o")
+    scored = rolling_arma_forecast(ordered, params, ret, keys, size=size).select(*keys, "arma_forecast")
     out = equi(equi(n, params.drop("segment"), keys, "left"), scored, keys, "left")
     return out.withColumn("arma_forecast", F.when(F.col("n_returns") >= min_obs, F.col("arma_forecast"))).drop("_last")

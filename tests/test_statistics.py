@@ -210,6 +210,25 @@ def test_moving_average_order_and_forecast(spark):
     assert resid[50:].var() < 1.1 < y.var()
 
 
+@pytest.mark.parametrize("theta", [[0.6], [0.999], [-1.3, 0.8], [0.2, -0.5, 0.9]])
+def test_innovations_are_exact_over_chunks(spark, theta):
+    rng = np.random.default_rng(8)
+    n, phi, const = 700, [0.4, -0.2], 0.1
+    y = rng.normal(size=n)
+    theta = eco._invertible(np.array(theta)).tolist()
+    assert np.abs(np.roots([1.0, *theta])).max() <= 1.0 + 1e-9
+    e, want = [], []
+    for t in range(n):
+        u = y[t] - const - sum(f * y[t - i] for i, f in enumerate(phi, 1)) if t >= 2 else 0.0
+        e.append(u - sum(w * e[t - j] for j, w in enumerate(theta, 1) if t >= j))
+        want.append(const + sum(f * y[t - i] for i, f in enumerate(phi) if t >= i) + sum(w * e[t - j] for j, w in enumerate(theta) if t >= j))
+    df = frame(spark, series_id="m", row_idx=np.arange(n), ret_1d=y).withColumn("fold", F.when(F.col("row_idx") >= 300, F.lit(2)))
+    params = spark.createDataFrame([("m", 2, const, phi, theta), ("m", 1, 0.0, [], [0.5])], "series_id string, segment int, const double, phi array<double>, theta array<double>")
+    for size in (64, 65_536):
+        got = eco.rolling_arma_forecast(df, params, size=size).toPandas().sort_values("row_idx")
+        np.testing.assert_allclose(got.arma_forecast, want[300:], rtol=1e-9, atol=1e-9)
+
+
 def test_ardl_recovers_coefficients(spark):
     rng = np.random.default_rng(7)
     n = 600
