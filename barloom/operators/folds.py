@@ -11,6 +11,7 @@ from barloom.functions.columns import as_col, clip, equi, ratio
 from barloom.operators.clean import latest_rows
 from barloom.plans.attach import attach
 from barloom.plans.panel import IDX, KEYS, windowed
+from barloom.plans.wide import moments_pass
 
 N_FOLDS, INITIAL, VALIDATION = 5, 0.55, 0.15
 SEQUENCE = 60
@@ -118,13 +119,21 @@ def ar_return_input(forecast: str = "ar_forecast", close: str = "close") -> Colu
 def fit_scaler(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kind: str = "standard") -> DataFrame:
     """Scaler table (by..., feature, mean, scale); fit it on training rows only.
 
-    standard: population deviation, 1 where it is 0. minmax: minimum and range, 1 where it is 0.
+    standard: population deviation, 1 where it is 0. minmax: minimum and range, 1 where it is 0. Columns without a
+    finite value have neither. One pass over wide rows; tasks hand on a few numbers per key and column.
     """
-    # long form: two aggregates over few keys compile, a pair per column does not beyond some 30 columns
-    spread = F.stddev_pop("value") if kind == "standard" else F.max("value") - F.min("value")
-    center = F.avg("value") if kind == "standard" else F.min("value")
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "feature", "value")
-    fitted = long.groupBy(*by, "feature").agg(center.alias("mean"), spread.alias("_spread"))
+    by = list(by)
+    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    parts = moments_pass(rows, by, cols)
+    # the rows of a key and column are as many as tasks: their own means weigh in against the common one
+    w = Window.partitionBy(*by, "feature")
+    parts = parts.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    gap = F.col("mean") - F.col("_mean")
+    if kind == "standard":
+        center, spread = F.first("_mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * gap * gap) / F.sum("n"))
+    else:
+        center, spread = F.min("low"), F.max("high") - F.min("low")
+    fitted = parts.groupBy(*by, "feature").agg(center.alias("mean"), spread.alias("_spread"))
     return fitted.select(*by, "feature", "mean", F.coalesce(F.nullif(F.col("_spread"), F.lit(0.0)), F.lit(1.0)).alias("scale"))
 
 

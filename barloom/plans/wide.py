@@ -82,6 +82,44 @@ def count_pass(df: DataFrame, keys: Sequence[str], cols: Sequence[str], places:
     return df.select(*keys, *cols).mapInArrow(run, f"{fields}{', ' if fields else ''}feature string, _j int, value double, n bigint")
 
 
+def moments_pass(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """keys, feature, n, mean, m2, low, high of the finite values of every column, some rows per key and task.
+
+    m2 is the sum of squares about the row's own mean: rows of a key merge without cancellation.
+    """
+    keys, cols = list(keys), list(cols)
+    fields = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def flushed() -> pa.RecordBatch:
+            rows = [(key, i, *t) for key, own in held.items() for i, t in enumerate(own) if t[0]]
+            arrays = [pa.array([r[0][i] for r in rows], t) for i, t in enumerate(kinds)]
+            values = [pa.array([r[j] for r in rows], pa.float64()) for j in range(3, 7)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([cols[r[1]] for r in rows], pa.string()), pa.array([int(r[2]) for r in rows], pa.int64()), *values], [*keys, "feature", "n", "mean", "m2", "low", "high"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for key, columns in per_key_arrays(batch, keys, cols):
+                own = held.setdefault(key, np.tile([0.0, 0.0, 0.0, np.inf, -np.inf], (len(cols), 1)))
+                for t, v in zip(own, columns):
+                    v = v[~np.isnan(v)]
+                    if len(v):
+                        n, mean = t[0] + len(v), v.mean()
+                        t[2] += np.square(v - mean).sum() + (mean - t[1]) ** 2 * t[0] * len(v) / n
+                        t[1] += (mean - t[1]) * len(v) / n
+                        t[0], t[3], t[4] = n, min(t[3], v.min()), max(t[4], v.max())
+            if len(held) > FLUSH:
+                yield flushed()
+                held = {}
+        if held:
+            yield flushed()
+
+    return df.select(*keys, *cols).mapInArrow(run, fields + "feature string, n bigint, mean double, m2 double, low double, high double")
+
+
 def collected(table: DataFrame, keys: Sequence[str], cols: Sequence[str], value: str) -> dict[tuple, list]:
     """A checked-size table of (keys, feature, numbers) as {key: numbers by column}."""
     at = {c: i for i, c in enumerate(cols)}

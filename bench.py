@@ -86,7 +86,7 @@ def main() -> None:
         )
 
     def observations():
-        return feats.select("series_id", "bar_date", "row_idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ret_1d", "vol_10d")])
+        return feats.select("series_id", "bar_date", "row_idx", "n_rows", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ret_1d", "vol_10d")])
 
     def scaled():
         cols = [c for c in features.FEATURES if c in feats.columns]
@@ -99,7 +99,7 @@ def main() -> None:
     timed("backtest", lambda: metrics.backtest(row_index(long, key, "bar_date"), key))
     timed("calibration_report", lambda: calibration.calibration_report(samples(), wide, ["series_id", "fold", "bar_date"], ["fold"]))
     timed("hmm_filter", lambda: regime.hmm_filter(observations(), pinned(bars), ("ret_1d", "vol_10d")))
-    timed("hmm_fit", lambda: regime.hmm_fit(observations(), ("ret_1d", "vol_10d"), iters=25))
+    timed("hmm_fit", lambda: regime.hmm_fit(folds.expand_folds(observations()).filter("role <> 'test'"), ("ret_1d", "vol_10d"), ["series_id", "fold"]))
     timed("adf_screen", lambda: econometrics.adf_screen(panel(), "close"))
     timed("arma_order_select", lambda: econometrics.arma_order_select(ec.fold_segments(feats), "ret_1d", segment="segment", n_segments=5))
     timed("fold_scaler", scaled)
