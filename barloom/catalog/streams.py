@@ -92,8 +92,8 @@ def _(spark, sf):
     drift.bucket_counts(reference.withColumn("is_reference", F.lit(True)), edges, ["feature"]).write.parquet(f"{base}/counts")
     counts = spark.read.parquet(f"{base}/counts")
     live = st.read_table_stream(spark, sf, "events").filter("event_id % 2 = 1").select(F.col("event_type").alias("feature"), "value")
-    st.run_batches(live, st.psi_batch(edges, counts, ["feature"], f"{base}/out"), f"{base}/checkpoint")
-    return rounded(spark.read.parquet(f"{base}/out").select("feature", "psi", "n_current"), 8)
+    st.run_batches(live, st.psi_batch(edges, ["feature"], f"{base}/out"), f"{base}/checkpoint")
+    return rounded(st.read_psi(spark, f"{base}/out", counts, ["feature"]).select("feature", "psi", "n_current"), 8)
 
 
 @query("stream_forecast", """WITH ev AS (SELECT event_type, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS prev FROM events),
@@ -110,5 +110,5 @@ def _(spark, sf):
     fit.write.parquet(f"{base}/params")
     sink = st.forecast_batch(spark.read.parquet(f"{base}/params"), f"{base}/out", "event_type", "ts", "value")
     st.run_batches(st.read_table_stream(spark, sf, "events"), sink, f"{base}/checkpoint")
-    out = spark.read.parquet(f"{base}/out").drop("batch")
+    out = st.read_newest(spark, f"{base}/out", ["event_type"], "ts")
     return rounded(out, 6, "forecast_return", "predicted")

@@ -16,8 +16,11 @@ from barloom.operators.drift import bucket_counts, psi_from_counts, with_status
 from barloom.operators.regime import Params, step_matrices
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """One parquet table of a folder as a stream."""
+FILES_PER_TRIGGER = 64
+
+
+def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    """One parquet table of a folder as a stream; a micro-batch takes at most `files_per_trigger` files."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
@@ -77,9 +80,10 @@ def read_last(spark: SparkSession, target: str, keys: Sequence[str], arrival: st
 
 
 def _newer(frames: Iterator[pd.DataFrame], ts: str, last) -> pd.DataFrame:
-    """The key's rows of this micro-batch in time order, without rows at or before the stored time."""
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(ts, ignore_index=True)
-    return rows if last is None else rows[rows[ts] > pd.Timestamp(last)]
+    """The key's rows of this micro-batch in time order, without rows before the stored time. Ties stay: a row of the
+    stored time that comes in a later batch follows those already taken."""
+    rows = pd.concat(list(frames), ignore_index=True).sort_values(ts, ignore_index=True, kind="stable")
+    return rows if last is None else rows[rows[ts] >= pd.Timestamp(last)]
 
 
 def stream_ema(stream: DataFrame, key: str, ts: str, value: str, span: int) -> DataFrame:
@@ -128,17 +132,27 @@ def stream_hmm_filter(stream: DataFrame, key: str, ts: str, cols: Sequence[str],
     return src.groupBy(key).applyInPandasWithState(step, out, state_schema, "append", "NoTimeout")
 
 
-def psi_batch(edges: DataFrame, reference_counts: DataFrame, by: Sequence[str], target: str):
-    """foreachBatch sink: PSI of each live batch against stored edges and stored reference counts."""
+def psi_batch(edges: DataFrame, by: Sequence[str], target: str):
+    """foreachBatch sink: bucket counts of each live batch against stored edges; `read_psi` adds the batches up."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        current = bucket_counts(batch.withColumn("is_reference", F.lit(False)), edges, by)
-        report = with_status(psi_from_counts(reference_counts.unionByName(current), by))
-        report.filter("n_current > 0").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        bucket_counts(batch.withColumn("is_reference", F.lit(False)), edges, by).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return write
 
 
+def read_psi(spark: SparkSession, target: str, reference_counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per key: PSI of all live batches so far against the reference counts."""
+    live = spark.read.parquet(target).drop("batch")
+    return with_status(psi_from_counts(reference_counts.unionByName(live), by)).filter("n_current > 0")
+
+
+def read_newest(spark: SparkSession, target: str, keys: Sequence[str], ts: str) -> DataFrame:
+    """One row per key of a sink that writes a result a batch: the newest, of the latest batch among equal times."""
+    rows = spark.read.parquet(target)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(ts, "batch")).alias("_r")).select(*keys, "_r.*").drop("batch")
+
+
 def forecast_batch(params: DataFrame, target: str, key: str, ts: str, value: str):
     """foreachBatch sink: newest row per series of the batch scored with stored one-lag parameters."""
 

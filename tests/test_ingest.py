@@ -163,3 +163,30 @@ def test_stream_bars_final_once_and_late_rows_dropped(spark, ticks, tmp_path):
     after = st.run_available(bars, str(tmp_path / "o"), str(tmp_path / "c")).toPandas().sort_values(["series_id", "bar_date"], ignore_index=True)
     first = after[(after.series_id == "a") & (after.bar_date.astype(str) == "2024-01-01")]
     assert len(first) == 1 and first.high.iloc[0] < 9999 and len(after) == len(before)
+
+
+def test_ties_over_two_batches_are_all_taken(spark, tmp_path):
+    at = pd.Timestamp("2024-01-01")
+    for v in (1.0, 2.0, 4.0):
+        spark.createDataFrame(pd.DataFrame({"k": ["a"], "ts": [at], "value": [v]})).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    out = st.run_available(st.stream_ema(stream(spark, str(tmp_path / "d")), "k", "ts", "value", 3), str(tmp_path / "o"), str(tmp_path / "c")).toPandas()
+    assert sorted(out.value) == [1.0, 2.0, 4.0]
+
+
+def test_sinks_give_one_row_per_key_over_several_batches(spark, ticks, tmp_path):
+    from barloom.operators import drift
+
+    pdf, path = ticks
+    rows = spark.read.parquet(path).filter("value < 9000")
+    reference = rows.select("k", "value")
+    edges = drift.psi_edges(reference, ["k"])
+    counts = drift.bucket_counts(reference.withColumn("is_reference", F.lit(True)), edges, ["k"])
+    st.run_batches(stream(spark, path).filter("value < 9000").select("k", "value"), st.psi_batch(edges, ["k"], str(tmp_path / "p")), str(tmp_path / "pc"))
+    got = st.read_psi(spark, str(tmp_path / "p"), counts, ["k"]).collect()
+    assert sorted(r.k for r in got) == ["a", "b"] and all(abs(r.psi) < 1e-9 and r.n_current == (pdf.k == r.k).sum() for r in got)
+    params = spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 0.5)], "k string, intercept double, slope double")
+    st.run_batches(stream(spark, path).filter("value < 9000"), st.forecast_batch(params, str(tmp_path / "f"), "k", "ts", "value"), str(tmp_path / "fc"))
+    newest = {r.k: r for r in st.read_newest(spark, str(tmp_path / "f"), ["k"], "ts").collect()}
+    for k, g in pdf.groupby("k"):
+        last = g.sort_values("ts").iloc[-1]
+        assert newest[k].value == last.value and newest[k].predicted == pytest.approx({"a": 1.0, "b": 2.0}[k] + 0.5 * last.value)
