@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.words import _NOT_ALNUM, Words, text_slices
+from barloom.session import written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
 SHARD_BYTES = 6 << 20
 CHUNK = 8192
+PASSES = 8
 
 
 def _item_words(text: str | None) -> np.ndarray:
@@ -199,9 +202,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     out = docs.select(row.alias("doc"), F.col(text).alias("_t"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     sc = docs.sparkSession.sparkContext
-    for block in [*benchmark_blocks(benchmark, item_id, item_text, window, block_words)] or [[]]:
-        shared = sc.broadcast(_Queries(block, window))
-        out = out.mapInArrow(_pass(shared), schema)
+    sent = []
+    blocks = benchmark_blocks(benchmark, item_id, item_text, window, block_words)
+    for block in chain([next(blocks, [])], blocks):
+        if len(sent) == PASSES:  # a long benchmark goes in several jobs, and the driver holds few blocks at a time
+            out = written(out)
+            for done in sent:
+                done.destroy()
+            sent = []
+        sent.append(sc.broadcast(_Queries(block, window)))
+        out = out.mapInArrow(_pass(sent[-1]), schema)
     return out.drop("_t")
 
 

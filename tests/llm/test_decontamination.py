@@ -46,7 +46,8 @@ def test_against_brute_force(spark, make, odd):
     ]
     want = sorted(((i, *brute(t, items)) for i, t, _ in rows), key=repr)
     assert marks(make(rows), bench_of(spark, items)) == want
-    assert marks(make(rows), bench_of(spark, items), block_words=15) == want  # several passes
+    assert marks(make(rows), bench_of(spark, items), block_words=15) == want  # several passes, and with block_words=6 several jobs
+    assert marks(make(rows), bench_of(spark, items), block_words=6) == want
 
 
 @settings(max_examples=60, deadline=None)
