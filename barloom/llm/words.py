@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +56,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a slice of texts: which text, where its bytes begin and end, and a hash.
 
-    Letters A-Z are lower-cased. Equal words have equal hashes; different ones differ but for a chance of
-    about 2**-64 a pair.
+    Letters A-Z are lower-cased unless told otherwise. Equal words have equal hashes; different ones differ but for
+    a chance of about 2**-64 a pair.
     """
 
-    def __init__(self, raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray = _IS_SPACE):
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray = _IS_SPACE, lower: bool = True):
         self.n_texts = len(bounds) - 1
-        self.raw = raw = _LOWER[raw]
+        self.raw = raw = _LOWER[raw] if lower else raw
         inside = ~separator[raw]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -73,7 +75,33 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.offsets = np.searchsorted(self.start, bounds)
         self.text = np.repeat(np.arange(self.n_texts), np.diff(self.offsets))
-        self.hash = self.span_hash(self.start, self.end)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.span_hash(self.start, self.end)
+
+    def within(self, which: np.ndarray) -> np.ndarray:
+        """Marks the bytes of the chosen words."""
+        change = np.zeros(len(self.raw) + 1, dtype=np.int8)
+        change[self.start[which]] += 1
+        change[self.end[which]] -= 1
+        return np.cumsum(change[:-1], dtype=np.int8) > 0
+
+    def cut(self, raw: np.ndarray, starts: np.ndarray) -> Words:
+        """The same texts with `raw` for their bytes and further cuts inside words: `starts` marks first bytes."""
+        out = copy(self)
+        vars(out).pop("hash", None), vars(out).pop("_cum", None)
+        out.raw = raw
+        last = np.zeros(len(raw), dtype=bool)
+        last[self.end - 1] = True
+        last[:-1] |= starts[1:]
+        first = starts.copy()
+        first[self.start] = True
+        last &= self.within(np.ones(len(self.start), dtype=bool))
+        out.start, out.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        out.offsets = np.searchsorted(out.start, np.append(self.start, len(raw)))[np.minimum(self.offsets, len(self.start))]
+        out.text = np.repeat(np.arange(self.n_texts), np.diff(out.offsets))
+        return out
 
     def _sums(self) -> np.ndarray:
         if not hasattr(self, "_cum"):
