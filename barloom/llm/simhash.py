@@ -8,8 +8,8 @@ threshold. Candidates that meet there are verified on all bits.
 
 Inside a table slot only links that join something are kept: a walk over the slot takes a fingerprint, links it to every
 fingerprint not yet reached within the radius, and goes on from those. The components are the same as with all links, and
-a slot of n fingerprints gives fewer than n of them. Slots above BLOCK fingerprints are cut into blocks, and every two
-blocks are compared in a task of their own.
+a slot of n fingerprints gives fewer than n of them. Slots above BLOCK fingerprints, and the slots these probe, are cut
+into blocks, and every two blocks are compared in a task of their own.
 
 Exact copies share a fingerprint and are one node. Null or empty texts have fingerprint zero, linked like any other.
 """
@@ -187,21 +187,22 @@ def _links(radius: int):
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         held: list[list[np.ndarray]] = []
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            slot, tag, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cols = [slot, tag >> 1, fp, tag & 1]
             if held:
                 cols = [np.concatenate(x) for x in zip(held[0], cols)]
             if not len(cols[0]):
                 continue
             new = np.ones(len(cols[0]), dtype=bool)
-            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             last = int(np.flatnonzero(new)[-1])
             if last:
-                yield cols[3][:last], cols[4][:last], new[:last]
+                yield cols[2][:last], cols[3][:last], new[:last]
             held = [[c[last:] for c in cols]]
         if held:
             new = np.zeros(len(held[0][0]), dtype=bool)
             new[:1] = True
-            yield held[0][3], held[0][4], new
+            yield held[0][2], held[0][3], new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, own, new in slots(batches):
@@ -228,25 +229,26 @@ def _links(radius: int):
 def links(fps: DataFrame, radius: int, plan: list[tuple[list[int], int]], block: int = BLOCK) -> DataFrame:
     """(a, b): links within the radius between distinct fingerprints, enough to give all components."""
     fp = F.col("_fp")
+    place = lambda i, v: F.lit(i << 56).cast("bigint").bitwiseOR(v)  # noqa: E731  partition and value in one number
+    near = [F.array(*[F.lit(m).cast("bigint") for m in _probes(len(bits), t)]) for bits, t in plan]
+    # slots that stand out by what stands in them, and the slots that these probe, are cut into blocks; all others hold at
+    # most `block` rows of their own and as many from each slot that probes them
+    own = fps.select(F.explode(F.array(*[F.struct(place(i, _project(fp, bits)).alias("slot"), F.lit(i).alias("i")) for i, (bits, _) in enumerate(plan)])).alias("s"))
+    crowded = own.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    masks = F.get(F.array(*near), F.col("s.i"))
+    spread = crowded.select("n", F.explode(F.transform(masks, lambda m: F.col("s.slot").bitwiseXOR(m))).alias("_slot"))
+    large = written(spread.groupBy("_slot").agg(F.ceil(F.sum("n") / block).cast("int").alias("k")))
     rows = None
-    for i, (bits, t) in enumerate(plan):
-        own = _project(fp, bits)
-        masks = F.array(*[F.lit(m).cast("long") for m in _probes(len(bits), t)])
-        probe = F.transform(masks, lambda m: F.struct(F.lit(i).alias("p"), own.bitwiseXOR(m).alias("v"), (m == 0).cast("int").alias("own")))
+    for i, (bits, _) in enumerate(plan):
+        probe = F.transform(near[i], lambda m: F.struct(place(i, _project(fp, bits).bitwiseXOR(m)).alias("slot"), (m == 0).cast("int").alias("own")))  # noqa: B023
         rows = probe if rows is None else F.concat(rows, probe)
-    rows = fps.select("_fp", F.explode(rows).alias("s")).select("s.p", "s.v", "s.own", "_fp")
-    if all(t == 0 for _, t in plan):
-        sizes = rows.groupBy("p", "v").agg(F.count("*").alias("n"))
-    else:
-        sizes = rows.groupBy("p", "v").agg(F.count("*").alias("n"), F.max("own").alias("o")).filter("o = 1")
-    # only slots that are large need blocks; they are at most (all rows / block)
-    large = written(sizes.filter(F.col("n") > block).select(F.col("p").alias("_p"), F.col("v").alias("_v"), F.ceil(F.col("n") / block).cast("int").alias("k")))
-    joined = rows.join(large, (rows["p"] == large["_p"]) & (rows["v"] == large["_v"]), "left")
+    rows = fps.select("_fp", F.explode(rows).alias("s")).select("s.slot", "s.own", "_fp")
+    joined = rows.join(F.broadcast(large) if large.count() * 32 <= 8 << 20 else large, rows["slot"] == large["_slot"], "left")
     at = F.pmod(F.xxhash64("_fp"), F.col("k")).cast("int")
     pair = lambda i: F.least(at, i) * F.col("k") + F.greatest(at, i)
     pairs = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), pair))
-    dealt = joined.select("p", "v", F.explode(pairs).alias("g"), "_fp", "own")
-    met = dealt.repartition("p", "v", "g").sortWithinPartitions("p", "v", "g")
+    dealt = joined.select("slot", F.explode(pairs).alias("g"), "_fp", "own").select("slot", (2 * F.col("g") + F.col("own")).alias("tag"), "_fp")
+    met = dealt.repartition("slot", F.shiftright("tag", 1)).sortWithinPartitions("slot", "tag")
     return met.mapInArrow(_links(radius), "a long, b long")
 
 
