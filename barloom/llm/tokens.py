@@ -8,127 +8,235 @@ Format, version 1. `encode` writes two Parquet tables below one folder:
   two bits, four ranks a byte, the first in the lowest bits. Trailing bits are zero.
 * `ranks`: (rank, id, n), one row an id that occurs; at most one a vocabulary entry, so it travels by broadcast.
 
-The tokenizer drops white space and never looks across it, so a text's ids are those of its words in order; a process
-keeps the ids of words it has met, up to CACHE words. Documents of equal id are ordered by a hash of their text; null ids
+The tokenizer drops white space and never looks across it, so a text's ids are those of its words in order, and of the
+runs of letters and of signs in a word; a process keeps the ids of those it has met, up to CACHE. Documents of equal id are ordered by a hash of their text; null ids
 come first. A null or empty text has the end id only.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.words import _LOWER, Words, text_slices
 from barloom.session import shared_folder, written
 
 CACHE = 500_000
 BATCH = 20_000
-_CACHED: dict[str, tuple[object, np.ndarray, dict[bytes, bytes]]] = {}
+SLICE = 4 << 20
+TOKENS = 1 << 19
+_CACHED: dict[str, _Encoder] = {}
 
 
-def _tokenizer(model: str) -> tuple[object, np.ndarray, dict[bytes, bytes]]:
-    """The tokenizer (its definition travels with the task), which ids end a word, and this process's words."""
+@dataclass
+class _Encoder:
+    tok: object
+    ends: np.ndarray  # ids that end a piece
+    whole: np.ndarray  # bytes of words that must stay whole
+    cuts: bool  # letters and signs next to each other are pieces of their own
+    folds: bool  # capitals A-Z count as small letters
+    known: dict[bytes, bytes]
+
+
+def _encoder(model: str) -> _Encoder:
+    """The tokenizer (its definition travels with the task), what holds for its pieces, and this process's words."""
     if model not in _CACHED:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_str(model)
         vocabulary = tok.get_vocab()
-        suffix = tok.model.end_of_word_suffix
+        suffix = getattr(tok.model, "end_of_word_suffix", None)
         ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         if suffix:
             ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        whole = np.zeros(256, dtype=bool)
+        # white space and control signs inside words, the apostrophe of contractions, and what special tokens begin with
+        whole[[*range(32), 127, ord("'"), *(t.content.encode()[0] for t in tok.get_added_tokens_decoder().values())]] = True
+        ask = lambda t: [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(t)] if tok.pre_tokenizer else [t]
+        cuts = bool(suffix) and not whole[ord("a")] and len(ask("ab,cd.-ef")) == 5 and len(ask("abé")) == 1
+        normal = tok.normalizer.normalize_str if tok.normalizer else str
         _CACHED.clear()
-        _CACHED[model] = (tok, ends, {})
+        _CACHED[model] = _Encoder(tok, ends, whole, cuts, all(normal(chr(c)) == chr(c + 32) for c in range(65, 91)), {})
     return _CACHED[model]
 
 
-def _plain(word: str) -> bool:
-    """Letters only, also in the tokenizer's normal form: such a word is one piece whose last id ends a word."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
-
-
-def _learn(tok, ends: np.ndarray, known: dict[bytes, bytes], words: list[bytes]) -> None:
-    """Ids of new words. Plain words are encoded side by side in one text and parted by the ids that end a word; a sentence
-    mark after a plain word is a piece of its own. All other words are encoded one by one."""
-    parts: dict[str, bytes] = {}
-    split = {}
-    for w in words:
-        t = w.decode()
-        head, tail = (t[:-1], t[-1]) if t[-1] in ".,!?:;" and _plain(t[:-1]) else (t, "")
-        split[w] = head, tail
-        parts[head] = parts[tail] = b""
-    parts.pop("", None)
-    plain = [p for p in parts if _plain(p)] if ends.any() else []
+def _learn(e: _Encoder, known: dict[bytes, bytes], plain: list[bytes], rest: list[bytes]) -> None:
+    """Ids of new pieces. Plain ones, of letters only, are encoded side by side in one text and parted by the ids that end
+    a piece; the rest are encoded one by one."""
     for at in range(0, len(plain), BATCH):
         some = plain[at : at + BATCH]
-        ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-        cut = np.flatnonzero(ends[ids]) + 1
-        if len(cut) == len(some):
-            raw, stop = ids.tobytes(), (4 * cut).tolist()
-            parts.update((p, raw[a:b]) for p, a, b in zip(some, [0, *stop], stop))
-    rest = [p for p, ids in parts.items() if not ids]
+        ids = np.array(e.tok.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+        cut = np.flatnonzero(e.ends[ids]) + 1
+        if len(cut) != len(some):
+            rest = rest + some
+            continue
+        raw, stop = ids.tobytes(), (4 * cut).tolist()
+        known.update(zip(some, map(raw.__getitem__, map(slice, [0, *stop], stop))))
     for at in range(0, len(rest), BATCH):
         some = rest[at : at + BATCH]
-        for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-            parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-    parts[""] = b""
-    known.update((w, parts[head] + parts[tail]) for w, (head, tail) in split.items())
+        for w, x in zip(some, e.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+            known[w] = np.array(x.ids, dtype="<u4").tobytes()
+
+
+def _known_ids(words: list[bytes], plain: np.ndarray, e: _Encoder) -> list[bytes]:
+    """The ids of distinct pieces. What the process's table has no room for is encoded for this call alone."""
+    got = list(map(e.known.get, words))
+    new = [i for i, x in enumerate(got) if x is None]
+    if not new:
+        return got
+    table = e.known if len(new) <= CACHE - len(e.known) else {}
+    _learn(e, table, [words[i] for i in new if plain[i]], [words[i] for i in new if not plain[i]])
+    for i in new:
+        got[i] = table[words[i]]
+    return got
+
+
+def _pieces(raw: np.ndarray, bounds: np.ndarray, e: _Encoder) -> tuple[Words, np.ndarray]:
+    """Words, cut between letters and signs where that is safe, and which pieces are letters only.
+
+    Letters are those of ASCII and of U+00C0 to U+00FF. A word with any other byte beyond ASCII, or one of `whole`, stays
+    in one piece as it is.
+    """
+    w = Words(raw, bounds, lower=False)
+    if not e.cuts or not len(w.start):
+        return w, np.zeros(len(w.start), dtype=bool)
+    lead = raw == 0xC3
+    tail = np.zeros(len(raw), dtype=bool)
+    tail[1:] = lead[:-1]
+    tail &= (raw >= 0x80) & (raw < 0xC0) & (raw != 0x97) & (raw != 0xB7)
+    lead[:-1] &= tail[1:]
+    letter = (raw >= 65) & (raw <= 90) | (raw >= 97) & (raw <= 122) | lead | tail
+    odd = np.concatenate([[0], np.cumsum((raw >= 0x80) & ~letter | e.whole[raw], dtype=np.int32)])
+    inside = w.within(odd[w.end] == odd[w.start])
+    starts = np.zeros(len(raw), dtype=bool)
+    starts[1:] = (letter[1:] != letter[:-1]) & inside[1:] & inside[:-1]
+    starts[w.start] = True
+    if e.folds:
+        raw = np.where(inside, _LOWER[raw], raw)
+    out = w.cut(raw, starts)
+    return out, letter[out.start] & inside[out.start]
+
+
+def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct word, and which of them every word is. Words of one hash are held against each other by
+    length and sum of bytes too; should two differ, each word counts as distinct."""
+    _, first, of = np.unique(w.hash, return_index=True, return_inverse=True)
+    total = np.concatenate([[0], np.cumsum(w.raw, dtype=np.int64)])
+    mark = (w.end - w.start) << 40 | (total[w.end] - total[w.start])
+    return (first, of) if (mark == mark[first][of]).all() else (np.arange(len(mark)), np.arange(len(mark)))
+
+
+def ids_of_slice(raw: np.ndarray, bounds: np.ndarray, model: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a slice, each with the end id, in one array, and where each text begins in it."""
+    e = _encoder(model)
+    w, plain = _pieces(raw, bounds, e)
+    first, of = _distinct(w)
+    data = w.raw.tobytes()
+    found = _known_ids([data[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())], plain[first], e)
+    flat = np.frombuffer(b"".join(found), dtype="<u4")
+    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    begin = np.cumsum(size) - size
+    n = size[of]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    ids = flat[np.arange(upto[-1]) + np.repeat(begin[of] - upto[:-1], n)]
+    starts = upto[w.offsets] + np.arange(len(w.offsets))
+    out = np.full(len(ids) + w.n_texts, end_id, dtype=np.uint32)
+    out[np.arange(len(ids)) + np.repeat(w.text, n)] = ids
+    return out, starts
 
 
 def ids_of(texts: list[str | None], model: str, end_id: int) -> list[bytes]:
     """The ids of each text and the end id, as little-endian 32-bit numbers."""
-    tok, ends, known = _tokenizer(model)
-    split = [(t or "").encode().split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
-    room = CACHE - len(known)
-    local = known
-    if len(new) > room:
-        local = {}
-        _learn(tok, ends, local, new[max(0, room) :])
-        new = new[: max(0, room)]
-    _learn(tok, ends, known, new)
-    end = np.array([end_id], dtype="<u4").tobytes()
-    get = known.__getitem__ if local is known else lambda w: known[w] if w in known else local[w]
-    return [b"".join(map(get, ws)) + end for ws in split]
-
-
-def _narrow(ids: np.ndarray) -> tuple[bytes, int]:
-    """Ids as 16-bit numbers where they fit, else 32-bit, for the table between the two passes."""
-    kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
-    return ids.astype(kind).tobytes(), 2 if kind == "<u2" else 4
+    out = []
+    for _, _, raw, bounds in text_slices(pa.array(texts, pa.large_string()), SLICE):
+        ids, starts = ids_of_slice(raw, bounds, model, end_id)
+        out += [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, starts[1:])]
+    return out
+
+
+def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary column from one run of bytes and where each value begins."""
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _run_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and where each value begins in them."""
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    return raw, starts - starts[0]
+
+
+def _token_slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about TOKENS ids at a time; a longer document is one slice."""
+    upto = np.concatenate([[0], np.cumsum(b.column("n_tokens").to_numpy())])
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + TOKENS, side="right")) - 1)
+        yield b.slice(at, to - at)
+        at = to
+
+
+def _ids_in(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch of the first table, and where each document begins in them."""
+    raw, starts = _run_of(b.column("ids"))
+    width = b.column("width").to_numpy()
+    if (width == 2).all():
+        return raw.view("<u2"), starts // 2
+    parts = [raw[a:e].view("<u2" if w == 2 else "<u4").astype(np.uint32) for a, e, w in zip(starts, starts[1:], width)]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def pack_all(ranks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of runs of ranks, each with where every run begins."""
+    ranks = ranks.astype("<u4")
+    size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    n = np.diff(starts)
+    at = np.concatenate([[0], np.cumsum(-(-n // 4))])
+    codes = np.zeros(4 * at[-1], dtype=np.uint8)
+    codes[np.arange(len(ranks)) + np.repeat(4 * at[:-1] - starts[:-1], n)] = size - 1
+    codes = codes.reshape(-1, 4)
+    return codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6, at, data, upto[starts]
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of a run of ranks."""
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    data = raw[np.arange(4) < size[:, None]].tobytes()
-    codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[: len(ranks)] = size - 1
-    codes = codes.reshape(-1, 4)
-    return (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8).tobytes(), data
+    """Control and data bytes of one run of ranks."""
+    control, _, data, _ = pack_all(ranks, np.array([0, len(ranks)]))
+    return control.tobytes(), data.tobytes()
 
 
 #: Bytes of each of the four ranks under a control byte, by rule.
 _SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-_KEEP = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+
+
+def unpack_all(control: np.ndarray, at: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranks of runs: sizes from the table of control bytes, then one gather of four bytes a rank."""
+    size = _SIZES[control].ravel()
+    if len(size) != n.sum():  # the last control byte of a run may be part empty
+        upto = np.cumsum(n)
+        size = size[np.arange(upto[-1]) + np.repeat(4 * at[:-1] - (upto - n), n)]
+    begin = np.cumsum(size) - size
+    raw = np.concatenate([data, np.zeros(3, np.uint8)])
+    out = raw[begin].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        out |= np.where(size > k, raw[begin + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks: sizes from the table of control bytes, then one gather of four bytes a rank."""
-    size = _SIZES[np.frombuffer(control, dtype=np.uint8)].ravel()[:n]
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
-    four = raw[at[:, None] + np.arange(4)].astype(np.uint32)
-    return (four[:, 0] | four[:, 1] << 8 | four[:, 2] << 16 | four[:, 3] << 24) & _KEEP[size - 1]
+    """The ranks of one run."""
+    return unpack_all(np.frombuffer(control, np.uint8), np.array([0, len(control)]), np.frombuffer(data, np.uint8), np.array([n]))
 
 
 def _ids_table(docs: DataFrame, text: str, doc_id: str, model: str, end_id: int) -> DataFrame:
@@ -136,12 +244,13 @@ def _ids_table(docs: DataFrame, text: str, doc_id: str, model: str, end_id: int)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                ids = [_narrow(np.frombuffer(x, dtype="<u4")) for x in ids_of(b.column("t").to_pylist(), model, end_id)]
+        for b in batches:
+            for at, to, raw, bounds in text_slices(b.column("t"), SLICE):
+                ids, starts = ids_of_slice(raw, bounds, model, end_id)
+                width = 2 if ids.max(initial=0) < 1 << 16 else 4
+                part = b.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("h"), pa.array([len(x) // w for x, w in ids], pa.int64()), pa.array([w for _, w in ids], pa.int32()), pa.array([x for x, _ in ids], pa.binary())],
+                    [part.column("doc_id"), part.column("h"), pa.array(np.diff(starts)), pa.array(np.full(to - at, width, dtype=np.int32)), _binary(ids.astype(f"<u{width}").view(np.uint8), width * starts)],
                     ["doc_id", "h", "n_tokens", "width", "ids"],
                 )
 
@@ -150,15 +259,11 @@ def _ids_table(docs: DataFrame, text: str, doc_id: str, model: str, end_id: int)
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
-    for b in batches:
-        parts = {2: [], 4: []}
-        for w, x in zip(b.column("width").to_pylist(), b.column("ids")):
-            parts[w].append(x.as_py())
-        for w, kind in ((2, "<u2"), (4, "<u4")):
-            n = np.bincount(np.frombuffer(b"".join(parts[w]), dtype=kind))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
-            total[: len(n)] += n
+    for b in (x for whole in batches for x in _token_slices(whole)):
+        n = np.bincount(_ids_in(b)[0])
+        if len(n) > len(total):
+            total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
+        total[: len(n)] += n
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -170,7 +275,7 @@ def encode(docs: DataFrame, model_path: str, folder: str | None = None, text: st
     with open(model_path, encoding="utf-8") as f:  # on the driver; the definition travels with the tasks
         model = f.read()
     ids = written(_ids_table(docs, text, doc_id, model, end_id))
-    counts = ids.select("width", "ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("n_tokens", "width", "ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # at most one row a vocabulary entry
     spark.createDataFrame(counts.assign(rank=np.arange(len(counts)))[["rank", "id", "n"]], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     table = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, dtype=np.uint32)
@@ -179,10 +284,11 @@ def encode(docs: DataFrame, model_path: str, folder: str | None = None, text: st
     kind = ids.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [pack(ranks.value[np.frombuffer(x.as_py(), dtype="<u2" if w == 2 else "<u4")]) for w, x in zip(b.column("width").to_pylist(), b.column("ids"))]
+        for b in (x for whole in batches for x in _token_slices(whole)):
+            found, starts = _ids_in(b)
+            control, at, data, upto = pack_all(ranks.value[found], starts)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("h"), b.column("n_tokens"), pa.array([c for c, _ in done], pa.binary()), pa.array([d for _, d in done], pa.binary())],
+                [b.column("doc_id"), b.column("h"), b.column("n_tokens"), _binary(control, at), _binary(data, upto)],
                 ["doc_id", "h", "n_tokens", "control", "data"],
             )
 
@@ -205,10 +311,12 @@ def decoded(spark: SparkSession, folder: str, of, schema: str) -> DataFrame:
     arrow = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = []
-            for n, c, d in zip(b.column("n_tokens").to_pylist(), b.column("control"), b.column("data")):
-                values.append(of(ids.value[unpack(c.as_py(), d.as_py(), n)]))
+        for b in (x for whole in batches for x in _token_slices(whole)):
+            control, at = _run_of(b.column("control"))
+            n = b.column("n_tokens").to_numpy()
+            found = ids.value[unpack_all(control, at, _run_of(b.column("data"))[0], n)]
+            end = np.cumsum(n)
+            values = [of(found[a:e]) for a, e in zip(end - n, end)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "pos", "doc_id", "n_tokens")), pa.array(values, arrow)], ["part", "pos", "doc_id", "n_tokens", "value"])
 
     return blocks.mapInArrow(run, f"part int, pos bigint, doc_id {kind}, n_tokens bigint, value {schema}")
