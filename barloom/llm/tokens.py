@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from barloom.llm.words import _LOWER, Words, text_slices
 from barloom.session import shared_folder, written
 
-CACHE = 500_000
+CACHE = 250_000
 BATCH = 20_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 TOKENS = 1 << 19
 _CACHED: dict[str, _Encoder] = {}
 
