@@ -117,3 +117,51 @@ def test_near_copies_go_and_clean_documents_stay(make):
             rows.append((10 * g + k, " ".join(copy) if k < 3 else " ".join(base), "b"))
     got = sorted(r.doc_id for r in dedup.drop_near_duplicates(make(rows)).collect())
     assert got == keep
+
+
+def alike_groups(texts):
+    """The least member of each text's group, by the Jaccard similarity of all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    part = list(range(len(texts)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                x, y = sorted((find(i), find(j)))
+                part[y] = x
+    return sorted({find(i) for i in range(len(sets))}), linked
+
+
+def test_no_pair_of_dense_fingerprints_is_missed(spark, make):
+    """Reordered texts share all their words, and filled-in templates most: near copies among them are found whoever leads."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):  # one set of words, so one fingerprint
+        base = [str(x) for x in rng.permutation(vocabulary)]
+        copy = list(base)
+        at = int(rng.integers(0, 100))
+        copy[at], copy[at + 1] = copy[at + 1], copy[at]
+        texts += [" ".join(base), " ".join(copy)]
+    form = [f"form{i}" for i in range(80)]
+    for _ in range(40):
+        fill = [f"v{int(x)}" for x in rng.integers(0, 10**6, 60)]
+        texts += [" ".join(form + fill), " ".join(form + fill + ["end"])]
+    want, linked = alike_groups(texts)
+    assert linked == 100
+    docs = make([(i, t, "a") for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs).collect()) == want
+    marked = dedup._marked(docs, "text", "doc_id")
+    best = [r.best.id for r in dedup.near_duplicates(marked, "text", block=16).groupBy("root").agg({"best": "min"}).toDF("root", "best").collect()]
+    assert sorted(best) == want
