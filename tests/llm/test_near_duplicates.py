@@ -165,3 +165,28 @@ def test_no_pair_of_dense_fingerprints_is_missed(spark, make):
     marked = dedup._marked(docs, "text", "doc_id")
     best = [r.best.id for r in dedup.near_duplicates(marked, "text", block=16).groupBy("root").agg({"best": "min"}).toDF("root", "best").collect()]
     assert sorted(best) == want
+
+
+def edited_pairs():
+    """(text, copy) of Jaccard similarity 0.8 to 0.9: words appended, cut off at the end or replaced, at several lengths."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"u{int(x)}" for x in rng.integers(0, 10**9, n)]
+    out = []
+    for size in (30, 60, 200, 600):
+        for k in range(10):
+            few = (size - 4) * (11 + k) // 100  # in shingles, of which appended or cut words change one each and replaced ones about five
+            first, second, base = words(size), words(size), words(size)
+            out += [(first, first + words(few)), (second, second[: size - few])]
+            copy = list(base)
+            for at in rng.choice(size // 5, max(1, few // 10), replace=False):
+                copy[5 * int(at) + 2] = words(1)[0]
+            out.append((base, copy))
+    sets = [[{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in p] for p in out]
+    return [(" ".join(a), " ".join(b)) for (a, b), (x, y) in zip(out, sets) if 0.8 <= len(x & y) / len(x | y) <= 0.9]
+
+
+def test_recall_of_edited_copies_is_whole(make):
+    pairs = edited_pairs()
+    assert len(pairs) >= 80
+    docs = make([(2 * i + k, t, "a") for i, p in enumerate(pairs) for k, t in enumerate(p)])
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs).collect()) == [2 * i for i in range(len(pairs))]
