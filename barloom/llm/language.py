@@ -5,9 +5,10 @@ candidate's score of the word is the log-probability of its byte trigrams (with
 hashed into tables. Viterbi over the words, with a penalty for each switch, labels the spans; a text's language is the one with
 the most bytes of words. Texts in which no stretch of words could pay for a switch skip the walk, which gives the same path.
 
-Tables are counted on about `sample` labelled documents, those with the least id hashes (a documented bound), over all of Spark;
-scoring is one pass without a shuffle. Null texts and texts without a letter are `und` with score 0. Texts whose words belong to no
-learned script get the most frequent language and score 0. At most LANGUAGES labels, the most frequent, are learned.
+Tables are counted on a documented bound of labelled documents, over all of Spark: of each language those with the least id hashes,
+as its share of `sample` but about LEAST_DOCS or all it has, so every label is learned. Tables take half a megabyte a label.
+Scoring is one pass without a shuffle. Null texts and texts without a letter are `und` with score 0. Texts whose words belong to no
+learned script get the most frequent language and score 0.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.words import Words, text_slices
+from barloom.session import written
 
 #: Script ranges by first code point, in order; 0 is none (signs, digits, marks).
 SCRIPTS = (
@@ -31,8 +33,9 @@ SCRIPTS = (
 _FROM = np.array([a for a, _ in SCRIPTS], dtype=np.int64)
 _BIT = np.array([1 << s >> 1 if s else 0 for _, s in SCRIPTS], dtype=np.int64)
 BUCKETS = 1 << 16
-LANGUAGES = 64
 SAMPLE = 20_000
+LEAST_DOCS = 200
+AT_ONCE = 16  # labels held at a time where rows by labels would be large
 SWITCH = 12.0
 WORD_WEIGHT = 1.0
 
@@ -63,6 +66,11 @@ def _word_bucket(w: Words) -> np.ndarray:
     return (w.hash >> np.uint64(48)).astype(np.int32)
 
 
+def _limit(m: Model) -> int:
+    """Bytes of a slice, fewer where there are many labels."""
+    return max(1 << 14, (1 << 20) // max(1, len(m.names) // AT_ONCE))
+
+
 def _slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words, np.ndarray]]:
     """Slices with one space put after each text, so that trigrams never cross texts; with the plain bytes."""
     for at, to, raw, bounds in text_slices(column, limit):
@@ -100,20 +108,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Tables from labelled documents: all up to `sample`, beyond that a share of about `sample` by id hash."""
+    """Tables from labelled documents: all up to `sample`, beyond that a share of about `sample` by id hash, and LEAST_DOCS a language."""
     rows = docs.filter(training & F.col(lang).isNotNull())
-    n = rows.count()
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)).alias("h"))
+    rows = rows.filter(F.col("t").rlike(r"[^ \t-\r]"))
+    per_lang = written(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    n = per_lang.agg(F.sum("n")).first()[0] or 0
     if n > sample:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+        rate = F.greatest(F.lit(sample / n), F.lit(float(LEAST_DOCS)) / F.col("n"))
+        cuts = per_lang.select("lang", F.greatest(F.col("least") + 1, F.least(rate, F.lit(1.0)) * (1 << 30)).alias("cut"))
+        rows = rows.join(F.broadcast(cuts), "lang").filter("h < cut")
+    rows = rows.select("lang", "t")
     sums = rows.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    sizes = sums.filter(F.col("bucket") < BUCKETS).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).toPandas()
+    sums = written(sums)
+    sizes = sums.filter(F.col("bucket") < BUCKETS).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").toPandas()  # one row a label
     names = sizes["lang"].tolist()
-    table = sums.filter(F.col("lang").isin(names)).toPandas() if names else None  # at most 2 * BUCKETS + 16 rows a language
     counts = np.zeros((2 * BUCKETS + 16, len(names)))
-    for k, name in enumerate(names):
-        own = table[table["lang"] == name]
-        counts[own["bucket"], k] = own["n"]
+    for at in range(0, len(names), AT_ONCE):
+        table = sums.filter(F.col("lang").isin(names[at : at + AT_ONCE])).toPandas()  # at most 2 * BUCKETS + 16 rows a language
+        for k, name in enumerate(names[at : at + AT_ONCE], at):
+            own = table[table["lang"] == name]
+            counts[own["bucket"], k] = own["n"]
     log = lambda c: np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c))).astype(np.float32)
     found = counts[2 * BUCKETS :]
     scripts = ((found > 0.01 * found.sum(0)) * (1 << np.arange(16))[:, None]).sum(0).astype(np.int64)
@@ -127,9 +142,12 @@ def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang
 def word_scores(m: Model, w: Words, scripts: np.ndarray) -> np.ndarray:
     if not len(w.start):
         return np.zeros((0, len(m.names)))
-    cum = np.zeros((len(w.raw) + 1, len(m.names)))
-    np.cumsum(m.grams[_trigrams(w)], axis=0, out=cum[1:], dtype=np.float64)
-    s = cum[w.end] - cum[w.start] + WORD_WEIGHT * m.whole[_word_bucket(w)]
+    s, gram, whole = np.empty((len(w.start), len(m.names))), _trigrams(w), _word_bucket(w)
+    for at in range(0, len(m.names), AT_ONCE):
+        some = slice(at, min(at + AT_ONCE, len(m.names)))
+        cum = np.zeros((len(w.raw) + 1, some.stop - at))
+        np.cumsum(m.grams[:, some][gram], axis=0, out=cum[1:], dtype=np.float64)
+        s[:, some] = cum[w.end] - cum[w.start] + WORD_WEIGHT * m.whole[:, some][whole]
     fits = (scripts[:, None] & m.scripts) != 0
     none = ~fits.any(1)
     s[~fits] = s.min() - 30.0
@@ -159,20 +177,21 @@ def _walk(s: np.ndarray, first: np.ndarray, size: np.ndarray, switch: float) ->
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     k = s.shape[1]
+    kind = np.int8 if k <= 128 else np.int32
     live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
     value = s[first].copy()
-    came = [np.zeros((len(first), k), dtype=np.int8)]
+    came = [np.zeros((len(first), k), dtype=kind)]
     for t in range(1, size[0]):
         n = live[t]
         v = value[:n]
         top = v.argmax(1)
         jump = v[np.arange(n), top] - switch
         stay = v >= jump[:, None]
-        came.append(np.where(stay, np.arange(k), top[:, None]).astype(np.int8))
+        came.append(np.where(stay, np.arange(k), top[:, None]).astype(kind))
         value[:n] = np.where(stay, v, jump[:, None]) + s[first[:n] + t]
-    paths: list[np.ndarray] = [np.zeros(0, np.int8)] * len(first)
+    paths: list[np.ndarray] = [np.zeros(0, kind)] * len(first)
     at = value.argmax(1)
-    flat, place = np.empty(int(size.sum()), dtype=np.int8), np.cumsum(size) - size
+    flat, place = np.empty(int(size.sum()), dtype=kind), np.cumsum(size) - size
     for t in range(size[0] - 1, -1, -1):
         n = live[t]
         flat[place[:n] + t] = at[:n]
@@ -225,7 +244,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column("_t")
-            for at, to, w, _ in _slices(column):
+            for at, to, w, _ in _slices(column, _limit(shared.value)):
                 names, score = _verdicts(shared.value, w, lambda i, at=at: column[at + i].as_py() or "")
                 yield pa.RecordBatch.from_arrays([b.column("doc").slice(at, to - at), pa.array(names, pa.string()), pa.array(score)], ["doc", "lang_pred", "score"])
 
@@ -240,7 +259,7 @@ def spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, to, w, _ in _slices(b.column("_t")):
+            for at, to, w, _ in _slices(b.column("_t"), _limit(shared.value)):
                 path, _ = label(shared.value, w)
                 out = []
                 for i in range(w.n_texts):

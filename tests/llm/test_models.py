@@ -197,3 +197,16 @@ def test_urls(spark):
         assert rows[i].verdict == by_rule if by_rule else rows[i].verdict in ("allow", "block")
     assert rows[12].verdict == "block" and rows[13].verdict == rows[0].verdict == "allow" and rows[0].doc.host == "own"
     assert urls.keep_allowed(pages, model).columns == pages.columns and urls.judge(pages.limit(0), model).count() == 0
+
+
+def test_every_label_is_learned(spark):
+    """More than 128 labels, one text each beside a large one, of which the sample takes few."""
+    from pyspark.sql import functions as F
+
+    word = lambda k, i: "".join("bcdfghklmn"[(k // 10**j) % 10] + "aeiou"[(k + i + j) % 5] for j in range(3)) + f"{'xyz'[i % 3]}"
+    few = [(k, " ".join(word(k, i) for i in range(30)), f"lang{k:03d}") for k in range(150)]
+    docs = spark.createDataFrame(few + [(1000 + i, "the river runs past old stone mills again", "big") for i in range(2000)], "doc_id long, text string, lang string")
+    m = language.fit(docs, F.lit(True), sample=100)
+    assert sorted(m.names) == sorted({"big"} | {x[2] for x in few})
+    got = {r.doc.doc_id: r.lang_pred for r in language.predict(docs, m).collect()}
+    assert all(got[k] == name for k, _, name in few) and got[1000] == "big"
