@@ -11,6 +11,7 @@ from barloom.functions.columns import as_col, clip, finite_or_zero, ratio
 from barloom.operators.joins import align_macro
 from barloom.operators.recursive import add_indicators, signed_volume
 from barloom.plans.panel import IDX, KEYS, row_index, running, windowed
+from barloom.session import written
 
 # The 39 feature names of the reference model input.
 TECHNICAL = ("RSI", "MACD", "MACD_Signal", "MACD_Hist", "BB_Width", "ATR", "ADX", "MOM", "ROC", "OBV")
@@ -233,7 +234,7 @@ def engineer_features(
     warmup="null" leaves rows without enough history NULL; warmup="bfill" fills every gap forward,
     then backward, then with zero, which lets warm-up rows see later values.
     """
-    df = row_index(bars, keys, "bar_date", length="n_rows")
+    df = indexed = written(row_index(bars, keys, "bar_date", length="n_rows"))
     names: list[str] = []
     if macro is not None:
         names = [c for c in macro.columns if c != "obs_date"]
@@ -242,7 +243,7 @@ def engineer_features(
     def native(d: DataFrame, w: WindowSpec) -> DataFrame:
         return macro_features(price_features(d, w), w, names)
 
-    df = add_indicators(df, native, keys, size)
+    df = add_indicators(df, native, keys, size, source=indexed)
     cols = [c for c in FEATURES if c in df.columns]
     df = df.select(*keys, "bar_date", IDX, "n_rows", "close", *cols)
     if warmup == "bfill":

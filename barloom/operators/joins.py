@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import equi
+from barloom.plans.attach import attach
 from barloom.plans.panel import KEYS, running
 
 
@@ -59,7 +60,8 @@ def align_macro(df: DataFrame, macro: DataFrame, on: str = "bar_date") -> DataFr
     """As-of join of one wide macro table onto every series.
 
     The macro side is spread over calendar days (each row is valid until the next one), which turns
-    the as-of join into an equi-join on the date. Values must already be forward filled.
+    the as-of join into an equi-join on the date. One row per day is measured and broadcast, so the panel, which has few and
+    uneven days, isn't shuffled by them. Values must already be forward filled.
     """
     cols = [c for c in macro.columns if c != "obs_date"]
     horizon = df.agg(F.max(on).alias("_horizon")).withColumn("_all", F.lit(0))  # one row
@@ -69,7 +71,7 @@ def align_macro(df: DataFrame, macro: DataFrame, on: str = "bar_date") -> DataFr
         .withColumn("_last", F.coalesce(F.date_sub("_next", 1), F.greatest("obs_date", "_horizon")))
     )
     daily = spans.select(F.explode(F.sequence("obs_date", "_last")).alias(on), *cols)
-    return df.join(daily, on, "left")
+    return attach(df, daily, [on], "left")
 
 
 def series_pairs(

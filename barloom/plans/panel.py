@@ -7,6 +7,7 @@ operator here works on `(series, chunk)` pieces of bounded row count instead:
 * `haloed`     - copies the few rows a bounded frame needs into the neighbouring chunk
 * `windowed`   - runs bounded-frame window expressions on haloed chunks
 * `running`    - unbounded running sum / product / max / last as a two-level scan
+* `handed_over`- a recurrence over one row per chunk, which gives every chunk the state it begins with
 
 The result is identical to the one-partition-per-series window.
 """
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,3 +186,29 @@ def running(
     carried = base.groupBy(*keys, CHUNK).agg(*total).select(*keys, CHUNK, *carry)
     scratch = [f"{p}{o}" for o in specs for p in ("_v_", "_l_", "_c_")]
     return equi(base.withColumns(inner), carried, [*keys, CHUNK]).withColumns(merge).drop(CHUNK, *scratch)
+
+
+def handed_over(chunks: DataFrame, step: Callable, out: str, keys: Sequence[str] = KEYS, values: str = "totals") -> DataFrame:
+    """keys, chunk and `out`, the state that earlier chunks hand over (NULL for a key's first chunk).
+
+    `chunks` has one row per chunk with an array of numbers; step(state or None, numbers) gives the state after a chunk.
+    A key's chunks are read in order and only one state is held, so a key of any length passes through one task as one
+    small row per chunk.
+    """
+    keys = list(keys)
+    kept = [chunks.schema[c] for c in (*keys, CHUNK)]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        last, state = None, None
+        for b in batches:
+            states = []
+            for *key, numbers in zip(*[b.column(k).to_pylist() for k in keys], b.column(values).to_pylist()):
+                if key != last:
+                    last, state = key, None
+                states.append(None if state is None else list(state))
+                state = step(state, np.array(numbers, dtype=float))
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(states, pa.list_(pa.float64()))], schema.fieldNames())
+
+    placed = chunks.select(*keys, CHUNK, values).repartition(*keys).sortWithinPartitions(*keys, CHUNK)
+    return placed.mapInArrow(run, schema)

@@ -72,39 +72,90 @@ def _rsi_loop(x, n=14):
     return out
 
 
-def test_rsi_carries_over_chunks_with_flat_and_rising_stretches(spark):
-    x = np.concatenate([100 + np.cumsum(np.random.default_rng(1).normal(size=100)), np.full(400, 90.0), 90 + np.arange(300.0)])
-    pdf = pd.DataFrame({"series_id": "S", "bar_date": pd.date_range("2000-01-01", periods=len(x)).date, "close": x, "high": x + 1, "low": x - 1, "open": x, "volume": 1.0})
-    df = row_index(spark.createDataFrame(pdf))
-    cut = recursive.haloed(df, 64, 1)
-    carry = recursive._chunk_carry(cut, 64, ["series_id"], 14).toPandas().sort_values("_chunk")
-    want = _rsi_loop(x)
-    got = []
-    for k in range(len(carry)):
-        lo = max(k * 64 - 1, 0)
-        part = x[lo : (k + 1) * 64]
-        got.append(recursive._rsi(part, k * 64, k * 64 - lo, carry["_rsi_up"].iloc[k], carry["_rsi_down"].iloc[k], 14)[k * 64 - lo :])
-    np.testing.assert_allclose(np.concatenate(got), want, rtol=1e-9)
+def _bars_of(spark, close, high=None, low=None):
+    n = len(close)
+    close = np.asarray(close, dtype=float)
+    pdf = pd.DataFrame({"series_id": "S", "bar_date": pd.date_range("2000-01-01", periods=n).date, "open": close, "high": close + 1 if high is None else high, "low": close - 1 if low is None else low, "close": close, "volume": np.arange(n) % 7 + 1.0})
+    return row_index(spark.createDataFrame(pdf)), pdf
+
+
+def _indicators(pdf):
+    """All indicators of one whole series, by the plain recurrences."""
+    ewm = lambda x, s: pd.Series(x).ewm(span=s, adjust=False).mean().to_numpy()
+    high, low, close = (pdf[c].to_numpy() for c in ("high", "low", "close"))
+    prev = np.concatenate([close[:1], close[:-1]])
+    macd = ewm(close, 12) - ewm(close, 26)
+    up, down = np.diff(high, prepend=high[0]), -np.diff(low, prepend=low[0])
+    plus, minus = ewm(np.where((up > down) & (up > 0), up, 0.0), 14), ewm(np.where((down > up) & (down > 0), down, 0.0), 14)
+    flow = np.sign(close - prev) * pdf["volume"].to_numpy()
+    flow[0] = pdf["volume"].iloc[0]
+    return {
+        "RSI": _rsi_loop(close), "MACD": macd, "MACD_Signal": ewm(macd, 9), "MACD_Hist": macd - ewm(macd, 9), "OBV": np.cumsum(flow),
+        "ATR": ewm(np.maximum(high - low, np.maximum(abs(high - prev), abs(low - prev))), 14), "ADX": ewm(100 * abs(plus - minus) / (plus + minus + 1e-10), 14),
+    }
+
+
+def test_indicators_with_flat_and_rising_stretches(spark):
+    x = np.concatenate([100 + np.cumsum(np.random.default_rng(1).normal(size=300)), np.full(900, 90.0), 90 + np.arange(600.0)])
+    df, pdf = _bars_of(spark, x)
+    got = ordered(recursive.add_indicators(df, size=300))
+    for c, want in _indicators(pdf).items():
+        np.testing.assert_allclose(got[c], want, rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_nothing_before_a_chunk_is_forgotten(spark):
+    """Values 1e15 times larger, long before a chunk's halo, still count."""
+    rng = np.random.default_rng(4)
+    x = 100 + np.cumsum(rng.normal(size=1500))
+    x[40:60] *= 1e15
+    high, low = x + rng.random(1500), x - rng.random(1500)
+    df, pdf = _bars_of(spark, x, high, low)
+    got, want = ordered(recursive.add_indicators(df, size=300)), _indicators(pdf)
+    for c in ("MACD", "MACD_Signal", "ATR", "ADX"):
+        late = np.arange(1500) >= 300  # chunks that don't hold the spike
+        np.testing.assert_allclose(got[c][late], want[c][late], rtol=1e-12, atol=1e-12 * np.abs(want[c][late]).max(), err_msg=c)
+    e = ordered(recursive.ema(df, "close", 26, "e", size=64))
+    np.testing.assert_allclose(e.e, pd.Series(x).ewm(span=26, adjust=False).mean(), rtol=1e-12)
 
 
 def test_indicators_across_chunks(panel, bars_pdf):
-    size = recursive.forget_rows(26, 9)
-    long = bars_pdf[bars_pdf.series_id == "A"]
-    got = ordered(recursive.add_indicators(panel, size=max(size, recursive.forget_rows(14, 14))))
-    a = got[got.series_id == "A"]
-    np.testing.assert_allclose(a.RSI, _rsi_loop(long.sort_values("bar_date").close.to_numpy()), rtol=1e-10)
-    close = long.sort_values("bar_date").close
-    np.testing.assert_allclose(a.MACD, close.ewm(span=12, adjust=False).mean() - close.ewm(span=26, adjust=False).mean(), atol=1e-10)
-    step = np.sign(close.diff().fillna(1)) * long.sort_values("bar_date").volume
-    np.testing.assert_allclose(a.OBV, step.cumsum(), rtol=1e-12)
-
-
-def test_ema_with_short_chunks(panel, bars_pdf):
-    size = recursive.forget_rows(3)
-    got = ordered(recursive.ema(panel, "close", 3, "e", size=size))
+    got = ordered(recursive.add_indicators(panel, size=290))
+    for s in "ABC":
+        mine = got[got.series_id == s].reset_index(drop=True)
+        for c, want in _indicators(bars_pdf[bars_pdf.series_id == s].sort_values("bar_date")).items():
+            np.testing.assert_allclose(mine[c], want, rtol=1e-9, atol=1e-9, err_msg=c)
+    with pytest.raises(ValueError):
+        recursive.add_indicators(panel, size=260)
+
+
+def test_missing_prices_repeat_the_bar_before(spark):
+    x = 100 + np.cumsum(np.random.default_rng(9).normal(size=900))
+    df, pdf = _bars_of(spark, x)
+    gap = F.col("row_idx").isin(5, 6, 299, 300, 301, 600)
+    holes = df.withColumns({c: F.when(~gap, F.col(c)) for c in ("high", "low", "close")})
+    for c in ("high", "low", "close"):
+        pdf.loc[[5, 6, 299, 300, 301, 600], c] = np.nan
+        pdf[c] = pdf[c].ffill()
+    got = ordered(recursive.add_indicators(holes, size=300))
+    for c, want in _indicators(pdf).items():
+        if c != "OBV":
+            np.testing.assert_allclose(got[c].astype(float), want, rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_ema_with_short_chunks(spark, panel, bars_pdf):
+    got = ordered(recursive.ema(panel, "close", 3, "e", size=7))
     want = by_series(bars_pdf, lambda g: g.assign(e=g.close.ewm(span=3, adjust=False).mean()))
-    assert size < 200
     np.testing.assert_allclose(got.e, want.e, rtol=1e-12)
+    x = np.where(np.arange(40) % 9 < 4, np.nan, np.arange(40.0))  # missing at the start, inside and over whole chunks
+    df, _ = _bars_of(spark, np.zeros(40))
+    holes = df.withColumn("v", F.when(F.col("row_idx") % 9 >= 4, F.col("row_idx").cast("double")))
+    np.testing.assert_allclose(ordered(recursive.ema(holes, "v", 5, "e", size=3)).e.astype(float), pd.Series(x).ewm(span=5, adjust=False, ignore_na=True).mean(), rtol=1e-12)
+
+
+def test_features_plan_has_few_exchanges(bars):
+    macro = bars.sparkSession.sql("SELECT DATE'2018-01-01' AS obs_date, 1.0D AS VIX, 2.0D AS TNX")
+    plan = ft.engineer_features(bars, macro)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6
 
 
 def test_rolling_ar_matches_least_squares(panel, bars_pdf):
