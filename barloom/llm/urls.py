@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.words import let
+
 NGRAMS = (3, 4, 5)
 FEATURES = 1 << 14
 TRAIN_ROWS = 10_000
@@ -50,9 +52,14 @@ def _parts(pages: DataFrame, url: str) -> DataFrame:
 
 
 def _grams(part: Column, name: str) -> Column:
+    """The n-grams of a part: its characters are split once, and each n-gram is a slice of them."""
     marked = F.concat(F.lit("^"), F.translate(part, "0123456789", "0000000000"), F.lit("$"))
-    each = lambda n: F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(f"{name}:"), marked.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[each(n) for n in NGRAMS])
+
+    def each(c: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1)))
+        return F.when(F.size(c) >= n, F.transform(starts, lambda i: F.concat(F.lit(f"{name}:"), F.array_join(F.slice(c, i, n), "")))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.filter(F.split(marked, "", -1), lambda x: x != ""), lambda c: F.concat(*[each(c, n) for n in NGRAMS]))
 
 
 def _with_grams(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -43,6 +44,51 @@ def test_spans_and_ownership(make, odd):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def brute_more(t):
+    """Further spans that overlap no base span."""
+    base = base_spans(t)
+    found = []
+    for rank, kind in enumerate(secrets.KINDS):
+        if kind in secrets.MORE:
+            pattern, part, least = secrets.MORE[kind]
+            found += [(m.start(), rank, m.end(), m[part]) for m in re.finditer(pattern, t) if len(m[part]) >= least]
+    return sorted(x for x in found if all(x[2] <= a or x[0] >= e for a, _, e in base))
+
+
+def test_further_kinds_owners_and_repositories(make):
+    key = lambda i: "gh" + "p_" + f"aB3{i}" * 8
+    rows = [(i, f"x {key(1)} y", "one") for i in range(40)]  # one owner, many repositories
+    rows += [(100 + i, f"{key(2)} token={key(3)} zz", f"s{i % 2}") for i in range(4)]  # two owners, few repositories
+    rows += [(200 + i, f"é {key(4)} q1w2e3r4t5y6u7i8o9p0a1s2d3", f"s{i}") for i in range(3)]  # three owners
+    rows += [(300, f"{key(5)} {key(5)} secret: {key(6)}{key(7)} AKIA{'Z' * 16} {'0f' * 12}", None), (301, "abcdefgh" * 9, "s")]
+    counts = {}
+    for i, t, s in rows:
+        for a, k, e, v in brute_more(t):
+            counts.setdefault(v, set()).add((s, i))
+    for r in secrets.scan(make(rows)).collect():
+        text = next(t for i, t, _ in rows if i == r.doc.doc_id)
+        want = []
+        for a, k, e, v in brute_more(text):
+            owners, repositories = len({s for s, _ in counts[v]}), len(counts[v])
+            if owners <= 2 and repositories <= 16:
+                want.append((a, k, e, owners, repositories, True))
+        assert [tuple(s)[:3] + (s.owners, s.repositories, s.live) for s in r.spans if s.rank >= 3] == want
+        assert [(s.start, s.rank, s.end) for s in r.spans if s.rank < 3] == base_spans(text)
+    few = {r.doc.doc_id: r.spans for r in secrets.scan(make(rows)).collect()}
+    assert not [s for s in few[0] if s.rank >= 3] and [s.owners for s in few[100] if s.rank >= 3] == [2, 2]
+
+
+def test_many_spans_in_one_text(make):
+    """Work is linear: tens of thousands of spans in one text."""
+    text = "".join(f"token=abcdef{i:06d} ghp_{i:036d} " for i in range(32_000))
+    docs = make([(1, text, "a"), (2, "token=abcdefgh", "a")])
+    secrets.scan(make([(2, "token=abcdefgh", "a")])).collect()
+    began = time.monotonic()
+    got = {r.doc.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    took = time.monotonic() - began
+    assert [(s.start, s.rank, s.end) for s in got[1] if s.rank < 3] == base_spans(text) and len(got[1]) >= 64_000 and took < 40
+
+
 def test_secret_query(spark):
     want = {d.doc_id: base_spans(d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op5_secret_scan"](spark, SF).collect():
