@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.base import BARS, PANEL, RETURNS, W, macro_wide, panel, query, rounded, rsql
 from barloom.catalog.sources import PAIRS, neighbour_pairs
-from barloom.operators import blend, econometrics as eco, features as ft, folds, joins, rolling
+from barloom.operators import arma_css, blend, econometrics as eco, features as ft, folds, joins, rolling
 from barloom.plans.panel import windowed
 from barloom.sources import fixtures as fx
 
@@ -79,6 +79,19 @@ def _(spark, sf):
     return rounded(out.select(*KEY, F.col("ar_forecast").alias("forecast"), "target_idx"), 3)
 
 
+_REGRESSED = f"""SELECT series_id, bar_date, row_idx, close, volume, avg(close) OVER f AS my, avg(prev) OVER f AS m1, avg(pv) OVER f AS m2, var_pop(prev) OVER f AS s11, var_pop(pv) OVER f AS s22,
+    covar_pop(prev, pv) OVER f AS s12, covar_pop(prev, close) OVER f AS s1y, covar_pop(pv, close) OVER f AS s2y
+  FROM (SELECT *, lag(volume) OVER ({W}) AS pv FROM rets) WINDOW f AS ({W} ROWS BETWEEN 250 PRECEDING AND CURRENT ROW)"""
+
+
+@query("rolling_fit_regressors", f"""WITH {RETURNS}, s AS ({_REGRESSED})
+  SELECT series_id, bar_date, round(CASE WHEN row_idx >= 251 THEN my + ((s1y * s22 - s2y * s12) * (close - m1) + (s2y * s11 - s1y * s12) * (volume - m2)) / (s11 * s22 - s12 * s12) END, 2) AS forecast FROM s""")
+def _(spark, sf):
+    """Own lag and the lagged volume, against windowed covariances."""
+    out = rolling.rolling_fit_predict(panel(spark, sf), "close", 252, 1, 1, regressors=["volume"])
+    return rounded(out.select(*KEY, F.col("ar_forecast").alias("forecast")), 2)
+
+
 @query("rolling_fit_predict_h2")
 def _(spark, sf):
     return rolling.rolling_fit_predict(panel(spark, sf), "close", 252, 5, 2).select(*KEY, "ar_forecast", "target_idx")
@@ -103,6 +116,66 @@ def _(spark, sf):
     return eco.ardl_forecast(eco.ardl_fit(with_macro(spark, sf), "close", ["VIX"]), 5, 1)
 
 
+def _det(m) -> str:
+    return f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+
+
+def _cramer(mat, right, k: int) -> str:
+    """Unknown k of a symmetric 3 x 3 system."""
+    return f"({_det([right[i // 3] if i % 3 == k else mat[i] for i in range(9)])} / {_det(mat)})"
+
+
+def _trends_sql() -> str:
+    """Normal equations of close on its own lag, the lagged open and, by trend, the position; centred where a constant is in."""
+    parts = []
+    for trend in eco.TRENDS:
+        mean = "covar_pop({}, {})" if "c" in trend else "avg({} * {})"
+        with_t = "t" in trend
+        of = lambda a, b: (("1.0::DOUBLE" if a == b else "0.0::DOUBLE") if not with_t and "t" in (a, b) else mean.format(a, b))  # noqa: B023, E731
+        names = ("t", "y1", "x1")
+        cells = ", ".join(f"{of(a, b)} AS {a}_{b}" for i, a in enumerate(names) for b in names[i:])
+        parts.append(f"SELECT series_id, '{trend}' AS trend, {cells}, {', '.join(f'{of(a, chr(121))} AS {a}_y' for a in names)}, avg(y) AS my, avg(t) AS mt, avg(y1) AS my1, avg(x1) AS mx1 FROM lagged GROUP BY 1")
+    mat, right = ["t_t", "t_y1", "t_x1", "t_y1", "y1_y1", "y1_x1", "t_x1", "y1_x1", "x1_x1"], ["t_y", "y1_y", "x1_y"]
+    return f"""{PANEL}, lagged AS (SELECT * FROM (SELECT series_id, close AS y, (row_idx + 1)::DOUBLE AS t, lag(close) OVER ({W}) AS y1, lag(open) OVER ({W}) AS x1 FROM panel) WHERE y1 IS NOT NULL),
+      eq AS ({' UNION ALL '.join(parts)}),
+      sol AS (SELECT *, {', '.join(f'{_cramer(mat, right, k)} AS b{k}' for k in range(3))} FROM eq),
+      ardl AS (SELECT series_id, trend, b0 AS slope, b1 AS own, b2 AS other, CASE WHEN trend IN ('c', 'ct') THEN my - b0 * mt * (trend = 'ct')::INT - b1 * my1 - b2 * mx1 ELSE 0 END AS const FROM sol)"""
+
+
+def _fixed_ardl(spark, sf, trend):
+    return eco.ardl_fit(panel(spark, sf), "close", ["open"], fixed_order=(1, 1), trend=trend)
+
+
+@query("ardl_fixed_trends", f"WITH {_trends_sql()} SELECT series_id, trend, round(const / 1000, 4) AS const, round(slope, 4) AS slope, round(own, 6) AS own, round(other, 6) AS other FROM ardl")
+def _(spark, sf):
+    """One own lag and one lagged regressor under every trend."""
+    out, coef = None, lambda name: F.coalesce(F.get("coefs", F.array_position("terms", name).cast("int") - 1), F.lit(0.0))
+    for trend in eco.TRENDS:
+        one = _fixed_ardl(spark, sf, trend).select("series_id", F.lit(trend).alias("trend"), (coef("1") / 1000).alias("const"), coef("t").alias("slope"), coef("y1").alias("own"), coef("xa1").alias("other"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(rounded(out, 4, "const", "slope"), 6, "own", "other")
+
+
+@query("ardl_forecast_given", f"""WITH {_trends_sql()}, ends AS (SELECT series_id, max(n_rows) AS n, arg_max(close, row_idx) AS y0, arg_max(open, row_idx) AS x0 FROM panel GROUP BY 1),
+  s1 AS (SELECT series_id, trend, n, const AS c, slope AS s, own AS a, other AS b, const + slope * (n + 1) + own * y0 + other * x0 AS f1 FROM ardl JOIN ends USING (series_id) WHERE trend IN ('c', 'ct')),
+  s2 AS (SELECT *, c + s * (n + 2) + a * f1 + b * 51000 AS d2, c + s * (n + 2) + a * 70000 + b * 51000 AS t2 FROM s1),
+  s3 AS (SELECT *, c + s * (n + 3) + a * d2 + b * 52000 AS d3, c + s * (n + 3) + a * t2 + b * 52000 AS t3 FROM s2),
+  s4 AS (SELECT *, c + s * (n + 4) + a * d3 + b * 52000 AS d4, c + s * (n + 4) + a * t3 + b * 52000 AS t4 FROM s3)
+  SELECT series_id, trend, mode, u.step::INTEGER AS step, round(u.f, 2) AS forecast FROM (SELECT series_id, trend, 'dynamic' AS mode, unnest([{{'step': 1, 'f': f1}}, {{'step': 2, 'f': d2}}, {{'step': 3, 'f': d3}}, {{'step': 4, 'f': d4}}]) AS u FROM s4
+    UNION ALL SELECT series_id, trend, 'static', unnest([{{'step': 1, 'f': f1}}, {{'step': 2, 'f': t2}}, {{'step': 3, 'f': t3}}, {{'step': 4, 'f': t4}}]) FROM s4)""")
+def _(spark, sf):
+    """Given openings for two steps (the third keeps the last), and for static forecasts one close that came true."""
+    out = None
+    for trend in ("c", "ct"):
+        fit = _fixed_ardl(spark, sf, trend)
+        step = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(50_000.0 + 1000 * i).alias("open"), F.lit(70_000.0 if i == 1 else None).cast("double").alias("close")) for i in (1, 2)]))
+        ahead = fit.select("series_id", step.alias("f")).select("series_id", "f.*")
+        for mode, actual in (("dynamic", None), ("static", "close")):
+            one = eco.ardl_forecast(fit, 4, 1, future=ahead, xs=["open"], actual=actual).select("series_id", F.lit(trend).alias("trend"), F.lit(mode).alias("mode"), "step", "forecast")
+            out = one if out is None else out.unionByName(one)
+    return rounded(out, 2)
+
+
 _RES = f"""{RETURNS}, fit AS (SELECT series_id, regr_slope(close, prev) AS b, regr_intercept(close, prev) AS a FROM rets WHERE prev IS NOT NULL GROUP BY 1),
   res AS (SELECT r.series_id, close, close - a - b * prev AS e FROM rets r JOIN fit USING (series_id) WHERE prev IS NOT NULL),
   dg AS (SELECT series_id, count(*) AS n, sum(e * e) AS ssr, var_pop(close) * count(*) AS sst FROM res GROUP BY 1),
@@ -120,6 +193,25 @@ def _(spark, sf):
     return eco.bounds_f_screen(with_macro(spark, sf), "close", ["VIX"])
 
 
+@query("bounds_guarded")
+def _(spark, sf):
+    return eco.bounds_guarded(panel(spark, sf), "close", ["open"]).withColumn("integration_orders", F.map_entries("integration_orders"))
+
+
+_BOUND_CELLS = ("y1", "x1", "dx")
+_BOUND_MAT = [f"covar_pop({a}, {b})" for a in _BOUND_CELLS for b in _BOUND_CELLS]
+_BOUND_RIGHT = [f"covar_pop({a}, dy)" for a in _BOUND_CELLS]
+
+
+@query("bounds_f_fixed", f"""WITH {PANEL}, l AS (SELECT * FROM (SELECT series_id, row_idx, close - lag(close) OVER ({W}) AS dy, lag(close) OVER ({W}) AS y1, lag(open) OVER ({W}) AS x1, open - lag(open) OVER ({W}) AS dx FROM panel) WHERE row_idx >= 2),
+  b AS (SELECT series_id, count(*) AS n, var_pop(dy) AS yy, {', '.join(f'{_cramer(_BOUND_MAT, _BOUND_RIGHT, k)} AS b{k}' for k in range(3))}, {', '.join(f'{r} AS r{k}' for k, r in enumerate(_BOUND_RIGHT))}, covar_pop(dx, dy) * covar_pop(dx, dy) / var_pop(dx) AS short FROM l GROUP BY 1)
+  SELECT series_id, round(((b0 * r0 + b1 * r1 + b2 * r2 - short) / 2) / ((yy - b0 * r0 - b1 * r1 - b2 * r2) / (n - 4)), 4) AS f_statistic, round(b0, 6) AS ec_speed, round(-b1 / b0, 6) AS long_run, n AS nobs FROM b""")
+def _(spark, sf):
+    """One own lag and one lag of the regressor: the F statistic from normal equations."""
+    out = eco.bounds_f_screen(panel(spark, sf), "close", ["open"], fixed_order=(1, 1)).select("series_id", "f_statistic", "ec_speed", F.col("long_run")[0].alias("long_run"), "nobs")
+    return rounded(rounded(out, 4, "f_statistic"), 6, "ec_speed", "long_run")
+
+
 @query("cointegration_stage1", f"""WITH {BARS}, {PAIRS}, f AS (SELECT a, b, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM pr GROUP BY 1, 2)
   SELECT a, b, bar_date, round(slope, 8) AS slope, round(intercept, 4) AS intercept, round(y - intercept - slope * x, 4) AS residual FROM pr JOIN f USING (a, b)""")
 def _(spark, sf):
@@ -154,6 +246,44 @@ def _(spark, sf):
     return eco.rolling_arma_forecast(rows.select(*KEY, "row_idx", "ret_1d", "fold"), params)
 
 
+@query("arma_css_fit")
+def _(spark, sf):
+    rows = fold_segments(returns(spark, sf))
+    start = eco.arma_order_select(rows, "ret_1d", segment="segment", n_segments=5)
+    return arma_css.css_fit(rows, "ret_1d", start, segment="segment")
+
+
+def _css_sql(const: float, phi: float, theta: float) -> str:
+    """Two passes from pinned ARMA(1, 1) parameters: sums at the start, one Gauss-Newton step by Cramer's rule, kept if it lowers the sum."""
+
+    def run(n: str, of: str) -> str:
+        """Residuals with the parameters c, f, t of each series, as weighted sums of what drives them."""
+        return f"""u{n} AS (SELECT y.series_id, i, CASE WHEN i >= 1 THEN v - c - f * l ELSE 0 END AS u, CASE WHEN i >= 1 THEN 1 ELSE 0 END AS live, l, t FROM y JOIN {of} p USING (series_id)),
+      e{n} AS (SELECT a.series_id, a.i, any_value(a.t) AS t, any_value(a.live) AS live, any_value(a.l) AS l, sum(pow(-a.t, a.i - b.i) * b.u) AS e FROM u{n} a JOIN u{n} b ON a.series_id = b.series_id AND b.i <= a.i GROUP BY 1, 2)"""
+
+    jj, je = ["cc", "cf", "ct", "cf", "ff", "ft", "ct", "ft", "tt"], ["ce", "fe", "te"]
+    step = lambda k: f"-{_cramer(jj, je, k)}"
+    return f"""WITH {RETURNS}, r AS (SELECT series_id, ret_1d AS v, row_number() OVER ({W}) - 1 AS i FROM rets WHERE ret_1d IS NOT NULL),
+      y AS (SELECT *, lag(v) OVER (PARTITION BY series_id ORDER BY i) AS l FROM r),
+      p0 AS (SELECT DISTINCT series_id, {const}::DOUBLE AS c, {phi}::DOUBLE AS f, {theta}::DOUBLE AS t FROM r), {run("0", "p0")},
+      x0 AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY series_id ORDER BY i) AS el FROM e0),
+      d0 AS (SELECT a.series_id, a.i, any_value(a.e) AS e, sum(-pow(-a.t, a.i - b.i) * b.live) AS dc, sum(-pow(-a.t, a.i - b.i) * b.live * coalesce(b.l, 0)) AS df, sum(-pow(-a.t, a.i - b.i) * b.el) AS dt
+        FROM x0 a JOIN x0 b ON a.series_id = b.series_id AND b.i <= a.i GROUP BY 1, 2),
+      s0 AS (SELECT series_id, sum(e * e) AS ss, sum(dc * dc) AS cc, sum(dc * df) AS cf, sum(dc * dt) AS ct, sum(df * df) AS ff, sum(df * dt) AS ft, sum(dt * dt) AS tt, sum(dc * e) AS ce, sum(df * e) AS fe, sum(dt * e) AS te FROM d0 GROUP BY 1),
+      p1 AS (SELECT series_id, ss, {const} {step(0)} AS c, {phi} {step(1)} AS f, {theta} {step(2)} AS t FROM s0), {run("1", "p1")},
+      s1 AS (SELECT series_id, sum(e * e) AS ss FROM e1 GROUP BY 1)
+      SELECT series_id, round(c, 5) AS const, round(f, 5) AS phi, round(t, 5) AS theta, round(ln(p1.ss), 7) AS ln_start, round(ln(s1.ss), 7) AS ln_ss FROM p1 JOIN s1 USING (series_id)"""
+
+
+@query("arma_css_steps", _css_sql(0.0, 0.1, 0.2))
+def _(spark, sf):
+    rows = returns(spark, sf)
+    start = rows.select("series_id").distinct().select("series_id", F.lit(0.0).alias("const"), F.array(F.lit(0.1)).alias("phi"), F.array(F.lit(0.2)).alias("theta"))
+    fit = arma_css.css_fit(rows, "ret_1d", start, rounds=2)
+    out = fit.select("series_id", "const", F.col("phi")[0].alias("phi"), F.col("theta")[0].alias("theta"), F.ln("ss_start").alias("ln_start"), F.ln("ss").alias("ln_ss"))
+    return rounded(rounded(out, 5, "const", "phi", "theta"), 7, "ln_start", "ln_ss")
+
+
 @query("fixed_ar_forecast", f"""WITH {RETURNS}, f AS (SELECT series_id, bar_date, 0.001::DOUBLE + 0.3::DOUBLE * ret_1d - 0.1::DOUBLE * lag(ret_1d) OVER ({W}) AS forecast FROM rets)
   SELECT series_id, bar_date, round(forecast, 8) AS forecast FROM f""")
 def _(spark, sf):

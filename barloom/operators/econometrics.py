@@ -238,15 +238,15 @@ def integration_order(df: DataFrame, value: str, keys: Sequence[str] = KEYS, lev
 
 
 # --- autoregressions and ARDL
-def _unscale(beta: np.ndarray, x: list[str], means: dict[str, float], sds: dict[str, float]) -> np.ndarray:
-    """Coefficients of standardised columns back in units of the data; x[0] is the constant."""
-    out = beta.copy()
-    const = means["y"] + sds["y"] * beta[0]
-    for i, name in enumerate(x[1:], 1):
-        c = name.rstrip("0123456789")
-        out[i] = beta[i] * sds["y"] / sds[c]
-        const -= out[i] * means[c]
-    out[0] = const
+def _unscale(beta: np.ndarray, terms: list[str], means: dict[str, float], sds: dict[str, float]) -> np.ndarray:
+    """Coefficients of standardised (without a constant: scaled) columns back in units of the data."""
+    out = beta * sds["y"]
+    for i, name in enumerate(terms):
+        if name != "1":
+            out[i] /= sds[name.rstrip("0123456789")]
+    if "1" in terms:
+        at = terms.index("1")
+        out[at] += means["y"] - sum(out[i] * means[n.rstrip("0123456789")] for i, n in enumerate(terms) if i != at)
     return out
 
 
@@ -257,16 +257,22 @@ _ARDL = T.StructType(
 )
 
 
-def _ardl_terms(order: Sequence[int], xs: Sequence[str]) -> list[str]:
-    """Constant, own lags 1..p, then lags 0..q of every regressor."""
-    return ["1", *[f"y{i}" for i in range(1, order[0] + 1)], *[f"{c}{j}" for c, q in zip(xs, order[1:]) for j in range(q + 1)]]
+#: Deterministic terms of each trend: constant, and the row's position (from 1).
+TRENDS = {"n": (), "c": ("1",), "t": ("t",), "ct": ("1", "t")}
+
+
+def _ardl_terms(order: Sequence[int], xs: Sequence[str], trend: str = "c", causal: bool = False) -> list[str]:
+    """Deterministic terms, own lags 1..p, then lags 0..q (causal: 1..q) of every regressor."""
+    return [*TRENDS[trend], *[f"y{i}" for i in range(1, order[0] + 1)], *[f"{c}{j}" for c, q in zip(xs, order[1:]) for j in range(int(causal), q + 1)]]
 
 
-def _pick_order(m: Moments, xs: Sequence[str], p_max: int, q_max: int, criterion: str, q_min: int = 0, fixed: Sequence[int] | None = None):
+def _pick_order(
+    m: Moments, xs: Sequence[str], p_max: int, q_max: int, criterion: str, q_min: int = 0, fixed: Sequence[int] | None = None, trend: str = "c", causal: bool = False
+):
     grid = [tuple(fixed)] if fixed else itertools.product(range(1, p_max + 1), *[range(q_min, q_max + 1)] * len(xs))
     best = None
     for order in grid:
-        terms = _ardl_terms(order, xs)
+        terms = _ardl_terms(order, xs, trend, causal)
         try:
             beta, ssr, _ = m.ols("y0", terms)
         except np.linalg.LinAlgError:
@@ -278,17 +284,32 @@ def _pick_order(m: Moments, xs: Sequence[str], p_max: int, q_max: int, criterion
     return best
 
 
-def _wide_moments(df: DataFrame, y: str, xs: Sequence[str], keys: list[str], order: str, lag: int, size: int | None) -> tuple[DataFrame, list[str]]:
+def _with_trend(m: Moments, trend: str, means: dict[str, float], sds: dict[str, float]) -> Moments:
+    """The matrix with the position as `t`; without a constant, columns are scaled only, as centring would bring one in."""
+    level = (lambda c: means[c] / sds[c]) if "1" not in TRENDS[trend] else (lambda c: 0.0)
+    rows = {"1": {"1": 1.0}}
+    for name in m.names[1:]:
+        c = name.rstrip("0123456789")
+        if c != "t":
+            rows[name] = {name: 1.0, "1": level(c)}
+    if "t0" in m.names:
+        rows["t"] = {"t0": 1.0, "1": level("t")}
+    return m.mix(rows)
+
+
+def _wide_moments(df: DataFrame, y: str, xs: Sequence[str], keys: list[str], order: str, lag: int, size: int | None, position: bool = False) -> tuple[DataFrame, list[str]]:
     """One row per key: moments of the standardised columns and their means and deviations."""
     names = [f"x{chr(97 + i)}" for i in range(len(xs))]
     rows = df.select(*keys, F.col(order).alias("_o"), F.col(y).alias("y"), *[F.col(c).alias(n) for c, n in zip(xs, names)]).na.drop(subset=["y", *names])
     rows = cut_lineage(row_index(rows, keys, "_o").drop("_o"))
-    z = standardise(rows, ["y", *names], keys)
-    m = lag_moments(z, [f"z_{c}" for c in ("y", *names)], lag, keys, size=size)
+    rows = rows.withColumn("t", (F.col(IDX) + 1).cast("double"))
+    every = ["y", *names, *(["t"] if position else [])]
+    z = standardise(rows, every, keys)
+    m = lag_moments(z, [f"z_{c}" for c in every], lag, keys, size=size)
     stats = rows.groupBy(*keys).agg(
-        F.array(*[F.avg(c) for c in ("y", *names)]).alias("means"),
-        F.array(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)) for c in ("y", *names)]).alias("sds"),
-        F.max_by("y", IDX).alias("last_y"),
+        F.array(*[F.avg(c) for c in every]).alias("means"),
+        F.array(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)) for c in every]).alias("sds"),
+        F.max_by("y", IDX).alias("last_y"), F.count(F.lit(1)).alias("n_rows"),
     )
     tail = F.col("n_all") - F.col(IDX) <= lag
     sized = attach(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all")), keys)
@@ -300,39 +321,43 @@ def _wide_moments(df: DataFrame, y: str, xs: Sequence[str], keys: list[str], ord
 
 def ardl_fit(
     df: DataFrame, y: str, xs: Sequence[str] = (), keys: Sequence[str] = KEYS, order: str = IDX, max_lags: int = 8, criterion: str = "bic",
-    fixed_order: Sequence[int] | None = None, size: int | None = None,
+    fixed_order: Sequence[int] | None = None, size: int | None = None, trend: str = "c", causal: bool | None = None,
 ) -> DataFrame:
-    """ARDL(p, q...) with a constant per key; the order minimises the criterion on a common sample.
+    """ARDL(p, q...) per key with trend n, c, t or ct; the order minimises the criterion on a common sample.
 
-    All candidate orders are solved from one moment matrix. A singular design falls back to a pure AR
-    and is flagged. Keeps what `ardl_forecast` needs: the most recent rows.
+    All candidate orders are solved from one moment matrix. Causal models leave out a regressor's own row; models of a fixed
+    order are causal unless told otherwise. A singular design falls back to a pure AR and is flagged. R2 is about the
+    mean with a constant and about zero without. Keeps what `ardl_forecast` needs: the most recent rows and their number.
     """
     keys = list(keys)
+    if trend not in TRENDS:
+        raise ValueError(f"trend is one of {', '.join(TRENDS)}")
+    causal = bool(fixed_order) if causal is None else causal
     lag = max(fixed_order) if fixed_order else max_lags
-    one, names = _wide_moments(df, y, xs, keys, order, max(lag, 1), size)
-    every = ["y", *names]
+    one, names = _wide_moments(df, y, xs, keys, order, max(lag, 1), size, "t" in TRENDS[trend])
+    every = ["y", *names, *(["t"] if "t" in TRENDS[trend] else [])]
 
     @F.pandas_udf(_ARDL)
     def solve(moments: pd.Series, means: pd.Series, sds: pd.Series) -> pd.DataFrame:
         out = []
         for g, mu, sd in zip(moments, means, sds):
-            m = Moments(g, lag_names(every, max(lag, 1)))
             mu, sd = dict(zip(every, mu)), dict(zip(every, sd))
-            best, fallback = _pick_order(m, names, lag, lag, criterion, fixed=fixed_order), False
+            m = _with_trend(Moments(g, lag_names(every, max(lag, 1))), trend, mu, sd)
+            best, fallback = _pick_order(m, names, lag, lag, criterion, fixed=fixed_order, trend=trend, causal=causal), False
             if best is None:
-                best, fallback = _pick_order(m, [], lag, 0, criterion), True
+                best, fallback = _pick_order(m, [], lag, 0, criterion, trend=trend), True
             if best is None:
                 out.append([None] * 8 + [True])
                 continue
             _, chosen, terms, beta, ssr, llf, ic = best
             shift = m.n * np.log(sd["y"])  # likelihood in units of the data
-            sst = m.g[1, 1] - m.g[0, 1] ** 2 / m.n
+            sst = m.g[1, 1] - (m.g[0, 1] ** 2 / m.n if "1" in terms else 0.0)
             out.append(
                 [list(chosen), _unscale(beta, terms, mu, sd), terms, ic["aic"] + 2 * shift, ic["bic"] + 2 * shift, llf - shift, 1 - ssr / sst, int(round(m.n)), fallback]
             )
         return pd.DataFrame(out, columns=_ARDL.fieldNames()).astype({"nobs": "Int64"})
 
-    return one.withColumn("_s", solve("moments", "means", "sds")).select(*keys, "_s.*", "last_y", "recent")
+    return one.withColumn("_s", solve("moments", "means", "sds")).select(*keys, "_s.*", "last_y", "n_rows", "recent")
 
 
 def ar_order_select(df: DataFrame, y: str, keys: Sequence[str] = KEYS, order: str = IDX, max_lags: int = 8, criterion: str = "bic") -> DataFrame:
@@ -341,32 +366,49 @@ def ar_order_select(df: DataFrame, y: str, keys: Sequence[str] = KEYS, order: st
     return fit.select(*keys, F.col("order")[0].alias("lags"), "aic", "bic", "nobs")
 
 
-def ardl_forecast(fit: DataFrame, h: int, n_regressors: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys, step, forecast for steps 1..h; regressors keep their last value. A failed fit repeats the last value."""
+def ardl_forecast(
+    fit: DataFrame, h: int, n_regressors: int = 0, keys: Sequence[str] = KEYS, future: DataFrame | None = None, xs: Sequence[str] = (), actual: str | None = None
+) -> DataFrame:
+    """keys, step, forecast for steps 1..h. A failed fit repeats the last value.
+
+    `future` has keys, step and the regressors `xs` of the rows to come, in the order of the fit; what it lacks keeps its
+    last value. Dynamic by default: later steps build on earlier forecasts. With `actual`, a column of `future`, forecasts
+    are static: each step builds on the values that came true before it, and on forecasts only where those are missing.
+    """
+    keys = list(keys)
+    names = ["y", *[f"x{chr(97 + i)}" for i in range(n_regressors)]]
+    if future is None:
+        given = fit.withColumn("_future", F.lit(None).cast("array<struct<step:int,v:array<double>>>"))
+    else:
+        value = F.array(*[(F.col(c) if c else F.lit(None)).cast("double") for c in (actual, *xs)])
+        ahead = future.filter(F.col("step").between(1, h)).groupBy(*keys).agg(F.collect_list(F.struct(F.col("step").cast("int").alias("step"), value.alias("v"))).alias("_future"))  # at most h a key
+        given = equi(fit, ahead, keys, "left")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(coefs: pd.Series, terms: pd.Series, recent: pd.Series, last: pd.Series) -> pd.Series:
+    def run(coefs: pd.Series, terms: pd.Series, recent: pd.Series, last: pd.Series, n_rows: pd.Series, future: pd.Series) -> pd.Series:
         out = []
-        names = ["y", *[f"x{chr(97 + i)}" for i in range(n_regressors)]]
-        for beta, term, rows, y_last in zip(coefs, terms, recent, last):
+        for beta, term, rows, y_last, n, known in zip(coefs, terms, recent, last, n_rows, future):
             if beta is None:
                 out.append([y_last] * h)
                 continue
-            hist = {n: [float(r[i]) for r in rows] for i, n in enumerate(names)}  # newest first
-            path = []
-            for _ in range(h):
-                for n in names[1:]:
-                    hist[n].insert(0, hist[n][0])
-                step = beta[0]
-                for b, t in zip(beta[1:], term[1:]):
-                    c, k = t.rstrip("0123456789"), int(t[len(t.rstrip("0123456789")) :])
-                    step += b * hist[c][k - 1 if c == "y" else k]
-                hist["y"].insert(0, step)
+            ahead = np.full((h, len(names)), np.nan)
+            for row in known if known is not None else ():
+                ahead[row["step"] - 1] = [np.nan if v is None else v for v in row["v"]]
+            past = np.array([list(r) for r in rows][::-1], dtype=float)  # oldest first
+            line, path = np.vstack([past, np.zeros((h, len(names)))]), []
+            for k in range(h):
+                at = len(past) + k
+                line[at, 1:] = np.where(np.isnan(ahead[k, 1:]), line[at - 1, 1:], ahead[k, 1:])
+                step = 0.0
+                for b, t in zip(beta, term):
+                    c = t.rstrip("0123456789")
+                    step += b * (1.0 if t == "1" else n + k + 1 if c == "t" else line[at - int(t[len(c) :]), names.index(c)])
                 path.append(step)
+                line[at, 0] = step if np.isnan(ahead[k, 0]) else ahead[k, 0]
             out.append(path)
         return pd.Series(out)
 
-    steps = fit.withColumn("_p", run("coefs", "terms", "recent", "last_y"))
+    steps = given.withColumn("_p", run("coefs", "terms", "recent", "last_y", "n_rows", "_future"))
     return steps.select(*keys, F.posexplode("_p").alias("_i", "forecast")).select(*keys, (F.col("_i") + 1).alias("step"), "forecast")
 
 
@@ -396,53 +438,81 @@ _BOUNDS = T.StructType(
 )
 
 
+#: Deterministic terms of the five cases, and those that the test restricts together with the levels.
+BOUNDS_CASES = {1: ("n", ()), 2: ("c", ("1",)), 3: ("c", ()), 4: ("ct", ("t",)), 5: ("ct", ())}
+
+
 def bounds_f_screen(
     df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = KEYS, order: str = IDX, max_lags: int = 5, criterion: str = "bic",
-    bounds: tuple[float, float] | None = None, size: int | None = None,
+    bounds: tuple[float, float] | None = None, size: int | None = None, case: int = 3, fixed_order: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Bounds test for a level relation via the unrestricted error-correction form.
+    """Bounds test for a level relation via the unrestricted error-correction form, in one of the five cases.
 
-    has_relation is TRUE above the upper bound, FALSE below the lower one and NULL in between.
+    has_relation is TRUE above the upper bound, FALSE below the lower one and NULL in between. Bounds are tabled for case 3;
+    other cases need `bounds`.
     """
     keys = list(keys)
-    if bounds is None and len(xs) not in BOUNDS_5PCT:
-        raise ValueError(f"no bounds are tabled for {len(xs)} regressors: pass bounds=(lower, upper)")
+    if case not in BOUNDS_CASES:
+        raise ValueError("case is 1 to 5")
+    if bounds is None and (case != 3 or len(xs) not in BOUNDS_5PCT):
+        raise ValueError(f"no bounds are tabled for {len(xs)} regressors in case {case}: pass bounds=(lower, upper)")
     lower, upper = bounds or BOUNDS_5PCT[len(xs)]
-    one, names = _wide_moments(df, y, xs, keys, order, max_lags + 1, size)
-    every = ["y", *names]
+    trend, restricted = BOUNDS_CASES[case]
+    if fixed_order:
+        max_lags = max(1, *fixed_order)
+    one, names = _wide_moments(df, y, xs, keys, order, max_lags + 1, size, "t" in TRENDS[trend])
+    every = ["y", *names, *(["t"] if "t" in TRENDS[trend] else [])]
 
     @F.pandas_udf(_BOUNDS)
-    def solve(moments: pd.Series, sds: pd.Series) -> pd.DataFrame:
+    def solve(moments: pd.Series, means: pd.Series, sds: pd.Series) -> pd.DataFrame:
         out = []
-        for g, sd in zip(moments, sds):
+        for g, mu, sd in zip(moments, means, sds):
             try:
-                m = Moments(g, lag_names(every, max_lags + 1))
-                best = _pick_order(m, names, max_lags, max_lags, criterion)
+                m = _with_trend(Moments(g, lag_names(every, max_lags + 1)), trend, dict(zip(every, mu)), dict(zip(every, sd)))
+                best = _pick_order(m, names, max_lags, max_lags, criterion, fixed=fixed_order, trend=trend)
                 forced = best is not None and all(q == 0 for q in best[1][1:])
                 if forced:
-                    best = _pick_order(m, names, max_lags, max_lags, criterion, q_min=1)
+                    best = _pick_order(m, names, max_lags, max_lags, criterion, q_min=1, trend=trend)
                 p, *qs = best[1]
-                rows = {"1": {"1": 1.0}, "dy": {"y0": 1.0, "y1": -1.0}}
-                levels = [f"L{c}" for c in every]
-                rows |= {f"L{c}": {f"{c}1": 1.0} for c in every}
+                levels = [f"L{c}" for c in ("y", *names)]
+                rows = {"1": {"1": 1.0}, "dy": {"y0": 1.0, "y1": -1.0}} | {f"L{c}": {f"{c}1": 1.0} for c in ("y", *names)}
+                if "t" in TRENDS[trend]:
+                    rows["t"] = {"t": 1.0}
                 short = [f"Dy{i}" for i in range(1, p)] + [f"D{c}{j}" for c, q in zip(names, qs) for j in range(q)]
                 rows |= {f"Dy{i}": {f"y{i}": 1.0, f"y{i + 1}": -1.0} for i in range(1, p)}
                 rows |= {f"D{c}{j}": {f"{c}{j}": 1.0, f"{c}{j + 1}": -1.0} for c, q in zip(names, qs) for j in range(q)}
                 e = m.mix(rows)
-                beta, free, _ = e.ols("dy", ["1", *levels, *short])
-                _, tied, _ = e.ols("dy", ["1", *short])
-                k = len(levels)
-                f_stat = ((tied - free) / k) / (free / (e.n - 1 - k - len(short)))
-                long_run = [-beta[2 + i] / beta[1] * sd[0] / sd[1 + i] for i in range(len(names))]
-                out.append([f_stat, [p, *qs], forced, beta[1], long_run, int(round(e.n))])
+                fixed = list(TRENDS[trend])
+                beta, free, _ = e.ols("dy", [*levels, *fixed, *short])
+                kept = [*(t for t in fixed if t not in restricted), *short]
+                tied = e.ols("dy", kept)[1] if kept else float(e.g[e.names.index("dy"), e.names.index("dy")])
+                k = len(levels) + len(restricted)
+                f_stat = ((tied - free) / k) / (free / (e.n - len(levels) - len(fixed) - len(short)))
+                long_run = [-beta[1 + i] / beta[0] * sd[0] / sd[1 + i] for i in range(len(names))]
+                out.append([f_stat, [p, *qs], forced, beta[0], long_run, int(round(e.n))])
             except (TypeError, np.linalg.LinAlgError, ZeroDivisionError):
                 out.append([None] * 6)
         return pd.DataFrame(out, columns=_BOUNDS.fieldNames()).astype({"nobs": "Int64"})
 
-    res = one.withColumn("_s", solve("moments", "sds")).select(*keys, "_s.*")
+    res = one.withColumn("_s", solve("moments", "means", "sds")).select(*keys, "_s.*")
     return res.withColumn("has_relation", F.when(F.col("f_statistic") > upper, True).when(F.col("f_statistic") < lower, False))
 
 
+def bounds_guarded(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = KEYS, **options) -> DataFrame:
+    """`bounds_f_screen` with the integration order of each series beside the verdict, as a map by column, and `is_valid`,
+    FALSE where one of them is still not stationary after one difference: the test assumes orders of at most one.
+
+    The orders of all series come from one ladder of levels and differences, stacked by column.
+    """
+    keys = list(keys)
+    stacked = df.select(*keys, IDX, F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("v")) for c in (y, *xs)])).alias("s")).select(*keys, IDX, "s.*").filter("v IS NOT NULL")
+    placed = row_index(stacked.withColumnRenamed(IDX, "_o"), [*keys, "series"], "_o").drop("_o")
+    orders = integration_order(placed, "v", [*keys, "series"]).groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("series", "integration")))).alias("integration_orders"), F.bool_and(F.col("integration") != "I(2)+").alias("is_valid")
+    )
+    return equi(bounds_f_screen(df, y, xs, keys, **options), orders, keys, "left")
+
+
 def cointegration_residuals(pairs: DataFrame, keys: Sequence[str] = ("a", "b"), order: str = "bar_date") -> DataFrame:
     """Stage one: y on x with a constant per pair; slope, intercept and the residual per row."""
     fit = pairs.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
