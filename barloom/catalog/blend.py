@@ -52,6 +52,27 @@ def _(spark, sf):
     return rounded(out.withColumn("n_recent", F.size("recent")).drop("recent"), 8, "arima_return", "hybrid_return")
 
 
+def _newest(spark, sf):
+    df = windowed(
+        panel(spark, sf), lambda d, w: d.withColumns({"_prev": F.lag("close").over(w), "hybrid_return": ft.pct_change("close", w)}).withColumn("ar_forecast", rolling.ar1_forecast(w)), back=120
+    )
+    latest = clean.latest_rows(df.select(*KEY, "close", "ar_forecast", "hybrid_return"))
+    return latest.withColumns({"arima_return": folds.ar_return_input(), "hybrid_return": F.least(F.greatest("hybrid_return", F.lit(-0.2)), F.lit(0.2)), "alpha": F.lit(0.5)})
+
+
+@query("forecast_response_origin", f"""WITH {_LATEST} SELECT series_id, bar_date AS as_of, CASE WHEN r IS NOT NULL THEN 'arima' ELSE 'hybrid' END AS model, CASE WHEN r IS NOT NULL THEN '1,0,1' END AS arima_order,
+  'bundled+live' AS data_source, (SELECT count(*) FILTER (bar_date >= DATE '1999-01-01') FROM bars) AS live_rows_appended, NULL::VARCHAR AS data_note, '7' AS model_version FROM lt""")
+def _(spark, sf):
+    """Model order and provenance next to the response."""
+    bars = fx.bars_priority(spark, sf)
+    latest = _newest(spark, sf)
+    orders = latest.select("series_id", F.lit(1).alias("p"), F.lit(1).alias("q"))
+    macro = fx.macro_long(spark, sf)
+    origin = src.snapshot_provenance(bars.filter("bar_date < DATE '1999-01-01'"), bars.filter("bar_date >= DATE '1999-01-01'"), macro)
+    out = blend.forecast_response(latest, orders=orders, provenance=origin, version="7")
+    return out.select("series_id", "as_of", "model", F.array_join("arima_order", ",").alias("arima_order"), "data_source", "live_rows_appended", "data_note", "model_version")
+
+
 def model_rows(spark, sf, bars=None):
     """Fold-expanded rows with a compact causal feature set and the forward return."""
     df = panel(spark, sf) if bars is None else row_index(bars, length="n_rows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import BARS, PANEL, RETURNS, W, macro_wide, panel, query, rounded, rsql
@@ -43,6 +45,45 @@ for _trend in ("c", "ct"):
         return rounded(eco.kpss_screen(panel(spark, sf), "close", trend=trend, lags=8).select("series_id", "n_rows", "kpss_statistic"), 8)
 
 
+def _poly(coefs) -> str:
+    return " + ".join(f"({c!r}::DOUBLE) * pow(stat, {i})" for i, c in enumerate(coefs))
+
+
+def _unit_roots_sql(lags: int = 8) -> str:
+    """Both tests on levels, differences and second differences: Dickey-Fuller without lags, its verdict read off the response
+    surface (p below 5% where the polynomial is below the normal quantile), and KPSS at a fixed bandwidth."""
+    z = f"{NormalDist().inv_cdf(eco.LEVEL)!r}::DOUBLE"
+    cov = " + ".join(["sum(e * e)"] + [f"{2 * (1 - k / (lags + 1))!r}::DOUBLE * sum(e * e_{k})" for k in range(1, lags + 1)])
+    return f"""{PANEL}, ladder AS (SELECT series_id, 0 AS d, row_idx AS i, close AS y FROM panel UNION ALL SELECT series_id, 1, row_idx, close - lag(close) OVER ({W}) FROM panel
+      UNION ALL SELECT series_id, 2, row_idx, close - 2 * lag(close) OVER ({W}) + lag(close, 2) OVER ({W}) FROM panel),
+    lg AS (SELECT *, y - lag(y) OVER k AS dy, lag(y) OVER k AS y1, y - avg(y) OVER (PARTITION BY series_id, d) AS e FROM ladder WHERE y IS NOT NULL WINDOW k AS (PARTITION BY series_id, d ORDER BY i)),
+    df AS (SELECT series_id, d, count(*) + 1 AS n_rows, count(*) AS nobs, regr_slope(dy, y1) / sqrt((regr_syy(dy, y1) - regr_slope(dy, y1) * regr_sxy(dy, y1)) / (count(*) - 2) / regr_sxx(dy, y1)) AS stat FROM lg WHERE dy IS NOT NULL GROUP BY 1, 2),
+    adf AS (SELECT *, CASE WHEN stat > {eco.TAU_MAX[1]} THEN false WHEN stat < {eco.TAU_MIN[1]} THEN true WHEN stat <= {eco.TAU_STAR[1]} THEN {_poly(eco.TAU_SMALL[1])} < {z} ELSE {_poly(eco.TAU_LARGE[1])} < {z} END AS rejects FROM df),
+    ks AS (SELECT *, sum(e) OVER (PARTITION BY series_id, d ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, {', '.join(f'lag(e, {k}) OVER (PARTITION BY series_id, d ORDER BY i) AS e_{k}' for k in range(1, lags + 1))} FROM lg),
+    kpss AS (SELECT series_id, d, (sum(s * s) / (count(*) * count(*)::DOUBLE)) / (({cov}) / count(*)) AS eta FROM ks GROUP BY 1, 2),
+    both_ AS (SELECT series_id, d, n_rows, nobs, stat, rejects, eta < {eco.KPSS_CRIT['c'][1]}::DOUBLE AS keeps FROM adf JOIN kpss USING (series_id, d))"""
+
+
+@query("adf_lag0", f"WITH {_unit_roots_sql()} SELECT series_id, n_rows, nobs, round(stat, 5) AS adf_statistic, rejects AS is_stationary FROM both_ WHERE d = 0")
+def _(spark, sf):
+    return rounded(eco.adf_screen(panel(spark, sf), "close", max_lag=0).select("series_id", "n_rows", "nobs", "adf_statistic", "is_stationary"), 5)
+
+
+@query("consensus_fixed_lags", f"WITH {_unit_roots_sql()} SELECT series_id, rejects AS adf_stationary, keeps AS kpss_stationary, rejects AND keeps AS is_stationary FROM both_ WHERE d = 0")
+def _(spark, sf):
+    return eco.stationarity_consensus(panel(spark, sf), "close", max_lag=0, kpss_lags=8).drop("adf_p", "kpss_p")
+
+
+@query("auto_difference_fixed_lags", f"WITH {_unit_roots_sql()} SELECT series_id, coalesce(min(CASE WHEN rejects AND keeps THEN d END), 2) AS diff_order, count(CASE WHEN rejects AND keeps THEN 1 END) > 0 AS passed FROM both_ GROUP BY 1")
+def _(spark, sf):
+    return eco.auto_difference(panel(spark, sf), "close", max_lag=0, kpss_lags=8)
+
+
+@query("integration_order_lag0", f"WITH {_unit_roots_sql()} SELECT series_id, CASE WHEN bool_or(d = 0 AND rejects) THEN 'I(0)' WHEN bool_or(d = 1 AND rejects) THEN 'I(1)' ELSE 'I(2)+' END AS integration FROM both_ GROUP BY 1")
+def _(spark, sf):
+    return eco.integration_order(panel(spark, sf), "close", max_lag=0).select("series_id", "integration")
+
+
 @query("stationarity_consensus")
 def _(spark, sf):
     return eco.stationarity_consensus(panel(spark, sf), "close")
@@ -102,6 +143,16 @@ def _(spark, sf):
     return eco.ar_order_select(panel(spark, sf), "close")
 
 
+@query("ar_order_select_two", f"""WITH {PANEL}, l AS (SELECT * FROM (SELECT series_id, close AS y, lag(close) OVER ({W}) AS a, lag(close, 2) OVER ({W}) AS b FROM panel) WHERE b IS NOT NULL),
+  c AS (SELECT series_id, count(*) AS n, var_pop(y) AS yy, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM l GROUP BY 1),
+  r AS (SELECT series_id, n, n * (yy - ay * ay / aa) AS r1, n * (yy - ((ay * bb - byy * ab) * ay + (byy * aa - ay * ab) * byy) / (aa * bb - ab * ab)) AS r2 FROM c),
+  i AS (SELECT series_id, n, n * (ln(2 * pi()) + ln(r1 / n) + 1) + 3 * ln(n) AS b1, n * (ln(2 * pi()) + ln(r2 / n) + 1) + 4 * ln(n) AS b2 FROM r)
+  SELECT series_id, CASE WHEN b2 < b1 THEN 2 ELSE 1 END AS lags, round(least(b1, b2), 3) AS bic, n AS nobs FROM i""")
+def _(spark, sf):
+    """One own lag or two, by BIC on the common sample."""
+    return rounded(eco.ar_order_select(panel(spark, sf), "close", max_lags=2).select("series_id", "lags", "bic", "nobs"), 3)
+
+
 def with_macro(spark, sf):
     return joins.align_macro(panel(spark, sf), macro_wide(spark, sf))
 

@@ -178,3 +178,30 @@ def _(spark, sf):
     parts = {m: wide.select("series_id", "fold", "bar_date", F.col(m).alias("pred"), "actual") for m in ("persistence", "last_return", "ar1")}
     out = joins.require_aligned(joins.align_forecasts(parts, ["series_id", "fold", "bar_date"]))
     return rounded(out, 8)
+
+
+_SERVED = ("ret_1d", "vol_21d", "intraday_range")
+
+
+@query("serving_inputs", f"""WITH {RETURNS}, f AS (SELECT *, {clip_sql('ret_1d', -1e9, 1e9)} AS r1, CASE WHEN count(ret_1d) OVER ({W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) = 21
+    THEN stddev_samp(ret_1d) OVER ({W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) END AS v21, least(greatest((high - low) / close, 0), 0.2) AS rg FROM rets),
+  sc AS (SELECT series_id, avg(r1) AS m1, stddev_pop(r1) AS s1, avg(v21) AS m2, stddev_pop(v21) AS s2, avg(rg) AS m3, stddev_pop(rg) AS s3 FROM f WHERE row_idx < n_rows * 0.8::DOUBLE GROUP BY 1),
+  z AS (SELECT f.series_id, row_idx, n_rows, close, prev, (r1 - m1) / s1 AS z1, (v21 - m2) / s2 AS z2, (rg - m3) / s3 AS z3 FROM f JOIN sc USING (series_id)),
+  q AS (SELECT series_id, sum(z1 * (row_idx - n_rows + 62)) AS q1, sum(z2 * (row_idx - n_rows + 62)) AS q2, sum(z3 * (row_idx - n_rows + 62)) AS q3 FROM z WHERE row_idx BETWEEN n_rows - 61 AND n_rows - 2 GROUP BY 1)
+  SELECT series_id, round(q1, 6) AS seq_1, round(q2, 6) AS seq_2, round(q3, 6) AS seq_3, round(least(greatest(z2, 0), 1), 8) AS vol_1, round(least(greatest(z3, 0), 1), 8) AS vol_2, round(least(greatest(z1, 0), 1), 8) AS vol_pad,
+    round(least(greatest((prev - close) / close, -0.2), 0.2), 8) AS ar_return, 60 AS n_seq, 0::BIGINT AS differing FROM z JOIN q USING (series_id) WHERE row_idx = n_rows - 1""")
+def _(spark, sf):
+    """Scaled inputs of the newest rows from their last 61 rows alone, and in how many they differ from the training rows'."""
+    rows = windowed(panel(spark, sf), lambda d, w: d.withColumns({"ret_1d": ft.pct_change("close", w), "intraday_range": ft.intraday_range(), "ar_forecast": F.lag("close").over(w)}), back=1)
+    rows = windowed(rows, lambda d, w: d.withColumn("vol_21d", ft.realised_vol("ret_1d", w, 21)), back=21)
+    scaler = folds.fit_scaler(rows.filter("row_idx < n_rows * 0.8D"), _SERVED, ["series_id"])
+    names = ["series_id", "row_idx", "seq", "vol_inputs", "ar_return"]
+    served = folds.serving_inputs(rows, _SERVED, scaler, ["series_id"]).select(*names)
+    trained = folds.model_inputs(rows, _SERVED, scaler, ["series_id"]).filter("row_idx = n_rows - 1").select(*names)
+    differing = served.exceptAll(trained).groupBy("series_id").agg(F.count(F.lit(1)).alias("differing"))
+    weighed = lambda c: F.aggregate(F.transform("seq", lambda x, i: x[c] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    out = served.join(differing, "series_id", "left").select(
+        "series_id", *[weighed(c).alias(f"seq_{k}") for k, c in enumerate(_SERVED, 1)], F.col("vol_inputs")[0].alias("vol_1"), F.col("vol_inputs")[1].alias("vol_2"), F.col("vol_inputs")[4].alias("vol_pad"),
+        "ar_return", F.size("seq").alias("n_seq"), F.coalesce("differing", F.lit(0).cast("bigint")).alias("differing"),
+    )
+    return rounded(rounded(out, 6, "seq_1", "seq_2", "seq_3"), 8, "vol_1", "vol_2", "vol_pad", "ar_return")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import FORECASTS, forecasts, query, rounded, rsql, wide_forecasts
-from barloom.operators import metrics as mt, stats
+from barloom.operators import folds, metrics as mt, report, stats
 from barloom.plans.panel import row_index
+from barloom.sources import fixtures as fx
 
 SF = ["series_id", "fold", "model"]
 _E = "(pred - actual)"
@@ -250,3 +251,29 @@ def _(spark, sf):
 def _(spark, sf):
     out = mt.metric_report(forecasts(spark, sf), ("series_id", "model"))
     return rounded(out.select("series_id", "fold", "model", "mse", "mae", "directional_accuracy", "n"), 6)
+
+
+_REPORT_DM = lambda other: f"avg(d_{other}) / sqrt(greatest(var_pop(d_{other}), 1e-300) / count(*)) * sqrt((count(*) - 1) / count(*)::DOUBLE)"
+
+
+@query("walk_forward_report", f"""WITH {FORECASTS}, h AS (SELECT *, 0.25::DOUBLE + (row_idx % 3) * 0.25::DOUBLE AS alpha FROM wide WHERE ar1 IS NOT NULL AND last_return IS NOT NULL),
+  b AS (SELECT *, alpha * ar1 + (1 - alpha) * last_return AS hybrid FROM h),
+  d AS (SELECT *, (actual - hybrid) * (actual - hybrid) - (actual - ar1) * (actual - ar1) AS d_ar1, (actual - hybrid) * (actual - hybrid) - (actual - persistence) * (actual - persistence) AS d_persistence FROM b),
+  r AS (SELECT series_id, fold, count(*) AS n, {', '.join(f'avg((actual - {m}) * (actual - {m})) AS mse_{m}, avg(abs(actual - {m})) AS mae_{m}, avg(CAST(sign({m}) = sign(actual) AS DOUBLE)) AS da_{m}' for m in ('hybrid', 'ar1', 'persistence'))},
+    {_REPORT_DM('ar1')} AS dm_ar1, {_REPORT_DM('persistence')} AS dm_persistence, count(*) FILTER (sign(hybrid) = sign(actual)) AS n_correct, avg(alpha) AS alpha_mean, stddev_pop(alpha) AS alpha_std
+    FROM d GROUP BY GROUPING SETS ((series_id, fold), (series_id)))
+  SELECT r.series_id, r.fold, r.n, {', '.join(f'round({k}_{m}, 8) AS {k}_{m}' for m in ('hybrid', 'ar1', 'persistence') for k in ('mse', 'mae', 'da'))}, round(dm_ar1, 6) AS dm_ar1, round(dm_persistence, 6) AS dm_persistence,
+    n_correct, round(alpha_mean, 8) AS alpha_mean, round(alpha_std, 8) AS alpha_std, f.test_start, f.test_end FROM r LEFT JOIN folds f ON f.series_id = r.series_id AND f.fold = r.fold""")
+def _(spark, sf):
+    """The report on a pinned blend, the rolling AR forecast and persistence."""
+    weight = 0.25 + (F.col("row_idx") % 3) * 0.25
+    wide = wide_forecasts(spark, sf).withColumn("alpha", weight).withColumn("hybrid", F.col("alpha") * F.col("ar1") + (1 - F.col("alpha")) * F.col("last_return"))
+    models = ("hybrid", "ar1", "persistence")
+    edges = folds.fold_boundaries(fx.bars_priority(spark, sf)).select("series_id", "fold", "test_start", "test_end")
+    out = report.walk_forward_report(wide.filter("last_return IS NOT NULL"), models, alpha="alpha", boundaries=edges)
+    short = {"mse": "mse", "mae": "mae", "da": "directional_accuracy"}
+    flat = out.select(
+        "series_id", "fold", F.col("metrics_hybrid.n").alias("n"), *[F.col(f"metrics_{m}.{c}").alias(f"{k}_{m}") for m in models for k, c in short.items()],
+        *[F.col(f"dm_vs_{m}.dm_statistic").alias(f"dm_{m}") for m in models[1:]], "direction.n_correct", "gate.alpha_mean", "gate.alpha_std", "boundaries.test_start", "boundaries.test_end",
+    )
+    return rounded(rounded(flat, 6, "dm_ar1", "dm_persistence"), 8, "alpha_mean", "alpha_std", *[f"{k}_{m}" for m in models for k in short])

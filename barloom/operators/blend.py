@@ -86,10 +86,15 @@ def predicted_price(close: Column | str, ret: Column | str) -> Column:
     return as_col(close) * (1.0 + as_col(ret))
 
 
-def forecast_response(latest: DataFrame, recent: DataFrame | None = None, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+def forecast_response(
+    latest: DataFrame, recent: DataFrame | None = None, keys: Sequence[str] = ("series_id",), orders: DataFrame | None = None, provenance: DataFrame | None = None,
+    version: str | None = None,
+) -> DataFrame:
     """One row per series: price, return in percent, signal, both forecasts and the next session.
 
-    `latest` holds close, bar_date, arima_return, hybrid_return and alpha of the newest row.
+    `latest` holds close, bar_date, arima_return, hybrid_return and alpha of the newest row. `orders` (keys, p, q, of
+    returns) adds `arima_order`, NULL where the first model gave no forecast; `provenance`, the one row of
+    `snapshot_provenance`, adds where the data came from; `version` names the stored model.
     """
     from barloom.operators.clean import next_session
 
@@ -108,4 +113,12 @@ def forecast_response(latest: DataFrame, recent: DataFrame | None = None, keys:
         "arima_return",
         "hybrid_return",
     )
+    if orders is not None:
+        order = orders.select(*keys, F.array(F.col("p").cast("int"), F.lit(0), F.col("q").cast("int")).alias("arima_order"))
+        out = equi(out, order, list(keys), "left").withColumn("arima_order", F.when(F.col("arima_return").isNotNull(), F.col("arima_order")))
+    if provenance is not None:
+        origin = provenance.select(F.lit(1).alias("_one"), F.col("source").alias("data_source"), F.col("live_rows").alias("live_rows_appended"), F.col("note").alias("data_note"))
+        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(origin), "_one", "left").drop("_one")
+    if version is not None:
+        out = out.withColumn("model_version", F.lit(version))
     return equi(out, recent, list(keys), "left") if recent is not None else out

@@ -204,10 +204,12 @@ def kpss_screen(
     return out.withColumn("is_stationary", F.col("p_value") > level)
 
 
-def stationarity_consensus(df: DataFrame, value: str, keys: Sequence[str] = KEYS, order: str = IDX) -> DataFrame:
+def stationarity_consensus(
+    df: DataFrame, value: str, keys: Sequence[str] = KEYS, order: str = IDX, max_lag: int | None = None, kpss_lags: int | str = "auto"
+) -> DataFrame:
     """Both tests must call the series stationary."""
-    a = adf_screen(df, value, keys, order).select(*keys, F.col("p_value").alias("adf_p"), F.col("is_stationary").alias("adf_stationary"))
-    k = kpss_screen(df, value, keys, order).select(*keys, F.col("p_value").alias("kpss_p"), F.col("is_stationary").alias("kpss_stationary"))
+    a = adf_screen(df, value, keys, order, max_lag=max_lag).select(*keys, F.col("p_value").alias("adf_p"), F.col("is_stationary").alias("adf_stationary"))
+    k = kpss_screen(df, value, keys, order, lags=kpss_lags).select(*keys, F.col("p_value").alias("kpss_p"), F.col("is_stationary").alias("kpss_stationary"))
     return equi(a, k, list(keys)).withColumn("is_stationary", F.col("adf_stationary") & F.col("kpss_stationary"))
 
 
@@ -220,16 +222,16 @@ def difference_ladder(df: DataFrame, value: str, keys: Sequence[str] = KEYS, ord
     return wide.select(*keys, IDX, F.inline(rows)).filter("y IS NOT NULL")
 
 
-def auto_difference(df: DataFrame, value: str, keys: Sequence[str] = KEYS, max_order: int = 2) -> DataFrame:
+def auto_difference(df: DataFrame, value: str, keys: Sequence[str] = KEYS, max_order: int = 2, **lags) -> DataFrame:
     """Smallest order whose differenced series passes both tests, else max_order with passed = false."""
     ladder = difference_ladder(df, value, keys, tuple(range(max_order + 1)))
-    tested = stationarity_consensus(ladder, "y", [*keys, "d"])
+    tested = stationarity_consensus(ladder, "y", [*keys, "d"], **lags)
     pick = tested.groupBy(*keys).agg(F.min(F.when(F.col("is_stationary"), F.col("d"))).alias("_d"))
     return pick.select(*keys, F.coalesce("_d", F.lit(max_order)).alias("diff_order"), F.col("_d").isNotNull().alias("passed"))
 
 
-def integration_order(df: DataFrame, value: str, keys: Sequence[str] = KEYS, level: float = LEVEL) -> DataFrame:
-    tested = adf_screen(difference_ladder(df, value, keys, (0, 1)), "y", [*keys, "d"])
+def integration_order(df: DataFrame, value: str, keys: Sequence[str] = KEYS, level: float = LEVEL, max_lag: int | None = None) -> DataFrame:
+    tested = adf_screen(difference_ladder(df, value, keys, (0, 1)), "y", [*keys, "d"], max_lag=max_lag)
     p = tested.groupBy(*keys).agg(
         F.max(F.when(F.col("d") == 0, F.col("p_value"))).alias("p_level"), F.max(F.when(F.col("d") == 1, F.col("p_value"))).alias("p_diff")
     )

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import as_col, clip, equi, ratio
-from barloom.operators.clean import latest_rows
+from barloom.functions.columns import as_col, clip, equi, finite_or_zero, ratio
+from barloom.operators.clean import latest_rows, top_rows
 from barloom.plans.attach import attach
 from barloom.plans.panel import IDX, KEYS, windowed
 from barloom.plans.wide import moments_pass
@@ -186,7 +186,22 @@ def period_slices(df: DataFrame, unit: str = "quarter", keys: Sequence[str] = KE
     return equi(df, last, [*keys, "period"]).withColumn("scored", F.col(order) < F.col("_last")).drop("_last")
 
 
-def serving_inputs(features: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Model inputs of the newest row per series, built by the same functions as training rows."""
-    rows = features.withColumns({"vol_inputs": vol_inputs(list(cols)), "ar_return": ar_return_input()})
-    return latest_rows(rows, keys)
+def model_inputs(rows: DataFrame, cols: Sequence[str], scaler: DataFrame, by: Sequence[str] = (), length: int = SEQUENCE, keys: Sequence[str] = KEYS) -> DataFrame:
+    """A model's inputs per row with a full window: `seq`, the scaled feature rows t-length .. t-1 (0 where not finite), the
+    row's own scaled volatilities in `vol_inputs`, and `ar_return`. Rows need `close` and `ar_forecast` besides the features.
+    """
+    scaled = apply_scaler(rows.withColumn("ar_return", ar_return_input()), scaler, cols, by)
+    ready = scaled.withColumn("vol_inputs", vol_inputs(list(cols))).withColumns({c: finite_or_zero(c) for c in cols})
+    return sequence_windows(ready, cols, length, keys)
+
+
+def serving_inputs(features: DataFrame, cols: Sequence[str], scaler: DataFrame | None = None, by: Sequence[str] = (), length: int = SEQUENCE, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Model inputs of the newest row per series, built by the same functions as training rows.
+
+    With a scaler these are all of `model_inputs`, from the newest length + 1 rows alone.
+    """
+    if scaler is None:
+        rows = features.withColumns({"vol_inputs": vol_inputs(list(cols)), "ar_return": ar_return_input()})
+        return latest_rows(rows, keys)
+    last = top_rows(features, length + 1, F.col(IDX).desc(), keys)
+    return latest_rows(model_inputs(last, cols, scaler, by, length, keys), keys)
