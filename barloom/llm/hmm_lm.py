@@ -7,8 +7,9 @@ rare words, is met by a join on the hash, where no key can be hot because each i
 Model. A word with at least one training token in HEAVY (and 20 in all) is a class of its own, so is the end of a text; all
 others share classes by their last three bytes. A state emits a class, a class emits its word with the probability
 (c + 0.1) / (C + 0.1 (V + 1)) of its C tokens and V words, which leaves 0.1 for an unknown word. States begin as groups of
-frequent words that appear in the same stretches of text; then `rounds` Baum-Welch rounds run over all training text, cut into
-stretches of SPAN tokens: each partition adds up its expected counts, one shuffle sums them by class.
+frequent words that appear in the same stretches of text; then `rounds` Baum-Welch rounds run over all training texts, each as
+a whole: stretches of SPAN tokens are worked side by side, and messages by their transfer matrices carry what comes before
+and after over the borders. Each partition adds up its expected counts, one shuffle sums them by class.
 
 Scoring. The likelihood of a whole text is exact for any length: stretches are turned into transfer matrices all at once, and
 a scaled forward recursion runs over the stretches.
@@ -19,7 +20,7 @@ A null or empty text is the end token only. Rows are scored one by one, repeated
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,7 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # classes by states
+    likelihoods: list[float] = field(default_factory=list)  # natural-log likelihood of the training texts before each round
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Class of each word, and its place among the known words (-1: rare or unknown)."""
@@ -191,26 +193,75 @@ def _first_states(m: Model, both: np.ndarray, states: int) -> None:
     m.move = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1))
 
 
-def _expected(m: Model, cls: np.ndarray, starts: np.ndarray, emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, first_: np.ndarray) -> None:
-    """Add the expected counts of the stretches: forward and backward over all of them at once, longest first."""
-    first, length, _, _ = _stretches(cls, starts)
+def _by_place(place: np.ndarray) -> list[np.ndarray]:
+    """Rows of each place in turn."""
+    order = np.argsort(place, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []
+
+
+def _messages(m: Model, cls: np.ndarray, stretches: tuple[np.ndarray, ...], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each stretch hears from its text: the states before its first token, given all tokens before it, and the weight
+    of the states of its last token by all tokens after it. Transfer matrices of the stretches carry both over the borders."""
+    first, length, text, place = stretches
+    k = emit.shape[1]
+    move = m.move.astype(np.float32)
+    before, after = np.zeros((len(first), k), dtype=np.float32), np.ones((len(first), k), dtype=np.float32)
+    rest = np.flatnonzero(place > 0)
+    if not len(rest):
+        return before, after
+    at = np.empty(len(first), dtype=np.int64)  # the stretch of each text and place
+    base = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
+    at[base[text] + place] = np.arange(len(first))
+    ahead = at[base[text[rest]] + place[rest] - 1]  # the stretch before each that is not a text's first
+    matrix = np.repeat(np.eye(k, dtype=np.float32)[None], len(rest), axis=0)
+    live = np.searchsorted(-length[rest], -np.arange(1, length[rest][0] + 1), side="right")
+    for t, n in enumerate(live):
+        part = (matrix[:n].reshape(-1, k) @ move).reshape(n, k, k) * emit[cls[first[rest[:n]] + t]][:, None, :]
+        matrix[:n] = part / part.sum((1, 2), keepdims=True)
+    heads = np.unique(ahead[place[rest] == 1])
+    last = np.repeat(m.start.astype(np.float32)[None], len(heads), axis=0)
+    for t in range(SPAN):  # a stretch with one after it is full
+        last = (last @ move if t else last) * emit[cls[first[heads] + t]]
+        last /= last.sum(1, keepdims=True)
+    end = np.zeros((len(first), k), dtype=np.float32)
+    end[heads] = last
+    rows = _by_place(place[rest])
+    for r in rows:
+        before[rest[r]] = end[ahead[r]]
+        v = np.einsum("nk,nkj->nj", before[rest[r]], matrix[r])
+        end[rest[r]] = v / v.sum(1, keepdims=True)
+    for r in reversed(rows):
+        v = np.einsum("nkj,nj->nk", matrix[r], after[rest[r]])
+        after[ahead[r]] = v / v.sum(1, keepdims=True)
+    return before, after
+
+
+def _expected(m: Model, cls: np.ndarray, starts: np.ndarray, emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, first_: np.ndarray) -> float:
+    """Add the expected counts of whole texts, and give their natural-log likelihood: forward and backward over all
+    stretches at once, longest first, each from what it hears over its borders."""
+    stretches = first, length, _, place = _stretches(cls, starts)
     if not len(first):
-        return
+        return 0.0
     k = emit.shape[1]
     move, start = m.move.astype(np.float32), m.start.astype(np.float32)
+    before, after = _messages(m, cls, stretches, emit)
+    inner = place > 0
     live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-    fwd, seen, scale = [], [], []
+    fwd, seen, scale, log = [], [], [], 0.0
     for t in range(length[0]):
         n = live[t]
         e = emit[cls[first[:n] + t]]
-        a = (fwd[-1][:n] @ move if t else start) * e
+        a = (fwd[-1][:n] @ move if t else np.where(inner[:, None], before @ move, start)) * e
         s = a.sum(1, keepdims=True)
+        log += float(np.log(s, dtype=np.float64).sum())
         fwd.append(a / s), seen.append(e), scale.append(s)
     beta = np.ones((0, k), dtype=np.float32)
     gammas, tokens = [], []
     for t in range(length[0] - 1, -1, -1):
         n = live[t]
-        grown = np.ones((n, k), dtype=np.float32)
+        grown = after[:n].copy()  # of the stretches that end here; the rest is filled in
+        ends = fwd[t][len(beta) : n] * grown[len(beta) :]
+        grown[len(beta) :] /= ends.sum(1, keepdims=True)
         if t + 1 < length[0]:
             n1 = live[t + 1]
             ahead = seen[t + 1] * beta / scale[t + 1]
@@ -218,28 +269,32 @@ def _expected(m: Model, cls: np.ndarray, starts: np.ndarray, emit: np.ndarray, c
             grown[:n1] = ahead @ move.T
         beta = grown
         gammas.append(fwd[t] * beta), tokens.append(cls[first[:n] + t])
-    first_ += gammas[-1].sum(0)
+    if inner.any():  # the moves over borders
+        moves += (before[inner].T @ (seen[0] * beta / scale[0])[inner]) * move
+    first_ += gammas[-1][~inner].sum(0)
     gamma, token = np.concatenate(gammas), np.concatenate(tokens)
     for i in range(k):
         counts[:, i] += np.bincount(token, gamma[:, i], minlength=len(counts))
+    return log
 
 
 def _expectation(shared):
-    """Expected counts of a partition, one row a class that occurs; moves and starts follow under negative numbers."""
+    """Expected counts of a partition, one row a class that occurs; moves, starts and the log likelihood follow under
+    negative numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         k = m.emit.shape[1]
         emit = m.emit.astype(np.float32)
-        counts, moves, first = np.zeros(m.emit.shape), np.zeros((k, k)), np.zeros(k)
+        counts, moves, first, log = np.zeros(m.emit.shape), np.zeros((k, k)), np.zeros(k), 0.0
         for b in batches:
-            for _, _, raw, bounds in text_slices(b.column(0), 2 << 20):
+            for _, _, raw, bounds in text_slices(b.column(0), 1 << 20):
                 w = Words(raw, bounds)
                 cls, starts = _with_end(w, m.encode(w)[0], 0)
-                _expected(m, cls, starts, emit, counts, moves, first)
+                log += _expected(m, cls, starts, emit, counts, moves, first)
         used = np.flatnonzero(counts.sum(1))
-        keys = np.concatenate([used, -1 - np.arange(k + 1)])
-        rows = np.concatenate([counts[used], moves, first[None]])
+        keys = np.concatenate([used, -1 - np.arange(k + 2)])
+        rows = np.concatenate([counts[used], moves, first[None], np.full((1, k), log / k)])
         yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(rows[:, i]) for i in range(k))], ["c", *(f"s{i}" for i in range(k))])
 
     return run
@@ -262,8 +317,9 @@ def train(texts: DataFrame, column: str, counts: DataFrame, states: int = STATES
         key, value = sums["c"].to_numpy(), sums[names].to_numpy()
         seen = np.zeros((len(m.base), states))
         seen[key[key >= 0]] = value[key >= 0]
-        extra = np.zeros((states + 1, states))
+        extra = np.zeros((states + 2, states))
         extra[-1 - key[key < 0]] = value[key < 0]
+        m.likelihoods.append(float(extra[-1].sum()))
         total = seen.sum(0)
         weight = 50 + 0.005 * total
         m.emit = (seen + weight * m.base[:, None]) / (total + weight)

@@ -72,6 +72,46 @@ def test_expected_counts_against_sums_over_paths():
     assert np.allclose(counts, want_c, atol=1e-5) and np.allclose(moves, want_m, atol=1e-5)
 
 
+@pytest.mark.parametrize("span", [2, 3, 7, 64])
+def test_expected_counts_do_not_depend_on_stretches(monkeypatch, span):
+    """Counts and likelihood of whole texts, by a plain forward and backward pass a text."""
+    monkeypatch.setattr(hmm_lm, "SPAN", span)
+    rng = np.random.default_rng(12)
+    k, classes = 3, 5
+    unit = lambda *shape: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(shape) + 0.05)
+    m = hmm_lm.Model(0, 0, classes, None, None, None, None, None, unit(k), unit(k, k), unit(k, classes).T)
+    starts = np.cumsum([0, 1, 2, 30, 7, 64, 65, 200])
+    cls = rng.integers(0, classes, starts[-1])
+    counts, moves, first = np.zeros((classes, k)), np.zeros((k, k)), np.zeros(k)
+    log = hmm_lm._expected(m, cls, starts, m.emit.astype(np.float32), counts, moves, first)
+    want_c, want_m, want_f, want_log = np.zeros((classes, k)), np.zeros((k, k)), np.zeros(k), 0.0
+    for a, b in zip(starts, starts[1:]):
+        e = m.emit[cls[a:b]]
+        fwd, beta = np.zeros_like(e), np.ones_like(e)
+        for t in range(len(e)):
+            v = (fwd[t - 1] @ m.move if t else m.start) * e[t]
+            want_log += np.log(v.sum())
+            fwd[t] = v / v.sum()
+        for t in range(len(e) - 2, -1, -1):
+            v = m.move @ (e[t + 1] * beta[t + 1])
+            beta[t] = v / v.sum()
+        gamma = fwd * beta / (fwd * beta).sum(1, keepdims=True)
+        want_f += gamma[0]
+        np.add.at(want_c, cls[a:b], gamma)
+        for t in range(1, len(e)):
+            x = fwd[t - 1][:, None] * m.move * (e[t] * beta[t])
+            want_m += x / x.sum()
+    np.testing.assert_allclose(counts, want_c, rtol=2e-4), np.testing.assert_allclose(moves, want_m, rtol=2e-4), np.testing.assert_allclose(first, want_f, rtol=2e-4)
+    assert abs(log - want_log) < 1e-4 * abs(want_log)
+    assert abs(want_log - hmm_lm._likelihood(m, cls, starts).sum()) < 1e-8 * abs(want_log)
+
+
+def test_likelihood_rises_by_rounds(spark):
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    m = hmm_lm.train(texts, "text", hmm_lm.word_counts(texts, "text"), rounds=5)
+    assert len(m.likelihoods) == 5 and all(a < b for a, b in zip(m.likelihoods, m.likelihoods[1:]))
+
+
 def test_language_model_query(spark):
     rows = {r.doc_id: r for r in QUERIES["op3_hmm_lm"](spark, SF).collect()}
     docs = [(d.doc_id, (d.text or "").encode().lower().split() + [None]) for d in spark.read.parquet(f"{SF}/documents.parquet").collect()]
