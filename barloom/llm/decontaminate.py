@@ -27,7 +27,7 @@ from barloom.session import written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 CHUNK = 8192
 PASSES = 8
 

@@ -43,7 +43,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+#: Powers inside a block of bytes; a block's own offset is one factor more, so no table grows with a text.
+_STEP = 1 << 16
+_POWERS = _powers(_BASE, _STEP), _powers(_INVERSE, _STEP)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -105,17 +107,21 @@ class Words:
 
     def _sums(self) -> np.ndarray:
         if not hasattr(self, "_cum"):
-            n = len(self.raw) + 1
-            if len(_POWERS[0]) < n:
-                size = 1 << (n - 1).bit_length()
-                _POWERS[:] = [_powers(_BASE, size), _powers(_INVERSE, size)]
-            self._cum = np.zeros(n, dtype=np.uint64)
-            np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: n - 1], out=self._cum[1:])
+            n = len(self.raw)
+            self._cum = cum = np.zeros(n + 1, dtype=np.uint64)
+            for at in range(0, n, _STEP):
+                part = self.raw[at : at + _STEP].astype(np.uint64)
+                part += np.uint64(1)
+                part *= _POWERS[0][: len(part)]
+                part *= np.uint64(pow(_BASE, at, 2**64))
+                np.cumsum(part, out=cum[at + 1 : at + 1 + len(part)])
+                cum[at + 1 : at + 1 + len(part)] += cum[at]
         return self._cum
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         cum = self._sums()
-        return mix((cum[end] - cum[start]) * _POWERS[1][start])
+        shift = np.array([pow(_INVERSE, at, 2**64) for at in range(0, len(self.raw) + 1, _STEP)], dtype=np.uint64)
+        return mix((cum[end] - cum[start]) * _POWERS[1][start % _STEP] * shift[start // _STEP])
 
 
 def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
