@@ -15,7 +15,7 @@ def test_report_has_every_part(spark):
     rows.append(("A", 1, 99, 0.01, None, 0.0, 0.0, 0.5))  # without a forecast: left out of every model's score
     scored = spark.createDataFrame(rows, "series_id string, fold int, i int, actual double, hybrid double, arima double, persistence double, alpha double")
     draws = F.explode(F.array(*[F.lit(float(z)) for z in np.linspace(-0.02, 0.02, 30)]))
-    samples = scored.na.drop().select("series_id", "fold", "i", (F.col("hybrid") + draws).alias("value"))
+    samples = scored.na.drop().select("series_id", "fold", "i", "hybrid", draws.alias("z")).select("series_id", "fold", "i", (F.col("hybrid") + F.col("z")).alias("value"))
     psi = spark.createDataFrame([("A", 1, "x", 0.3, "alert"), ("A", 1, "y", 0.1, "stable"), ("B", 2, "x", 0.2, "moderate_drift")], "series_id string, fold int, feature string, psi double, status string")
     orders = spark.createDataFrame([("A", 1, 2, 1)], "series_id string, fold int, p int, q int")
     out = report.walk_forward_report(scored, ("hybrid", "arima", "persistence"), alpha="alpha", samples=samples, row_keys=["series_id", "fold", "i"], psi=psi, orders=orders)
