@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.base import FOLDS, FORECASTS, RETURNS, W, clip_sql, forecasts, panel, query, rounded, wide_forecasts
 from barloom.catalog.metrics import _G, gated
-from barloom.operators import blend, clean, features as ft, folds, learned, rolling
+from barloom.functions.columns import equi
+from barloom.operators import blend, clean, features as ft, folds, learned, regime, rolling
 from barloom.plans.panel import row_index, windowed
 from barloom.sources import bars as src
 from barloom.sources import fixtures as fx
@@ -112,6 +113,17 @@ def _(spark, sf):
     return out.select("series_id", "fold", "bar_date", "alpha", "pred", "actual")
 
 
+@query("fit_gate_regime")
+def _(spark, sf):
+    """The gate with the fold's own regime probability and the missing sentiment's neutral value among its inputs."""
+    rows = gate_rows(spark, sf).withColumn("sentiment", F.lit(0.0))
+    seen = windowed(panel(spark, sf), lambda d, w: (lambda e: e.withColumn("vol_10d", ft.realised_vol("ret_1d", w, 10)))(d.withColumn("ret_1d", ft.pct_change("close", w))), back=11)
+    prob = regime.fold_regime_feature(seen.select(*KEY, "row_idx", "n_rows", "ret_1d", "vol_10d")).select("series_id", "fold", "bar_date", "regime_high_vol_prob")
+    joined = equi(rows, prob, ["series_id", "fold", "bar_date"], "left")
+    out = blend.fold_gates(joined, (*GATE_INPUTS, "regime_high_vol_prob", "sentiment"), "ar1", "last_return")
+    return out.select("series_id", "fold", "bar_date", "regime_high_vol_prob", "alpha", "pred", "actual")
+
+
 @query("gate_leakage", f"""WITH {RETURNS}, {FOLDS}, ar AS (SELECT series_id, row_idx, CASE WHEN nxt IS NOT NULL AND row_idx >= 119 THEN 1 END AS ok FROM rets),
   rows AS (SELECT f.fold, a.series_id, a.row_idx, CASE WHEN a.row_idx < f.test_start THEN 'val' ELSE 'test' END AS role FROM ar a JOIN folds f USING (series_id)
     WHERE ok = 1 AND a.row_idx >= f.val_start AND a.row_idx < f.test_end)

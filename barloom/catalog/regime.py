@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import RETURNS, over, panel, query, rounded
+from barloom.catalog.base import FOLDS, RETURNS, over, panel, query, rounded
 from barloom.operators import features as ft, folds, regime
 from barloom.plans.panel import windowed
 
@@ -102,3 +102,21 @@ def _(spark, sf):
 def _(spark, sf):
     df = observations(spark, sf)
     return regime.hmm_viterbi(df, pinned(df), OBS, size=1024).select(*KEY, "noncausal_state")
+
+
+@query("fold_regime_feature", f"""WITH RECURSIVE {RETURNS.replace('bars AS (', 'bars AS MATERIALIZED (', 1)}, {FOLDS}, ob AS (SELECT series_id, bar_date, row_idx, coalesce(ret_1d, 0) AS x FROM rets),
+  pr AS (SELECT f.series_id, f.fold, any_value(f.test_end) AS test_end, avg(x) AS m, var_pop(x) AS v FROM ob JOIN folds f ON f.series_id = ob.series_id AND row_idx < f.test_start GROUP BY 1, 2),
+  em AS (SELECT ob.series_id, fold, bar_date, row_idx, -0.5::DOUBLE * (ln(2 * pi() * v) + (x - m) * (x - m) / v) AS l0, -0.5::DOUBLE * (ln(2 * pi() * 9 * v) + (x - m) * (x - m) / (9 * v)) AS l1 FROM ob JOIN pr ON pr.series_id = ob.series_id AND row_idx < test_end),
+  eb AS MATERIALIZED (SELECT *, exp(l0 - greatest(l0, l1)) AS b0, exp(l1 - greatest(l0, l1)) AS b1 FROM em),
+  f AS (SELECT series_id, fold, row_idx, 0.5 * b0 / (0.5 * b0 + 0.5 * b1) AS p0 FROM eb WHERE row_idx = 0
+    UNION ALL SELECT e.series_id, e.fold, e.row_idx, (f.p0 * 0.95 + (1 - f.p0) * 0.1) * b0 / ((f.p0 * 0.95 + (1 - f.p0) * 0.1) * b0 + (f.p0 * 0.05 + (1 - f.p0) * 0.9) * b1)
+    FROM f JOIN eb e ON e.series_id = f.series_id AND e.fold = f.fold AND e.row_idx = f.row_idx + 1)
+  SELECT series_id, fold, bar_date, round(1 - p0, 6) AS regime_high_vol_prob FROM f JOIN eb USING (series_id, fold, row_idx)""")
+def _(spark, sf):
+    """Filtered per fold with the mean and variance of that fold's own training rows; the second state is three times as wide."""
+    df = observations(spark, sf).select(*KEY, "row_idx", "n_rows", "ret_1d")
+    arr = lambda *v: F.array(*[F.lit(x) if isinstance(x, float) else x for x in v])
+    seen = folds.expand_folds(df).filter("role <> 'test'").groupBy("series_id", "fold").agg(F.avg("ret_1d").alias("m"), F.var_pop("ret_1d").alias("v"))
+    params = seen.select("series_id", "fold", arr(0.5, 0.5).alias("start"), arr(0.95, 0.05, 0.1, 0.9).alias("trans"), arr(F.col("m"), F.col("m")).alias("means"), arr(F.col("v"), 9 * F.col("v")).alias("vars"))
+    out = regime.fold_regime_feature(df, ["ret_1d"], params, size=512)
+    return rounded(out.select("series_id", "fold", "bar_date", "regime_high_vol_prob"), 6)

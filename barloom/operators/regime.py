@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import equi
+from barloom.operators.folds import expand_folds
 from barloom.plans.attach import attach
 from barloom.plans.panel import CHUNK, IDX, KEYS, in_order
 from barloom.session import cut_lineage, discard, written
@@ -337,6 +338,22 @@ def high_vol_probability(df: DataFrame, params: DataFrame, cols: Sequence[str],
     return f.withColumn("regime_high_vol_prob", F.get("filtered", F.col("high_vol_state"))).drop("filtered", "high_vol_state")
 
 
+def fold_regime_feature(
+    rows: DataFrame, cols: Sequence[str] = ("ret_1d", "vol_10d"), params: DataFrame | None = None, keys: Sequence[str] = KEYS, n: str = "n_rows", size: int = CHUNK_ROWS
+) -> DataFrame:
+    """Every row once per fold it belongs to, with its role and `regime_high_vol_prob`, the feature that joins the others
+    before scaling: parameters learned from the fold's rows before its test part (or given per key and fold), filtered
+    forward over all of the fold's rows, so that no row sees a later one. Missing observations count as 0.
+    """
+    by = [*keys, "fold"]
+    expanded = expand_folds(rows, n)
+    seen = expanded.withColumns({f"_o{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(cols)})
+    inputs = [f"_o{i}" for i in range(len(cols))]
+    if params is None:
+        params = hmm_fit(seen.filter("role <> 'test'"), inputs, by)
+    return high_vol_probability(seen, params, inputs, by, size).drop(*inputs)
+
+
 # --- best path
 def _max_step(score: np.ndarray, logm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One max-plus step for many rows at once: (.., K) x (.., K, K) -> best score and best previous state."""
