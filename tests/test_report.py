@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import folds, report
+from barloom.operators import folds, learned, report
 from barloom.plans.panel import row_index
 
 
@@ -50,3 +50,22 @@ def test_inputs_of_the_newest_row_need_only_the_last_rows(spark):
     first = min(max((pdf.f[89] - mean.f) / sd.f, 0), 1)
     assert served.vol_inputs == pytest.approx([vol] + [first] * 4)
     assert folds.serving_inputs(df.filter("row_idx < 20"), cols, scaler, length=20).count() == 0
+
+
+def test_bagged_members_are_weighted_ridge_fits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, *map(float, x), float(0.5 * x[0] - x[1] + 0.1 * rng.normal()), "train" if i < 80 else "test") for k in (1, 2) for i, x in enumerate(rng.normal(size=(90, 2)))]
+    df = spark.createDataFrame(rows, "fold int, i int, a double, b double, actual double, role string").repartition(3)
+    weights = {(r.fold, r.i): r.w for r in df.select("fold", "i", learned.bag_weights(["fold", "i"], 7, 1).alias("w")).collect()}
+    every = np.concatenate(list(weights.values()))
+    assert abs(every.mean() - 1) < 0.1 and abs(every.var() - 1) < 0.2 and every.max() >= 3
+    got = {(r.fold, r.i, r.sample_id): r.value for r in learned.bagged_samples(df, ["a", "b"], ["fold", "i"], 7, 1.0, 1).collect()}
+    assert len(got) == 2 * 10 * 7
+    for k in (1, 2):
+        train = [r for r in rows if r[0] == k and r[5] == "train"]
+        x, y = np.array([[1, r[2], r[3]] for r in train]), np.array([r[4] for r in train])
+        w = np.array([weights[k, r[1]] for r in train])
+        for j in range(7):
+            beta = np.linalg.solve((x * w[:, [j]]).T @ x + np.diag([0, 1, 1]), (x * w[:, [j]]).T @ y)
+            for r in [r for r in rows if r[0] == k and r[5] == "test"]:
+                assert got[k, r[1], j] == pytest.approx(beta @ [1, r[2], r[3]], rel=1e-9)
