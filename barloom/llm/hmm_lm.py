@@ -215,9 +215,15 @@ def _messages(m: Model, cls: np.ndarray, stretches: tuple[np.ndarray, ...], emit
     ahead = at[base[text[rest]] + place[rest] - 1]  # the stretch before each that is not a text's first
     matrix = np.repeat(np.eye(k, dtype=np.float32)[None], len(rest), axis=0)
     live = np.searchsorted(-length[rest], -np.arange(1, length[rest][0] + 1), side="right")
+    # only the directions of a matrix count: emissions are taken against their largest, and sizes mended now and then
+    relative = emit / emit.max(1, keepdims=True)
+    token = first[rest]
     for t, n in enumerate(live):
-        part = (matrix[:n].reshape(-1, k) @ move).reshape(n, k, k) * emit[cls[first[rest[:n]] + t]][:, None, :]
-        matrix[:n] = part / part.sum((1, 2), keepdims=True)
+        part = (matrix[:n].reshape(-1, k) @ move).reshape(n, k, k)
+        part *= relative[cls[token[:n] + t]][:, None, :]
+        if t % 8 == 7:
+            part /= part.max((1, 2), keepdims=True)
+        matrix[:n] = part
     heads = np.unique(ahead[place[rest] == 1])
     last = np.repeat(m.start.astype(np.float32)[None], len(heads), axis=0)
     for t in range(SPAN):  # a stretch with one after it is full
