@@ -119,8 +119,8 @@ def ar_return_input(forecast: str = "ar_forecast", close: str = "close") -> Colu
 def fit_scaler(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kind: str = "standard") -> DataFrame:
     """Scaler table (by..., feature, mean, scale); fit it on training rows only.
 
-    standard: population deviation, 1 where it is 0. minmax: minimum and range, 1 where it is 0. Columns without a
-    finite value have neither. One pass over wide rows; tasks hand on a few numbers per key and column.
+    standard: population deviation, 1 where all values are equal. minmax: minimum and range, 1 where it is 0. Columns
+    without a finite value have neither. One pass over wide rows; tasks hand on a few numbers per key and column.
     """
     by = list(by)
     rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
@@ -130,7 +130,10 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kind:
     parts = parts.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
     gap = F.col("mean") - F.col("_mean")
     if kind == "standard":
-        center, spread = F.first("_mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * gap * gap) / F.sum("n"))
+        # sums of equal values round: their mean is the value itself and their deviation 0
+        same = F.min("low") == F.max("high")
+        center = F.when(same, F.min("low")).otherwise(F.first("_mean"))
+        spread = F.when(same, 0.0).otherwise(F.sqrt(F.sum(F.col("m2") + F.col("n") * gap * gap) / F.sum("n")))
     else:
         center, spread = F.min("low"), F.max("high") - F.min("low")
     fitted = parts.groupBy(*by, "feature").agg(center.alias("mean"), spread.alias("_spread"))

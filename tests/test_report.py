@@ -52,6 +52,15 @@ def test_inputs_of_the_newest_row_need_only_the_last_rows(spark):
     assert folds.serving_inputs(df.filter("row_idx < 20"), cols, scaler, length=20).count() == 0
 
 
+def test_a_constant_feature_is_scaled_to_zero(spark):
+    """Sums of 0.2 round away from 0.2, so neither mean nor deviation may come from them."""
+    df = spark.range(1931).selectExpr("'A' AS series_id", "id", "0.2D AS f", "cast(id % 7 AS double) AS g").repartition(3)
+    scaler = folds.fit_scaler(df, ["f", "g"], ["series_id"])
+    got = {r.feature: r for r in scaler.collect()}
+    assert (got["f"].mean, got["f"].scale) == (0.2, 1.0) and got["g"].scale == pytest.approx(np.std(np.arange(1931) % 7))
+    assert [r.f for r in folds.apply_scaler(df, scaler, ["f"], ["series_id"]).select("f").distinct().collect()] == [0.0]
+
+
 def test_bagged_members_are_weighted_ridge_fits(spark):
     rng = np.random.default_rng(4)
     rows = [(k, i, *map(float, x), float(0.5 * x[0] - x[1] + 0.1 * rng.normal()), "train" if i < 80 else "test") for k in (1, 2) for i, x in enumerate(rng.normal(size=(90, 2)))]
