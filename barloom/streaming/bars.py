@@ -17,6 +17,7 @@ from barloom.operators.regime import Params, step_matrices
 
 
 FILES_PER_TRIGGER = 64
+SLICE = 1 << 14  # rows of a key that a stateful step hands on at a time
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
@@ -79,11 +80,34 @@ def read_last(spark: SparkSession, target: str, keys: Sequence[str], arrival: st
     return dedupe_keep_last(spark.read.parquet(target).drop("batch"), arrival, keys)
 
 
-def _newer(frames: Iterator[pd.DataFrame], ts: str, last) -> pd.DataFrame:
-    """The key's rows of this micro-batch in time order, without rows before the stored time. Ties stay: a row of the
-    stored time that comes in a later batch follows those already taken."""
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(ts, ignore_index=True, kind="stable")
-    return rows if last is None else rows[rows[ts] >= pd.Timestamp(last)]
+def _newer(frames: Iterator[pd.DataFrame], ts: str, cols: Sequence[str], last) -> tuple[np.ndarray, np.ndarray]:
+    """Times and numbers of the key's rows of this micro-batch in time order, without rows before the stored time. Ties stay:
+    a row of the stored time that comes in a later batch follows those already taken.
+
+    Frames come one after the other and only 8 bytes a number are kept of them."""
+    times, values = bytearray(), bytearray()
+    for f in frames:
+        f = f if last is None else f[f[ts] >= pd.Timestamp(last)]
+        times += f[ts].to_numpy(dtype="datetime64[ns]").tobytes()
+        values += f[list(cols)].to_numpy(dtype=float).tobytes()
+    t, x = np.frombuffer(times, dtype="datetime64[ns]"), np.frombuffer(values, dtype=float).reshape(-1, len(cols))
+    order = None if (t[1:] >= t[:-1]).all() else np.argsort(t, kind="stable")  # no time: last
+    return (t, x) if order is None else (t[order], x[order])
+
+
+def _stored_time(t: np.ndarray):
+    """The newest time as the state keeps it."""
+    newest = t.max() if not np.isnat(t[-1]) else np.fmax.reduce(t)
+    return None if np.isnat(newest) else pd.Timestamp(newest).to_pydatetime()
+
+
+def _frames(name, t: np.ndarray, x: np.ndarray, src: T.StructType, of, result: str) -> Iterator[pd.DataFrame]:
+    """Rows and `of(from, to)` under the name `result`, SLICE rows at a time."""
+    key, ts, *cols = src.fieldNames()
+    for at in range(0, len(t), SLICE):
+        to = min(at + SLICE, len(t))
+        data = {key: [name[0]] * (to - at), ts: t[at:to]} | {c: x[at:to, i] for i, c in enumerate(cols)}
+        yield pd.DataFrame(data | {result: of(at, to)})
 
 
 def stream_ema(stream: DataFrame, key: str, ts: str, value: str, span: int) -> DataFrame:
@@ -95,39 +119,50 @@ def stream_ema(stream: DataFrame, key: str, ts: str, value: str, span: int) -> D
     src = stream.select(key, F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value))
     out = T.StructType([*src.schema.fields, T.StructField("ema", T.DoubleType())])
     state_schema = T.StructType([T.StructField("last", T.TimestampType()), T.StructField("y", T.DoubleType())])
+    schema = src.schema
 
     def step(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, y = state.get if state.exists else (None, None)
-        rows = _newer(frames, ts, last)
-        if rows.empty:
+        t, x = _newer(frames, ts, [value], last)
+        if not len(t):
             return
-        x = rows[value].to_numpy(dtype=float)
-        chain = x if y is None else np.concatenate([[y], x])
+        chain = x[:, 0] if y is None else np.concatenate([[y], x[:, 0]])
         ema = pd.Series(chain).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(chain) - len(x) :]
-        state.update((rows[ts].iloc[-1].to_pydatetime(), float(ema[-1])))
-        yield rows.assign(ema=ema)[out.fieldNames()]
+        del chain
+        state.update((_stored_time(t), float(ema[-1])))
+        yield from _frames(k, t, x, schema, lambda a, b: ema[a:b], "ema")
 
     return src.groupBy(key).applyInPandasWithState(step, out, state_schema, "append", "NoTimeout")
 
 
 def stream_hmm_filter(stream: DataFrame, key: str, ts: str, cols: Sequence[str], params: Params) -> DataFrame:
-    """Forward regime filter continued over micro-batches; state per key is the last posterior."""
+    """Forward regime filter continued over micro-batches; state per key is the last posterior.
+
+    A task holds 8 bytes a number of a key's rows in a micro-batch and filters SLICE rows at a time.
+    """
     from barloom.operators.regime import forward
 
     src = stream.select(key, F.col(ts).cast("timestamp").alias(ts), *[F.col(c).cast("double").alias(c) for c in cols])
     k = len(params.start)
     out = T.StructType([*src.schema.fields, T.StructField("filtered", T.ArrayType(T.DoubleType()))])
     state_schema = T.StructType([T.StructField("last", T.TimestampType()), T.StructField("alpha", T.ArrayType(T.DoubleType()))])
+    schema = src.schema
 
     def step(name, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, alpha = state.get if state.exists else (None, None)
-        rows = _newer(frames, ts, last)
-        if rows.empty:
+        t, x = _newer(frames, ts, cols, last)
+        if not len(t):
             return
-        m, _ = step_matrices(np.nan_to_num(rows[list(cols)].to_numpy(dtype=float)), params, alpha is None)
-        post = forward(np.full(k, 1.0 / k) if alpha is None else np.asarray(alpha), m)
-        state.update((rows[ts].iloc[-1].to_pydatetime(), [float(v) for v in post[-1]]))
-        yield rows.assign(filtered=list(post))[out.fieldNames()]
+
+        def filtered(a: int, b: int) -> list[np.ndarray]:
+            nonlocal alpha
+            m, _ = step_matrices(np.nan_to_num(x[a:b]), params, alpha is None)
+            post = forward(np.full(k, 1.0 / k) if alpha is None else np.asarray(alpha), m)
+            alpha = [float(v) for v in post[-1]]
+            return list(post)
+
+        yield from _frames(name, t, x, schema, filtered, "filtered")
+        state.update((_stored_time(t), alpha))
 
     return src.groupBy(key).applyInPandasWithState(step, out, state_schema, "append", "NoTimeout")
 

@@ -150,6 +150,41 @@ def test_stream_regime_equals_batch(spark, ticks, tmp_path):
         np.testing.assert_allclose(got, plain_forward(g.value.to_numpy(), p), atol=1e-10)
 
 
+def test_a_large_micro_batch_is_held_as_numbers_and_handed_on_in_slices(spark, ticks, monkeypatch):
+    """The regime filter's step on one key: memory a row, rows a frame, and the posteriors of shuffled rows with ties."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from pyspark.sql import GroupedData
+
+    from tests.test_chunks import plain_forward
+
+    steps = []
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda self, step, *rest: steps.append(step))
+    p = Params([0.5, 0.5], [0.9, 0.1, 0.2, 0.8], [48.0, 52.0], [16.0, 40.0])
+    st.stream_hmm_filter(stream(spark, ticks[1]), "k", "ts", ["value"], p)
+    n = 200_000
+    rng = np.random.default_rng(8)
+    t = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n) // 2, "s")
+    x, order = rng.normal(50, 5, n), rng.permutation(n)
+    ties = np.lexsort((np.argsort(order), np.arange(n) // 2))  # of equal times the first to arrive comes first
+    frames = (pd.DataFrame({"k": "a", "ts": t[part], "value": x[part]}) for part in np.array_split(order, 40))
+    state = SimpleNamespace(exists=False, update=lambda v: setattr(state, "kept", v))
+    tracemalloc.start()
+    sizes, got = [], np.empty(n)
+    at = 0
+    for f in steps[0](("a",), frames, state):
+        sizes.append(len(f))
+        got[at : at + len(f)] = [v[1] for v in f.filtered]
+        at += len(f)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and max(sizes) <= 1 << 14 and peak < 120 * n
+    want = plain_forward(x[ties], p)[:, 1]
+    np.testing.assert_allclose(got, want, atol=1e-10)
+    assert state.kept[0] == t[-1].to_pydatetime() and state.kept[1][1] == pytest.approx(want[-1])
+
+
 def test_stream_bars_final_once_and_late_rows_dropped(spark, ticks, tmp_path):
     pdf, path = ticks
     bars = st.stream_bars(stream(spark, path), "k", "ts", "value", "30 minutes")
