@@ -1,10 +1,12 @@
-"""Near-duplicate removal: every pair of texts with alike five-word shingles is found.
+"""Near-duplicate removal by SimHash groups, after which every pair of texts with alike five-word shingles is found.
 
 Documents of equal text are one node. Two nodes are linked where their sets of five-word shingles have a Jaccard similarity
 of `least` or more; the document of least id of each component stays. Null and empty texts are one text; a text without
 words is similar only to texts without words.
 
-Candidates are exact: put in any one order of all shingles, two alike sets share one of their first
+Fingerprints (three-word shingles, RADIUS bits, as in `simhash`) group the texts first, and each text of a group is verified
+against the group's first. Fingerprints miss near copies that are extended or cut, so an exact join follows and finds the
+pairs still apart: put in any one order of all shingles, two alike sets share one of their first
 n - ceil(least * n) + 1. The order takes shingles that are common in a sample of documents last, so that templates and
 dense vocabularies meet rarely; a poor sample costs time, not pairs. Nodes that share such a shingle are first verified
 against the least of them, which joins groups of copies in linear work. After that every two nodes that share one and lie
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import simhash
 from barloom.llm.components import components
 from barloom.llm.words import Words, text_slices
 from barloom.session import discard, written
 
 SHINGLE, LEAST = 5, 0.8
+RADIUS = 3  # bits in which linked fingerprints may differ
 BLOCK, NEAREST = 4096, 4
 SAMPLE, COMMON, MOST_COMMON = 8_000, 4, 200_000  # documents counted for the order; their count from which a shingle is common
 BITS = 512
@@ -249,13 +253,19 @@ def _compare(least: float, nearest: int | None):
     return run
 
 
-def _apart(met: DataFrame, roots: DataFrame, bitmaps: DataFrame, least: float, nearest: int | None, block: int) -> DataFrame:
-    """(a, b): nodes that share a first shingle, lie in different components and may be alike."""
-    rows = met.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    rows = written(rows)
+def _several(met: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """A written table of the (token, node, root) of first shingles whose nodes lie in different components, with the number k
+    of blocks that a shingle's nodes are cut into."""
+    rows = written(met.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")))
     several = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y")
-    k = F.ceil(F.col("m") / block).cast("int")
-    wide = rows.join(several.select("token", k.alias("k")), "token").join(bitmaps.select("node", "n", "bits"), "node")
+    out = written(rows.join(several.select("token", F.ceil(F.col("m") / block).cast("int").alias("k")), "token"))
+    discard(rows)
+    return out
+
+
+def _apart(several: DataFrame, bitmaps: DataFrame, least: float, nearest: int | None) -> DataFrame:
+    """(a, b): nodes that share a first shingle, lie in different components and may be alike."""
+    wide = several.join(bitmaps.select("node", "n", "bits"), "node")
     at = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     place = lambda i: F.struct((F.least(at, i) * F.col("k") + F.greatest(at, i)).cast("bigint").alias("g"), (at > i).cast("bigint").alias("side"))
     dealt = wide.select("token", "node", "root", "n", "bits", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), place)).alias("p"))
@@ -263,6 +273,18 @@ def _apart(met: DataFrame, roots: DataFrame, bitmaps: DataFrame, least: float, n
     return dealt.repartition("token", "g").sortWithinPartitions("token", "g").mapInArrow(_compare(least, nearest), "a bigint, b bigint").distinct()
 
 
+def fingerprint_groups(texts: DataFrame, text: str, radius: int = RADIUS) -> DataFrame:
+    """(a, b): the least node and every other node of each group of texts that fingerprints link."""
+    fps = written(simhash.fingerprints(texts.select("node", text), text))
+    distinct = written(fps.select("_fp").distinct())
+    roots = written(simhash.near_duplicates(distinct, radius))
+    grouped = fps.join(roots, "_fp", "left").select("node", F.coalesce("root", "_fp").alias("group"))
+    first = grouped.groupBy("group").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    out = written(grouped.join(first.select("group", "a"), "group").filter("node <> a").select("a", F.col("node").alias("b")))
+    discard(fps), discard(distinct), discard(roots)
+    return out
+
+
 def near_duplicates(marked: DataFrame, text: str, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(node, root, best) of the distinct texts of `_marked` rows: best is the row that would stand for the text."""
     nodes = written(marked.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("best")))
@@ -283,14 +305,27 @@ def near_duplicates(marked: DataFrame, text: str, least: float = LEAST, block: i
         discard(near), discard(wanted), discard(sets)
         return out
 
-    links = verified(met.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    roots = written(components(links).withColumnRenamed("_fp", "node"))
+    def joined(links: DataFrame) -> DataFrame:
+        return written(components(links).withColumnRenamed("_fp", "node"))
+
+    grouped = fingerprint_groups(texts, "_t")
+    firsts = written(grouped.union(met.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = verified(firsts)
+    roots = joined(links)
+    discard(grouped), discard(firsts), discard(links)
     for nearest in (NEAREST, None):
-        pairs = written(_apart(met, roots, bitmaps, least, nearest, block))
+        # a shingle whose nodes all lie in one component has no more to say
+        several = _several(met, roots, block)
+        discard(met)
+        met = several
+        pairs = written(_apart(several, bitmaps, least, nearest))
         if pairs.isEmpty():
+            discard(pairs)
             break  # no two nodes in different components are left that may be alike
-        links = verified(pairs)
-        roots = written(components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))).withColumnRenamed("_fp", "node"))
+        links, old = verified(pairs), roots
+        roots = joined(links.union(old.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(pairs), discard(links), discard(old)
+    discard(met), discard(bitmaps), discard(spare)
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
 
 

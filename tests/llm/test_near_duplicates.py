@@ -190,3 +190,27 @@ def test_recall_of_edited_copies_is_whole(make):
     assert len(pairs) >= 80
     docs = make([(2 * i + k, t, "a") for i, p in enumerate(pairs) for k, t in enumerate(p)])
     assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs).collect()) == [2 * i for i in range(len(pairs))]
+
+
+def test_near_duplicates_begin_with_groups_of_fingerprints(spark, make, monkeypatch):
+    """Groups are those of all fingerprint pairs within three bits, and the removal takes its first links from them."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(30):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(base))
+        for _ in range(int(rng.integers(0, 4))):
+            copy = list(base)
+            copy[int(rng.integers(0, 300))] = "x"
+            texts.append(" ".join(copy))
+    texts += ["", "a", "a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, _t string")
+    got = {r.b: r.a for r in dedup.fingerprint_groups(rows, "_t").collect()}
+    root = roots([fingerprint(t) for t in texts], 3)
+    assert groups(range(len(texts)), [got.get(i, i) for i in range(len(texts))]) == groups(range(len(texts)), root)
+    assert len(got) > 20 and all(a < b for b, a in got.items())
+    asked = []
+    own = dedup.fingerprint_groups
+    monkeypatch.setattr(dedup, "fingerprint_groups", lambda *args: asked.append(args) or own(*args))
+    kept = dedup.drop_near_duplicates(make([(i, t, "a") for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in kept.collect()) == alike_groups(texts)[0] and len(asked) == 1
