@@ -129,7 +129,13 @@ def _pieces(raw: np.ndarray, bounds: np.ndarray, e: _Encoder) -> tuple[Words, np
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """First place of each distinct word, and which of them every word is. Words of one hash are held against each other by
     length and sum of bytes too; should two differ, each word counts as distinct."""
-    _, first, of = np.unique(w.hash, return_index=True, return_inverse=True)
+    order = np.argsort(w.hash)
+    h = w.hash[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    first = order[new]
+    of = np.empty(len(h), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
     total = np.concatenate([[0], np.cumsum(w.raw, dtype=np.int64)])
     mark = (w.end - w.start) << 40 | (total[w.end] - total[w.start])
     return (first, of) if (mark == mark[first][of]).all() else (np.arange(len(mark)), np.arange(len(mark)))
@@ -147,10 +153,27 @@ def ids_of_slice(raw: np.ndarray, bounds: np.ndarray, model: str, end_id: int) -
     begin = np.cumsum(size) - size
     n = size[of]
     upto = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.arange(upto[-1]) + np.repeat(begin[of] - upto[:-1], n)]
     starts = upto[w.offsets] + np.arange(len(w.offsets))
-    out = np.full(len(ids) + w.n_texts, end_id, dtype=np.uint32)
-    out[np.arange(len(ids)) + np.repeat(w.text, n)] = ids
+    out = np.empty(upto[-1] + w.n_texts, dtype=np.uint32)
+    inside = np.ones(len(out), dtype=bool)
+    inside[starts[1:] - 1] = False
+    out[~inside] = end_id
+    # first ids of all pieces in one gather, the few further ones by a loop over their place in the piece
+    place = upto[:-1] + w.text
+    at = begin[of]
+    some = n > 0
+    if not some.all():
+        place, at, n = place[some], at[some], n[some]
+    k = 0
+    while len(n):
+        out[place + k] = flat[at + k]
+        k += 1
+        more = n > k
+        if k > 16 and more.any():  # long words
+            for p, a, m in zip(place[more].tolist(), at[more].tolist(), n[more].tolist()):
+                out[p + k : p + m] = flat[a + k : a + m]
+            break
+        place, at, n = place[more], at[more], n[more]
     return out, starts
 
 

@@ -193,3 +193,15 @@ def test_pipeline_stages(spark):
         got.setdefault(r.doc_id, []).append((r.start, r.n_tokens, r.ids_crc32))
     assert {i: sorted(v) for i, v in got.items()} == want
     assert rules.DEFAULT.mask == 2 ** len(rules.RULES) - 1
+
+
+def test_ids_of_long_and_repeated_pieces():
+    """Pieces of one id, of many, and of more than the short loop takes, next to empty texts."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    model, tok = open(path, encoding="utf-8").read(), Tokenizer.from_file(path)
+    texts = ["", "the " + "qzxjkvw" * 40 + " the", None, "日本語" * 30 + " a", "the the of", " "]
+    got = tokens.ids_of(texts, model, 1)
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert max(map(len, want)) > 40 and [list(memoryview(g).cast("I")) for g in got] == want
