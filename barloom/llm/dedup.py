@@ -8,10 +8,12 @@ Fingerprints (three-word shingles, RADIUS bits, as in `simhash`) group the texts
 against the group's first. Fingerprints miss near copies that are extended or cut, so an exact join follows and finds the
 pairs still apart: put in any one order of all shingles, two alike sets share one of their first
 n - ceil(least * n) + 1. The order takes shingles that are common in a sample of documents last, so that templates and
-dense vocabularies meet rarely; a poor sample costs time, not pairs. Nodes that share such a shingle are first verified
-against the least of them, which joins groups of copies in linear work. After that every two nodes that share one and lie
-in different components are compared. One bounded round (the NEAREST of each node) goes before, so that the last one, without
-a bound, has few pairs left. A pair is tested by size and a bitmap of shingles, whose differing bits bound the difference of the
+dense vocabularies meet rarely; a poor sample costs time, not pairs. The least node of a shingle leads it, and each node is
+first verified against the node that leads most of its first shingles: one pair a node, which joins groups of copies. After
+that every two nodes that share first shingles and lie in different components are compared. With SHARED - 1 more shingles
+among the first, two alike sets share SHARED of them (or as many as they must have in common), so pairs that share fewer
+never have their sets fetched. One bounded round (the NEAREST of each node) goes before, so that the last one, without a
+bound, has few pairs left. A pair is tested by size and a bitmap of shingles, whose differing bits bound the difference of the
 sets from below, and only then by the sets. Shingles of more than BLOCK nodes are cut into blocks, and every two blocks are
 compared in a task of their own.
 """
@@ -33,6 +35,8 @@ from barloom.session import discard, written
 SHINGLE, LEAST = 5, 0.8
 RADIUS = 3  # bits in which linked fingerprints may differ
 BLOCK, NEAREST = 4096, 4
+SHARED = 4  # first shingles that two alike sets share at least, where they have as many in common
+PAIRS = 1 << 18  # pairs of a task that are counted at a time
 SAMPLE, COMMON, MOST_COMMON = 8_000, 4, 200_000  # documents counted for the order; their count from which a shingle is common
 BITS = 512
 SLACK = 1e-9  # bounds are rounded towards more candidates
@@ -109,10 +113,11 @@ def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first(s: np.ndarray, key: np.ndarray, count: np.ndarray, least: float) -> np.ndarray:
-    """The shingles of a sorted set of which an alike set must share one; a set without shingles has the shingle 0."""
+    """The shingles of a sorted set of which an alike set must share SHARED, or all they have in common if these are fewer;
+    a set without shingles has the shingle 0."""
     if not len(s):
         return np.zeros(1, dtype=np.uint64)
-    n = len(s) - int(np.ceil(least * len(s) - SLACK)) + 1
+    n = min(len(s), len(s) - int(np.ceil(least * len(s) - SLACK)) + SHARED)
     if not len(key):
         return s[:n]
     at = np.minimum(np.searchsorted(key, s), len(key) - 1)
@@ -194,7 +199,8 @@ def _may_be_similar(least: float):
 
 
 def _compare(least: float, nearest: int | None):
-    """Pairs of a token's nodes in different components that may be alike; those of two blocks where there are two."""
+    """Pairs of a token's nodes in different components that may be alike (those of two blocks where there are two), with the
+    tokens where a task met them and how many they must share."""
     share = (1 - least) / (1 + least)
 
     def pairs(node, root, n, side, bits):
@@ -214,41 +220,55 @@ def _compare(least: float, nearest: int | None):
             if nearest and len(may) > nearest:
                 may = may[np.argsort(far, kind="stable")[:nearest]]
             if len(may):
-                yield np.full(len(may), node[i]), node[y_at[may]]
+                common = np.ceil(least / (1 + least) * (y_n[may] + n[i]) - SLACK)
+                yield np.full(len(may), node[i]), node[y_at[may]], np.clip(common, 1, SHARED).astype(np.int64)
+
+    def counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x, y, need = (np.concatenate(c) for c in zip(*found))
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        times = np.diff(np.append(first, len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[first], b[first], need[first], times)], ["a", "b", "need", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        held: list[np.ndarray] | None = None
+        found: list[tuple[np.ndarray, ...]] = []
+        size, held = 0, None
 
-        def flush(cols, upto):
+        def meet(cols, upto):
             token, group, node, root, n, side, bits = (c[:upto] for c in cols)
             cut = np.flatnonzero((token[1:] != token[:-1]) | (group[1:] != group[:-1])) + 1
             for a, e in zip(np.append(0, cut), np.append(cut, upto)):
-                if e - a < 2:
-                    continue
-                for x, y in pairs(node[a:e], root[a:e], n[a:e], side[a:e], bits[a:e]):
-                    x, y = np.minimum(x, y), np.maximum(x, y)
-                    new = [p for p in zip(x.tolist(), y.tolist()) if p not in seen]
-                    if len(seen) > 1 << 18:
-                        seen.clear()
-                    seen.update(new)
-                    if new:
-                        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+                if e - a > 1:
+                    yield from pairs(node[a:e], root[a:e], n[a:e], side[a:e], bits[a:e])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c).to_numpy() for c in ("token", "g", "node", "root", "n", "side")]
-            cols.append(np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64))
+        def tables():
+            nonlocal held
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cols = [b.column(c).to_numpy() for c in ("token", "g", "node", "root", "n", "side")]
+                cols.append(np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64))
+                if held:
+                    cols = [np.concatenate(c) for c in zip(held, cols)]
+                new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+                done = int(new[-1]) + 1 if len(new) else 0
+                if done:
+                    yield cols, done
+                held = [c[done:] for c in cols]
             if held:
-                cols = [np.concatenate(c) for c in zip(held, cols)]
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
-            done = int(new[-1]) + 1 if len(new) else 0
-            if done:
-                yield from flush(cols, done)
-            held = [c[done:] for c in cols]
-        if held:
-            yield from flush(held, len(held[0]))
+                yield held, len(held[0])
+
+        for cols, upto in tables():
+            for got in meet(cols, upto):
+                found.append(got)
+                size += len(got[0])
+                if size >= PAIRS:
+                    yield counted(found)
+                    found, size = [], 0
+        if found:
+            yield counted(found)
 
     return run
 
@@ -264,13 +284,20 @@ def _several(met: DataFrame, roots: DataFrame, block: int) -> DataFrame:
 
 
 def _apart(several: DataFrame, bitmaps: DataFrame, least: float, nearest: int | None) -> DataFrame:
-    """(a, b): nodes that share a first shingle, lie in different components and may be alike."""
+    """(a, b): nodes that share enough first shingles, lie in different components and may be alike."""
     wide = several.join(bitmaps.select("node", "n", "bits"), "node")
     at = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     place = lambda i: F.struct((F.least(at, i) * F.col("k") + F.greatest(at, i)).cast("bigint").alias("g"), (at > i).cast("bigint").alias("side"))
     dealt = wide.select("token", "node", "root", "n", "bits", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), place)).alias("p"))
     dealt = dealt.select("token", F.col("p.g").alias("g"), "node", "root", "n", F.col("p.side").alias("side"), "bits")
-    return dealt.repartition("token", "g").sortWithinPartitions("token", "g").mapInArrow(_compare(least, nearest), "a bigint, b bigint").distinct()
+    met = dealt.repartition("token", "g").sortWithinPartitions("token", "g").mapInArrow(_compare(least, nearest), "a bigint, b bigint, need bigint, times bigint")
+    return met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("a", "b")
+
+
+def _leading(met: DataFrame) -> DataFrame:
+    """(a, b): each node that does not lead all its shingles, and the other node that leads most of them."""
+    most = met.filter("lead <> node").groupBy("lead", "node").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "lead")).alias("most"))
+    return most.select(F.col("most.lead").alias("a"), F.col("node").alias("b"))
 
 
 def fingerprint_groups(texts: DataFrame, text: str, radius: int = RADIUS) -> DataFrame:
@@ -309,7 +336,7 @@ def near_duplicates(marked: DataFrame, text: str, least: float = LEAST, block: i
         return written(components(links).withColumnRenamed("_fp", "node"))
 
     grouped = fingerprint_groups(texts, "_t")
-    firsts = written(grouped.union(met.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    firsts = written(grouped.union(_leading(met)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = verified(firsts)
     roots = joined(links)
     discard(grouped), discard(firsts), discard(links)

@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barloom.llm import dedup, simhash
 from barloom.llm.components import components
@@ -214,3 +215,36 @@ def test_near_duplicates_begin_with_groups_of_fingerprints(spark, make, monkeypa
     monkeypatch.setattr(dedup, "fingerprint_groups", lambda *args: asked.append(args) or own(*args))
     kept = dedup.drop_near_duplicates(make([(i, t, "a") for i, t in enumerate(texts)]))
     assert sorted(r.doc_id for r in kept.collect()) == alike_groups(texts)[0] and len(asked) == 1
+
+
+def test_only_pairs_that_share_several_first_shingles_are_candidates(spark, make):
+    """Long texts with a few phrases in common pass sizes and bitmaps, yet only near copies go on to have their sets compared;
+    the first round takes at most one pair a text."""
+    rng = np.random.default_rng(31)
+    texts = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(1500)]
+        for p in rng.choice(50, 10, replace=False):
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = [f"p{p}x{k}" for k in range(5)]
+        texts += [" ".join(words), " ".join(words + [f"e{i}x{k}" for k in range(170)])]
+    docs = make([(i, t, "a") for i, t in enumerate(texts)])
+    rows = dedup._marked(docs, "text", "doc_id").select("node", F.col("doc.text").alias("_t"))
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    met, bitmaps = written(dedup._meetings(rows, none, 0.8)), written(dedup._bitmaps(rows))
+    apart = spark.createDataFrame([], "node long, root long")
+    assert dedup._apart(dedup._several(met, apart, 4096), bitmaps, 0.8, None).count() == 40
+    assert 40 <= dedup._leading(met).count() <= len(texts)
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs).collect()) == list(range(0, 80, 2))
+
+
+def test_short_texts_against_all_pairs(make):
+    rng = np.random.default_rng(32)
+    texts = []
+    for size in range(1, 15):
+        for k in range(6):
+            base = [f"s{int(x)}" for x in rng.integers(0, 10**6, size)]
+            texts += [" ".join(base), " ".join(base).upper(), " ".join(base + ["end"]), " ".join(base[1:])]
+    want, linked = alike_groups(texts)
+    assert linked > 100
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(make([(i, t, "a") for i, t in enumerate(texts)])).collect()) == want
