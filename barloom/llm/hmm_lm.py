@@ -9,7 +9,8 @@ others share classes by their last three bytes. A state emits a class, a class e
 (c + 0.1) / (C + 0.1 (V + 1)) of its C tokens and V words, which leaves 0.1 for an unknown word. States begin as groups of
 frequent words that appear in the same stretches of text; then `rounds` Baum-Welch rounds run over all training texts, each as
 a whole: stretches of SPAN tokens are worked side by side, and messages by their transfer matrices carry what comes before
-and after over the borders. Each partition adds up its expected counts, one shuffle sums them by class.
+and after over the borders. Each partition adds up its expected counts, one shuffle sums them by class. The classes of
+the training texts stay the same in all rounds, so they are written once, two bytes a token (four for large models).
 
 Scoring. The likelihood of a whole text is exact for any length: stretches are turned into transfer matrices all at once, and
 a scaled forward recursion runs over the stretches.
@@ -27,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.tokens import _binary, _run_of
 from barloom.llm.words import Lookup, Words, mix, text_slices
-from barloom.session import written
+from barloom.session import discard, written
 
 STATES = 8
 SPAN = 64
@@ -37,6 +39,7 @@ KNOWN, HEAVY, LEAST = 1 << 20, 1 << 16, 20
 SEEDS = 256  # frequent words that set the first states
 END = np.uint64(0x9E3779B97F4A7C15)
 ADD = 0.1
+TOKENS = 1 << 18  # classes worked at a time; a longer text is one slice
 
 
 def _suffix(w: Words) -> np.ndarray:
@@ -108,6 +111,11 @@ class Model:
         at = self.lookup(w.hash)
         return np.where(at >= 0, self.cls[at] if len(self.cls) else 0, self.heavy + _suffix(w)), at
 
+    @property
+    def kind(self) -> str:
+        """The number that holds a class in a table."""
+        return "<u2" if self.heavy + SUFFIXES <= 1 << 16 else "<u4"
+
 
 def _empty_model(counts: DataFrame) -> Model:
     total = counts.agg(F.sum("n"), F.count("*")).first()
@@ -142,20 +150,44 @@ def _stretches(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first[order], length[order], text[order], place[order]
 
 
-def _cooccurrence(shared):
+def _classes(shared):
+    """The classes of each text and its end, as a run of `Model.kind`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        both = np.zeros((SEEDS, SEEDS), dtype=np.int64)
+        size = np.dtype(m.kind).itemsize
         for b in batches:
-            for _, _, raw, bounds in text_slices(b.column(0)):
+            for _, _, raw, bounds in text_slices(b.column(0), 1 << 20):
                 w = Words(raw, bounds)
-                cls, _ = m.encode(w)
-                keep = (cls >= 1) & (cls <= SEEDS) & (cls < m.heavy)
-                stretch = w.text[keep] * (1 << 32) + (np.arange(len(cls)) - w.offsets[w.text])[keep] // SPAN
-                _, row = np.unique(stretch, return_inverse=True)
-                x = np.zeros((int(row.max(initial=-1)) + 1, SEEDS), dtype=np.float32)
-                x[row, cls[keep] - 1] = 1
-                both += (x.T @ x).astype(np.int64)
+                cls, starts = _with_end(w, m.encode(w)[0], 0)
+                yield pa.RecordBatch.from_arrays([_binary(cls.astype(m.kind).view(np.uint8), size * starts)], ["classes"])
+
+    return run
+
+
+def _class_slices(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of about TOKENS tokens at a time, and where each text begins in them."""
+    for b in batches:
+        raw, starts = _run_of(b.column(0))
+        cls, starts = raw.view(kind), starts // np.dtype(kind).itemsize
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + TOKENS, side="right")) - 1)
+            yield cls[starts[at] : starts[to]].astype(np.int64), starts[at : to + 1] - starts[at]
+            at = to
+
+
+def _cooccurrence(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        both = np.zeros((SEEDS, SEEDS), dtype=np.int64)
+        for cls, starts in _class_slices(batches, m.kind):
+            keep = np.flatnonzero((cls >= 1) & (cls <= SEEDS) & (cls < m.heavy))
+            text = np.searchsorted(starts, keep, side="right") - 1
+            _, row = np.unique(text * (1 << 32) + (keep - starts[text]) // SPAN, return_inverse=True)
+            x = np.zeros((int(row.max(initial=-1)) + 1, SEEDS), dtype=np.float32)
+            x[row, cls[keep] - 1] = 1
+            both += (x.T @ x).astype(np.int64)
         i, j = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(both[i, j])], ["i", "j", "n"])
 
@@ -293,11 +325,8 @@ def _expectation(shared):
         k = m.emit.shape[1]
         emit = m.emit.astype(np.float32)
         counts, moves, first, log = np.zeros(m.emit.shape), np.zeros((k, k)), np.zeros(k), 0.0
-        for b in batches:
-            for _, _, raw, bounds in text_slices(b.column(0), 1 << 20):
-                w = Words(raw, bounds)
-                cls, starts = _with_end(w, m.encode(w)[0], 0)
-                log += _expected(m, cls, starts, emit, counts, moves, first)
+        for cls, starts in _class_slices(batches, m.kind):
+            log += _expected(m, cls, starts, emit, counts, moves, first)
         used = np.flatnonzero(counts.sum(1))
         keys = np.concatenate([used, -1 - np.arange(k + 2)])
         rows = np.concatenate([counts[used], moves, first[None], np.full((1, k), log / k)])
@@ -310,14 +339,16 @@ def train(texts: DataFrame, column: str, counts: DataFrame, states: int = STATES
     """The model of `counts` fitted to all `texts`."""
     sc = texts.sparkSession.sparkContext
     m = _empty_model(counts)
-    pairs = texts.select(column).mapInArrow(_cooccurrence(sc.broadcast(m)), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    shared = sc.broadcast(m)
+    classes = written(texts.select(column).mapInArrow(_classes(shared), "classes binary"))
+    pairs = classes.mapInArrow(_cooccurrence(shared), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
     both = np.zeros((SEEDS, SEEDS))
     both[pairs["i"], pairs["j"]] = pairs["n"]
     _first_states(m, both, states)
     names = [f"s{i}" for i in range(states)]
     for _ in range(rounds):
         shared = sc.broadcast(m)
-        rows = texts.select(column).mapInArrow(_expectation(shared), "c bigint, " + ", ".join(f"{n} double" for n in names))
+        rows = classes.mapInArrow(_expectation(shared), "c bigint, " + ", ".join(f"{n} double" for n in names))
         sums = rows.groupBy("c").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # one row a class
         shared.unpersist()
         key, value = sums["c"].to_numpy(), sums[names].to_numpy()
@@ -331,6 +362,7 @@ def train(texts: DataFrame, column: str, counts: DataFrame, states: int = STATES
         m.emit = (seen + weight * m.base[:, None]) / (total + weight)
         m.move = (extra[:states] + 1 / states) / (extra[:states].sum(1, keepdims=True) + 1)
         m.start = (extra[states] + 1 / states) / (extra[states].sum() + 1)
+    discard(classes)
     return m
 
 

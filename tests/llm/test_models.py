@@ -250,3 +250,25 @@ def test_every_label_is_learned(spark):
     assert sorted(m.names) == sorted({"big"} | {x[2] for x in few})
     got = {r.doc.doc_id: r.lang_pred for r in language.predict(docs, m).collect()}
     assert all(got[k] == name for k, _, name in few) and got[1000] == "big"
+
+
+def test_training_reads_classes_that_are_written_once(spark, monkeypatch):
+    """Rounds work on a table of classes: the texts are encoded once, and the counts are those of the texts."""
+    rng = np.random.default_rng(41)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, n) % 50) for n in (0, 1, 5, 64, 65, 400, 3000)] + [None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    m = hmm_lm._empty_model(hmm_lm.word_counts(docs, "text"))
+    tables = list(hmm_lm._classes(type("B", (), {"value": m}))(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])])))
+    w = Words(*next(text_slices(pa.array(texts)))[2:])
+    want, starts = hmm_lm._with_end(w, m.encode(w)[0], 0)
+    for limit in (1 << 18, 100, 1):
+        monkeypatch.setattr(hmm_lm, "TOKENS", limit)
+        got = list(hmm_lm._class_slices(iter(tables), m.kind))
+        assert (np.concatenate([c for c, _ in got]) == want).all()
+        assert (np.concatenate([np.diff(s) for _, s in got]) == np.diff(starts)).all()
+        assert len(got) == {1 << 18: 1, 1: len(texts)}.get(limit, len(got))
+    written = []
+    own = hmm_lm.written
+    monkeypatch.setattr(hmm_lm, "written", lambda df: written.append(df.columns) or own(df))
+    hmm_lm.train(docs, "text", hmm_lm.word_counts(docs, "text"), rounds=2)
+    assert written == [["classes"]]
