@@ -9,7 +9,8 @@ Format, version 1. `encode` writes two Parquet tables below one folder:
 * `ranks`: (rank, id, n), one row an id that occurs; at most one a vocabulary entry, so it travels by broadcast.
 
 The tokenizer drops white space and never looks across it, so a text's ids are those of its words in order, and of the
-runs of letters and of signs in a word; a process keeps the ids of those it has met, up to CACHE. Documents of equal id are ordered by a hash of their text; null ids
+runs of letters and of signs in a word; a process keeps the ids of those it has met, up to CACHE, by 64-bit hash, length and sum
+of bytes. Documents of equal id are ordered by a hash of their text; null ids
 come first. A null or empty text has the end id only.
 """
 
@@ -26,78 +27,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.words import _LOWER, Words, text_slices
+from barloom.llm.words import _IS_SPACE, _LOWER, Lookup, Words, text_slices
 from barloom.session import shared_folder, written
 
-CACHE = 250_000
+CACHE = 1 << 19
 BATCH = 20_000
 SLICE = 1 << 20
 TOKENS = 1 << 19
-_CACHED: dict[str, _Encoder] = {}
+_CACHED: dict[tuple[str, int], _Encoder] = {}
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+class _Known:
+    """Ids of the pieces met so far, in one run, by their hash. What there is no room for is held until the next is added."""
+
+    def __init__(self, end_id: int, kind: str):
+        self.rows, self.mark = Lookup(np.zeros(0, np.uint64), CACHE), np.zeros(1 << 12, dtype=np.uint64)
+        self.ids, self.upto = np.zeros(1 << 14, dtype=kind), np.zeros(1 << 12, dtype=np.int64)
+        self.ids[0], self.upto[1] = end_id, 1  # before the first row
+
+    def find(self, h: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each piece, and which ones have none or that of another piece."""
+        row = self.rows(h)
+        return row, (row < 0) | (self.mark[row] != mark)
+
+    def add(self, h: np.ndarray, mark: np.ndarray, ids: np.ndarray, size: np.ndarray, keep: bool) -> np.ndarray:
+        """The rows of new pieces."""
+        n, to = self.rows.n, self.rows.n + len(h)
+        begin = self.upto[n + 1]
+        self.mark, self.upto, self.ids = _long(self.mark, to), _long(self.upto, to + 2), _long(self.ids, begin + len(ids))
+        self.mark[n:to], self.ids[begin : begin + len(ids)] = mark, ids
+        self.upto[n + 2 : to + 2] = begin + np.cumsum(size)
+        if keep:
+            self.rows.add(h[: len(self.rows.keys) - n])
+        return np.arange(n, to)
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows (-1: the end id) in one run, and where each row begins in it."""
+        width = self.ids.itemsize
+        upto = pa.py_buffer(self.upto * width)
+        all_rows = pa.Array.from_buffers(pa.large_binary(), len(self.upto) - 1, [None, upto, pa.py_buffer(self.ids)])
+        _, starts, data = all_rows.take(pa.array(rows + 1)).buffers()
+        starts = np.frombuffer(starts, dtype=np.int64)[: len(rows) + 1] // width
+        return np.frombuffer(data, dtype=self.ids.dtype)[: starts[-1]], starts
+
+
+def _long(values: np.ndarray, n: int) -> np.ndarray:
+    """The values with place for n at least."""
+    return values if len(values) >= n else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), dtype=values.dtype)])
 
 
 @dataclass
 class _Encoder:
     tok: object
     ends: np.ndarray  # ids that end a piece
-    whole: np.ndarray  # bytes of words that must stay whole
+    whole: np.ndarray  # bytes of words that must stay whole, unless they belong to a letter
     cuts: bool  # letters and signs next to each other are pieces of their own
     folds: bool  # capitals A-Z count as small letters
-    known: dict[bytes, bytes]
+    known: _Known
 
 
-def _encoder(model: str) -> _Encoder:
-    """The tokenizer (its definition travels with the task), what holds for its pieces, and this process's words."""
-    if model not in _CACHED:
+def _encoder(model: str, end_id: int) -> _Encoder:
+    """The tokenizer (its definition travels with the task), what holds for its pieces, and this process's pieces."""
+    if (model, end_id) not in _CACHED:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_str(model)
         vocabulary = tok.get_vocab()
         suffix = getattr(tok.model, "end_of_word_suffix", None)
-        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        last = max(vocabulary.values())
+        ends = np.zeros(last + 1, dtype=bool)
         if suffix:
             ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         whole = np.zeros(256, dtype=bool)
-        # white space and control signs inside words, the apostrophe of contractions, and what special tokens begin with
-        whole[[*range(32), 127, ord("'"), *(t.content.encode()[0] for t in tok.get_added_tokens_decoder().values())]] = True
+        # control signs inside words, the apostrophe of contractions, what special tokens begin with, and all beyond ASCII
+        whole[[*range(32), *range(127, 256), ord("'"), *(t.content.encode()[0] for t in tok.get_added_tokens_decoder().values())]] = True
+        whole &= ~_IS_SPACE
         ask = lambda t: [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(t)] if tok.pre_tokenizer else [t]
         cuts = bool(suffix) and not whole[ord("a")] and len(ask("ab,cd.-ef")) == 5 and len(ask("abé")) == 1
         normal = tok.normalizer.normalize_str if tok.normalizer else str
+        folds = all(normal(chr(c)) == chr(c + 32) for c in range(65, 91))
         _CACHED.clear()
-        _CACHED[model] = _Encoder(tok, ends, whole, cuts, all(normal(chr(c)) == chr(c + 32) for c in range(65, 91)), {})
-    return _CACHED[model]
-
-
-def _learn(e: _Encoder, known: dict[bytes, bytes], plain: list[bytes], rest: list[bytes]) -> None:
-    """Ids of new pieces. Plain ones, of letters only, are encoded side by side in one text and parted by the ids that end
-    a piece; the rest are encoded one by one."""
-    for at in range(0, len(plain), BATCH):
-        some = plain[at : at + BATCH]
-        ids = np.array(e.tok.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
-        cut = np.flatnonzero(e.ends[ids]) + 1
-        if len(cut) != len(some):
-            rest = rest + some
+        _CACHED[model, end_id] = _Encoder(tok, ends, whole, cuts, folds, _Known(end_id, "<u2" if max(last, end_id) < 1 << 16 else "<u4"))
+    return _CACHED[model, end_id]
+
+
+def _encoded(words: list[bytes], plain: np.ndarray, e: _Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the pieces, their ids in that order, and each one's number of ids. Plain ones, of letters only, are encoded side
+    by side in one text and parted by the ids that end a piece; the rest are encoded one by one."""
+    order, ids, size, rest = [], [], [], [np.flatnonzero(~plain)]
+    some = np.flatnonzero(plain)
+    for at in range(0, len(some), BATCH):
+        part = some[at : at + BATCH]
+        text = b" ".join([words[i] for i in part]).decode()
+        found = np.array(e.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=e.known.ids.dtype)
+        cut = np.flatnonzero(e.ends[found]) + 1
+        if len(cut) != len(part):
+            rest.append(part)
             continue
-        raw, stop = ids.tobytes(), (4 * cut).tolist()
-        known.update(zip(some, map(raw.__getitem__, map(slice, [0, *stop], stop))))
+        order, ids, size = [*order, part], [*ids, found], [*size, np.diff(cut, prepend=0)]
+    rest = np.concatenate(rest)
     for at in range(0, len(rest), BATCH):
-        some = rest[at : at + BATCH]
-        for w, x in zip(some, e.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            known[w] = np.array(x.ids, dtype="<u4").tobytes()
-
-
-def _known_ids(words: list[bytes], plain: np.ndarray, e: _Encoder) -> list[bytes]:
-    """The ids of distinct pieces. What the process's table has no room for is encoded for this call alone."""
-    got = list(map(e.known.get, words))
-    new = [i for i, x in enumerate(got) if x is None]
-    if not new:
-        return got
-    table = e.known if len(new) <= CACHE - len(e.known) else {}
-    _learn(e, table, [words[i] for i in new if plain[i]], [words[i] for i in new if not plain[i]])
-    for i in new:
-        got[i] = table[words[i]]
-    return got
+        part = rest[at : at + BATCH]
+        found = [x.ids for x in e.tok.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)]
+        order, ids, size = [*order, part], [*ids, np.array([i for x in found for i in x], dtype=e.known.ids.dtype)], [*size, np.array(list(map(len, found)))]
+    return np.concatenate(order), np.concatenate(ids), np.concatenate(size)
 
 
 def _pieces(raw: np.ndarray, bounds: np.ndarray, e: _Encoder) -> tuple[Words, np.ndarray]:
@@ -109,72 +145,58 @@ def _pieces(raw: np.ndarray, bounds: np.ndarray, e: _Encoder) -> tuple[Words, np
     w = Words(raw, bounds, lower=False)
     if not e.cuts or not len(w.start):
         return w, np.zeros(len(w.start), dtype=bool)
-    lead = raw == 0xC3
-    tail = np.zeros(len(raw), dtype=bool)
-    tail[1:] = lead[:-1]
-    tail &= (raw >= 0x80) & (raw < 0xC0) & (raw != 0x97) & (raw != 0xB7)
-    lead[:-1] &= tail[1:]
-    letter = (raw >= 65) & (raw <= 90) | (raw >= 97) & (raw <= 122) | lead | tail
-    odd = np.concatenate([[0], np.cumsum((raw >= 0x80) & ~letter | e.whole[raw], dtype=np.int32)])
-    inside = w.within(odd[w.end] == odd[w.start])
+    letter, odd = _LETTER[raw], e.whole[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    tail = raw[lead + 1]
+    lead = lead[(tail >= 0x80) & (tail < 0xC0) & (tail != 0x97) & (tail != 0xB7)]
+    for at in (lead, lead + 1):
+        letter[at], odd[at] = True, False
+    odd = np.flatnonzero(odd)
+    of = np.searchsorted(w.start, odd, side="right") - 1
+    cut = np.ones(len(w.start), dtype=bool)
+    cut[of[(of >= 0) & (odd < w.end[of])]] = False
+    inside = w.within(cut)
     starts = np.zeros(len(raw), dtype=bool)
     starts[1:] = (letter[1:] != letter[:-1]) & inside[1:] & inside[:-1]
-    starts[w.start] = True
     if e.folds:
         raw = np.where(inside, _LOWER[raw], raw)
     out = w.cut(raw, starts)
     return out, letter[out.start] & inside[out.start]
 
 
-def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each distinct word, and which of them every word is. Words of one hash are held against each other by
-    length and sum of bytes too; should two differ, each word counts as distinct."""
-    order = np.argsort(w.hash)
-    h = w.hash[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    first = order[new]
-    of = np.empty(len(h), dtype=np.int64)
-    of[order] = np.cumsum(new) - 1
-    total = np.concatenate([[0], np.cumsum(w.raw, dtype=np.int64)])
-    mark = (w.end - w.start) << 40 | (total[w.end] - total[w.start])
+def _distinct(h: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct piece, and which of them every piece is. Should two of one hash differ, each counts as
+    distinct."""
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
     return (first, of) if (mark == mark[first][of]).all() else (np.arange(len(mark)), np.arange(len(mark)))
 
 
+def _rows(w: Words, plain: np.ndarray, e: _Encoder) -> np.ndarray:
+    """The row of each piece among the known ones; new ones are encoded. Pieces of one hash are held against each other by length
+    and sum of bytes too; where two differ, this call's new pieces are not kept."""
+    total = np.concatenate([np.zeros(1, np.uint32), np.cumsum(w.raw, dtype=np.uint32)])
+    mark = (w.end - w.start).astype(np.uint64) << np.uint64(32) | (total[w.end] - total[w.start])
+    row, new = e.known.find(w.hash, mark)
+    new = np.flatnonzero(new)
+    if len(new):
+        first, of = _distinct(w.hash[new], mark[new])
+        at, data = new[first], w.raw.tobytes()
+        order, ids, size = _encoded([data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())], plain[at], e)
+        h = w.hash[at[order]]
+        found = np.empty(len(at), dtype=row.dtype)
+        found[order] = e.known.add(h, mark[at[order]], ids, size, keep=(row[at] < 0).all() and len(np.unique(h)) == len(h))
+        row[new] = found[of]
+    return row
+
+
 def ids_of_slice(raw: np.ndarray, bounds: np.ndarray, model: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts of a slice, each with the end id, in one array, and where each text begins in it."""
-    e = _encoder(model)
+    e = _encoder(model, end_id)
     w, plain = _pieces(raw, bounds, e)
-    first, of = _distinct(w)
-    data = w.raw.tobytes()
-    found = _known_ids([data[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())], plain[first], e)
-    flat = np.frombuffer(b"".join(found), dtype="<u4")
-    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-    begin = np.cumsum(size) - size
-    n = size[of]
-    upto = np.concatenate([[0], np.cumsum(n)])
-    starts = upto[w.offsets] + np.arange(len(w.offsets))
-    out = np.empty(upto[-1] + w.n_texts, dtype=np.uint32)
-    inside = np.ones(len(out), dtype=bool)
-    inside[starts[1:] - 1] = False
-    out[~inside] = end_id
-    # first ids of all pieces in one gather, the few further ones by a loop over their place in the piece
-    place = upto[:-1] + w.text
-    at = begin[of]
-    some = n > 0
-    if not some.all():
-        place, at, n = place[some], at[some], n[some]
-    k = 0
-    while len(n):
-        out[place + k] = flat[at + k]
-        k += 1
-        more = n > k
-        if k > 16 and more.any():  # long words
-            for p, a, m in zip(place[more].tolist(), at[more].tolist(), n[more].tolist()):
-                out[p + k : p + m] = flat[a + k : a + m]
-            break
-        place, at, n = place[more], at[more], n[more]
-    return out, starts
+    rows = np.full(len(w.start) + w.n_texts, -1, dtype=np.int32)
+    rows[np.arange(len(w.start)) + w.text] = _rows(w, plain, e)
+    ids, starts = e.known.gather(rows)
+    return ids, starts[w.offsets + np.arange(len(w.offsets))]
 
 
 def ids_of(texts: list[str | None], model: str, end_id: int) -> list[bytes]:
@@ -270,10 +292,10 @@ def _ids_table(docs: DataFrame, text: str, doc_id: str, model: str, end_id: int)
         for b in batches:
             for at, to, raw, bounds in text_slices(b.column("t"), SLICE):
                 ids, starts = ids_of_slice(raw, bounds, model, end_id)
-                width = 2 if ids.max(initial=0) < 1 << 16 else 4
+                width = ids.itemsize
                 part = b.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("h"), pa.array(np.diff(starts)), pa.array(np.full(to - at, width, dtype=np.int32)), _binary(ids.astype(f"<u{width}").view(np.uint8), width * starts)],
+                    [part.column("doc_id"), part.column("h"), pa.array(np.diff(starts)), pa.array(np.full(to - at, width, dtype=np.int32)), _binary(ids.view(np.uint8), width * starts)],
                     ["doc_id", "h", "n_tokens", "width", "ids"],
                 )
 

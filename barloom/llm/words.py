@@ -94,14 +94,13 @@ class Words:
         out = copy(self)
         vars(out).pop("hash", None), vars(out).pop("_cum", None)
         out.raw = raw
-        last = np.zeros(len(raw), dtype=bool)
-        last[self.end - 1] = True
-        last[:-1] |= starts[1:]
-        first = starts.copy()
-        first[self.start] = True
-        last &= self.within(np.ones(len(self.start), dtype=bool))
-        out.start, out.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        out.offsets = np.searchsorted(out.start, np.append(self.start, len(raw)))[np.minimum(self.offsets, len(self.start))]
+        word = np.zeros(len(raw), dtype=bool)
+        word[self.start] = True
+        out.start = np.flatnonzero(starts | word)
+        first = np.append(np.flatnonzero(word[out.start]), len(out.start))  # of each word's pieces
+        out.end = np.append(out.start[1:], 0)
+        out.end[first[1:] - 1] = self.end
+        out.offsets = first[self.offsets]
         out.text = np.repeat(np.arange(self.n_texts), np.diff(out.offsets))
         return out
 
@@ -121,7 +120,7 @@ class Words:
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         cum = self._sums()
         shift = np.array([pow(_INVERSE, at, 2**64) for at in range(0, len(self.raw) + 1, _STEP)], dtype=np.uint64)
-        return mix((cum[end] - cum[start]) * _POWERS[1][start % _STEP] * shift[start // _STEP])
+        return mix((cum[end] - cum[start]) * _POWERS[1][start & (_STEP - 1)] * shift[start // _STEP])
 
 
 def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -145,13 +144,21 @@ def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, i
 
 
 class Lookup:
-    """Positions of 64-bit keys in a table of distinct keys; -1 for others."""
+    """Positions of 64-bit keys in a table of distinct keys; -1 for others. `room`: keys in all, with those added later."""
 
-    def __init__(self, keys: np.ndarray):
-        size = 1 << max(4, (2 * len(keys) + 1).bit_length())
+    def __init__(self, keys: np.ndarray, room: int = 0):
+        room = max(room, len(keys))
+        size = 1 << max(4, (2 * room + 1).bit_length())
         self.mask = np.uint64(size - 1)
-        self.slot, self.keys = np.full(size, -1, dtype=np.int32), np.asarray(keys, dtype=np.uint64)
-        left, at = np.arange(len(keys), dtype=np.int32), self.keys & self.mask
+        self.slot, self.keys, self.n = np.full(size, -1, dtype=np.int32), np.empty(room, dtype=np.uint64), 0
+        self.add(keys)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Further keys, none of them in the table."""
+        left = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.keys[self.n : self.n + len(keys)] = keys
+        self.n += len(keys)
+        at = self.keys[left] & self.mask
         while len(left):
             free = self.slot[at] < 0
             self.slot[at[free]] = left[free]
@@ -160,7 +167,7 @@ class Lookup:
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, dtype=np.int32)
-        if not len(self.keys):
+        if not self.n:
             return out
         rows, at = None, h & self.mask
         while len(at):

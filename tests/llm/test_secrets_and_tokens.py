@@ -205,3 +205,49 @@ def test_ids_of_long_and_repeated_pieces():
     got = tokens.ids_of(texts, model, 1)
     want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
     assert max(map(len, want)) > 40 and [list(memoryview(g).cast("I")) for g in got] == want
+
+
+def test_pieces_are_encoded_once(monkeypatch):
+    """Known pieces never go to the tokenizer again, and a table that is nearly full takes what it has room for."""
+    asked = []
+
+    class Watched:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode(self, text, **more):
+            asked.extend(text.split())
+            return self.tok.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(w for t in texts for w in t.split())
+            return self.tok.encode_batch_fast(texts, **more)
+
+    tokens._CACHED.clear()
+    monkeypatch.setattr(tokens, "CACHE", 4)
+    tokens.ids_of([""], MODEL, 1)
+    for e in tokens._CACHED.values():
+        e.tok = Watched(e.tok)
+    texts = ["alpha beta, alpha", "gamma delta epsilon beta"]
+    want = [[*TOK.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.ids_of(texts, MODEL, 1)] == want
+    tokens._CACHED.clear()
+    assert sorted(set(asked)) == sorted([",", "alpha", "beta", "delta", "epsilon", "gamma"]) and len(asked) == 6 + 2 * 2
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """Hashes that say nothing but the number of a piece's bytes: length and sum of bytes part the pieces, in a call and between calls."""
+    tokens._CACHED.clear()
+    monkeypatch.setattr(tokens.Words, "hash", property(lambda w: (w.end - w.start).astype(np.uint64)))
+    for texts in (["one two, six"], ["red six", "", "two. one!"], ["three seven eight one"]):
+        want = [[*TOK.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.ids_of(texts, MODEL, 1)] == want
+    tokens._CACHED.clear()
+
+
+def test_wide_ids():
+    """An end id beyond 16 bits."""
+    texts = ["alpha beta", None, "gamma"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.ids_of(texts, MODEL, 70_000)]
+    assert got == [[*TOK.encode(t or "", add_special_tokens=False).ids, 70_000] for t in texts]
