@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.words import _NOT_ALNUM, Words, text_slices
+from barloom.llm.words import _NOT_ALNUM, Words, released, text_slices
 from barloom.session import written
 
 WINDOW = 10
@@ -211,7 +211,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 done.destroy()
             sent = []
         sent.append(sc.broadcast(_Queries(block, window)))
-        out = out.mapInArrow(_pass(sent[-1]), schema)
+        out = out.mapInArrow(released(_pass(sent[-1])), schema)
     return out.drop("_t")
 
 
@@ -269,7 +269,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
         return run
 
     for block in [*benchmark_blocks(benchmark, item_id, item_text, window)] or [[]]:
-        found = rows.mapInArrow(run_with(sc.broadcast(_Queries(block, window))), f"item_id string, item_word bigint, length bigint, doc_id {kind}, doc_word bigint")
+        found = rows.mapInArrow(released(run_with(sc.broadcast(_Queries(block, window)))), f"item_id string, item_word bigint, length bigint, doc_id {kind}, doc_word bigint")
         out = found if out is None else out.union(found)
     return out
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import simhash
 from barloom.llm.components import components
-from barloom.llm.words import Words, text_slices
+from barloom.llm.words import Words, released, text_slices
 from barloom.session import discard, written
 
 SHINGLE, LEAST = 5, 0.8
@@ -63,7 +63,7 @@ def shingle_sets(rows: DataFrame, text: str, width: int = SHINGLE) -> DataFrame:
         for row, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([row, pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "_set"])
 
-    return wide.mapInArrow(run, f"row {wide.schema['row'].dataType.simpleString()}, _set binary").select("row.*", "_set")
+    return wide.mapInArrow(released(run), f"row {wide.schema['row'].dataType.simpleString()}, _set binary").select("row.*", "_set")
 
 
 def _shingles(h: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles common in a sample of the texts, sorted, and their counts: at most MOST_COMMON on the driver."""
     if n > SAMPLE:
         texts = texts.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
-    counts = texts.select("node", "_t").mapInArrow(_tokens, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
+    counts = texts.select("node", "_t").mapInArrow(released(_tokens), "token bigint").groupBy("token").agg(F.count("*").alias("n"))
     top = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON).toPandas()
     key, count = top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
     order = np.argsort(key)
@@ -161,8 +161,8 @@ def _meetings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], least: fl
             if len(t):
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(a), pa.array(x)], ["token", "lead", "node"])
 
-    rows = texts.select("node", "_t").mapInArrow(prefixes, "token bigint, node bigint")
-    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(leads, "token bigint, lead bigint, node bigint")
+    rows = texts.select("node", "_t").mapInArrow(released(prefixes), "token bigint, node bigint")
+    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(released(leads), "token bigint, lead bigint, node bigint")
 
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _bitmaps(texts: DataFrame) -> DataFrame:
                 bits.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, BITS), axis=0)).tobytes())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([len(s) for s in own], pa.int64()), pa.array(wide, pa.binary()), pa.array(bits, pa.binary())], ["node", "n", "wide", "bits"])
 
-    return texts.select("node", "_t").mapInArrow(run, "node bigint, n bigint, wide binary, bits binary")
+    return texts.select("node", "_t").mapInArrow(released(run), "node bigint, n bigint, wide binary, bits binary")
 
 
 def _may_be_similar(least: float):
@@ -290,7 +290,7 @@ def _apart(several: DataFrame, bitmaps: DataFrame, least: float, nearest: int |
     place = lambda i: F.struct((F.least(at, i) * F.col("k") + F.greatest(at, i)).cast("bigint").alias("g"), (at > i).cast("bigint").alias("side"))
     dealt = wide.select("token", "node", "root", "n", "bits", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), place)).alias("p"))
     dealt = dealt.select("token", F.col("p.g").alias("g"), "node", "root", "n", F.col("p.side").alias("side"), "bits")
-    met = dealt.repartition("token", "g").sortWithinPartitions("token", "g").mapInArrow(_compare(least, nearest), "a bigint, b bigint, need bigint, times bigint")
+    met = dealt.repartition("token", "g").sortWithinPartitions("token", "g").mapInArrow(released(_compare(least, nearest)), "a bigint, b bigint, need bigint, times bigint")
     return met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("a", "b")
 
 
@@ -323,12 +323,12 @@ def near_duplicates(marked: DataFrame, text: str, least: float = LEAST, block: i
 
     def verified(pairs: DataFrame) -> DataFrame:
         end = lambda e, n, x: bitmaps.select(F.col("node").alias(e), F.col("n").alias(n), F.col("wide").alias(x))
-        near = written(pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_be_similar(least), "a bigint, b bigint"))
+        near = written(pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(released(_may_be_similar(least)), "a bigint, b bigint"))
         wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = written(shingle_sets(texts.join(F.broadcast(wanted) if wanted.count() * 32 <= 8 << 20 else wanted, "node"), "_t"))
         side = lambda end, name: sets.select(F.col("node").alias(end), F.col("_set").alias(name))
         both = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-        out = written(both.mapInArrow(_similar(least), "a bigint, b bigint"))
+        out = written(both.mapInArrow(released(_similar(least)), "a bigint, b bigint"))
         discard(near), discard(wanted), discard(sets)
         return out
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
+from barloom.llm.words import released
 from barloom.session import written
 
 BITS = 64
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, text: str, width: int = 3, distinct: bool = Fa
             fps = [_fingerprint((t.as_py() or "").encode().lower().split(), width, distinct) for t in b.column("_t")]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["row", "_fp"])
 
-    return rows.mapInArrow(run, schema).select("row.*", "_fp")
+    return rows.mapInArrow(released(run), schema).select("row.*", "_fp")
 
 
 def _bit_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +72,7 @@ def _bit_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def correlated_groups(fps: DataFrame, parts: int) -> list[list[int]]:
     """Partitions of bits: each begins with the free bit most tied to others and takes those most correlated with it."""
-    table = fps.select("_fp").mapInArrow(_bit_table, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    table = fps.select("_fp").mapInArrow(released(_bit_table), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
     both = np.zeros((BITS, BITS))
     both[table["i"], table["j"]] = table["n"]
     total = max(1.0, float(fps.count()))
@@ -249,7 +250,7 @@ def links(fps: DataFrame, radius: int, plan: list[tuple[list[int], int]], block:
     pairs = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), pair))
     dealt = joined.select("slot", F.explode(pairs).alias("g"), "_fp", "own").select("slot", (2 * F.col("g") + F.col("own")).alias("tag"), "_fp")
     met = dealt.repartition("slot", F.shiftright("tag", 1)).sortWithinPartitions("slot", "tag")
-    return met.mapInArrow(_links(radius), "a long, b long")
+    return met.mapInArrow(released(_links(radius)), "a long, b long")
 
 
 def near_duplicates(fps: DataFrame, radius: int = 3) -> DataFrame:

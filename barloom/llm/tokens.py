@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.words import _IS_SPACE, _LOWER, Lookup, Words, text_slices
+from barloom.llm.words import _IS_SPACE, _LOWER, Lookup, Words, released, text_slices
 from barloom.session import shared_folder, written
 
 CACHE = 1 << 19
@@ -299,7 +299,7 @@ def _ids_table(docs: DataFrame, text: str, doc_id: str, model: str, end_id: int)
                     ["doc_id", "h", "n_tokens", "width", "ids"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, h bigint, n_tokens bigint, width int, ids binary")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, h bigint, n_tokens bigint, width int, ids binary")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +320,7 @@ def encode(docs: DataFrame, model_path: str, folder: str | None = None, text: st
     with open(model_path, encoding="utf-8") as f:  # on the driver; the definition travels with the tasks
         model = f.read()
     ids = written(_ids_table(docs, text, doc_id, model, end_id))
-    counts = ids.select("n_tokens", "width", "ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("n_tokens", "width", "ids").mapInArrow(released(_count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # at most one row a vocabulary entry
     spark.createDataFrame(counts.assign(rank=np.arange(len(counts)))[["rank", "id", "n"]], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     table = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, dtype=np.uint32)
@@ -337,7 +337,7 @@ def encode(docs: DataFrame, model_path: str, folder: str | None = None, text: st
                 ["doc_id", "h", "n_tokens", "control", "data"],
             )
 
-    coded = ids.mapInArrow(run, f"doc_id {kind}, h bigint, n_tokens bigint, control binary, data binary")
+    coded = ids.mapInArrow(released(run), f"doc_id {kind}, h bigint, n_tokens bigint, control binary, data binary")
     n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = coded.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     numbered = ordered.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
@@ -364,7 +364,7 @@ def decoded(spark: SparkSession, folder: str, of, schema: str) -> DataFrame:
             values = [of(found[a:e]) for a, e in zip(end - n, end)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "pos", "doc_id", "n_tokens")), pa.array(values, arrow)], ["part", "pos", "doc_id", "n_tokens", "value"])
 
-    return blocks.mapInArrow(run, f"part int, pos bigint, doc_id {kind}, n_tokens bigint, value {schema}")
+    return blocks.mapInArrow(released(run), f"part int, pos bigint, doc_id {kind}, n_tokens bigint, value {schema}")
 
 
 def crc(ids: np.ndarray) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import copy
 from functools import cached_property
 
@@ -143,6 +143,25 @@ def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, i
         at = to
 
 
+def released(run: Callable) -> Callable:
+    """The function of a mapInArrow, after which the worker's free memory goes back to the system: workers wait for further tasks
+    beside those that work, and would keep what their largest batch took. An empty batch comes last, as Spark holds the last one
+    and columns of it may hold all of the input's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for out in run(batches):
+            schema = out.schema
+            yield out
+        out = None
+        if schema is not None:
+            yield pa.RecordBatch.from_pylist([], schema)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return wrapped
+
+
 class Lookup:
     """Positions of 64-bit keys in a table of distinct keys; -1 for others. `room`: keys in all, with those added later."""
 

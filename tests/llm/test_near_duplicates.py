@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.llm import dedup, simhash
 from barloom.llm.components import components
 from barloom.llm.queries import QUERIES
+from barloom.llm.words import released
 from barloom.session import written
 
 SF = "/root/testdata/sf0.001"
@@ -248,3 +250,25 @@ def test_short_texts_against_all_pairs(make):
     want, linked = alike_groups(texts)
     assert linked > 100
     assert sorted(r.doc_id for r in dedup.drop_near_duplicates(make([(i, t, "a") for i, t in enumerate(texts)])).collect()) == want
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    """What a task's function held is free when the pools are told to release it, also what the last batch was cut from."""
+    held = []
+
+    class Pool:
+        def release_unused(self):
+            held.append(pa.total_allocated_bytes())
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch({"x": pa.array(np.zeros(1 << 20)).take(pa.array(np.arange(1 << 20)))}).slice(0, b.num_rows)
+
+    before = pa.total_allocated_bytes()
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(pa, "system_memory_pool", Pool)
+    rows = 0
+    for out in released(run)(pa.record_batch({"x": [1.0, 2.0]}) for _ in range(3)):
+        rows += out.num_rows
+    assert rows == 6 and len(held) == 2 and max(held) < before + (1 << 20)
+    assert list(released(run)(iter([]))) == []
