@@ -16,6 +16,8 @@ never have their sets fetched. One bounded round (the NEAREST of each node) goes
 bound, has few pairs left. A pair is tested by size and a bitmap of shingles, whose differing bits bound the difference of the
 sets from below, and only then by the sets. Shingles of more than BLOCK nodes are cut into blocks, and every two blocks are
 compared in a task of their own.
+
+Texts are never shuffled: which rows are wanted travels as one bit a row (`_only`), to where the texts lie.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ SHARED = 4  # first shingles that two alike sets share at least, where they have
 PAIRS = 1 << 18  # pairs of a task that are counted at a time
 SAMPLE, COMMON, MOST_COMMON = 8_000, 4, 200_000  # documents counted for the order; their count from which a shingle is common
 BITS = 512
+BROADCAST = 32 << 20  # bytes of row bits, at 32 for 64 rows, up to which they are broadcast
 SLACK = 1e-9  # bounds are rounded towards more candidates
 
 
@@ -91,7 +94,19 @@ def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """A written table of every row: doc, id, node (hash of the text) and a row number."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(doc_id).alias("id"), F.xxhash64(body, F.length(body)).alias("node"))
-    return written(rows.withColumn("row", F.monotonically_increasing_id()))
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "zstd")
+
+
+def _row_bits(rows: DataFrame) -> DataFrame:
+    """A written table of row numbers, 64 neighbours in one: (_word, _bits)."""
+    bits = F.expr("bit_or(shiftleft(1L, cast(row & 63 as int)))")
+    return written(rows.groupBy(F.shiftright("row", 6).alias("_word")).agg(bits.alias("_bits")))
+
+
+def _only(marked: DataFrame, bits: DataFrame) -> DataFrame:
+    """The `_marked` rows whose numbers are in a table of `_row_bits`."""
+    few = F.broadcast(bits) if bits.count() * 32 <= BROADCAST else bits
+    return marked.join(few, F.shiftright("row", 6) == F.col("_word")).filter("bit_get(_bits, cast(row & 63 as int)) = 1").select(*marked.columns)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,18 +329,19 @@ def fingerprint_groups(texts: DataFrame, text: str, radius: int = RADIUS) -> Dat
 
 def near_duplicates(marked: DataFrame, text: str, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(node, root, best) of the distinct texts of `_marked` rows: best is the row that would stand for the text."""
-    nodes = written(marked.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("best")))
-    several = nodes.filter("copies > 1").select("node", F.col("best.row").alias("first"))
-    spare = written(marked.select("node", "row").join(several, "node").filter("row <> first").select("row"))
-    texts = marked.join(F.broadcast(spare) if spare.count() * 32 <= 8 << 20 else spare, "row", "left_anti").select("node", F.col(f"doc.{text}").alias("_t"))
+    nodes = written(marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("best")))
+    row_of = nodes.select("node", F.col("best.row").alias("row"))
+    body = lambda bits: _only(marked, bits).select("node", F.col(f"doc.{text}").alias("_t"))
+    distinct = _row_bits(row_of)
+    texts = body(distinct)
     met = written(_meetings(texts, _common(texts, nodes.count()), least))
     bitmaps = written(_bitmaps(texts))
 
     def verified(pairs: DataFrame) -> DataFrame:
         end = lambda e, n, x: bitmaps.select(F.col("node").alias(e), F.col("n").alias(n), F.col("wide").alias(x))
         near = written(pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(released(_may_be_similar(least)), "a bigint, b bigint"))
-        wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        sets = written(shingle_sets(texts.join(F.broadcast(wanted) if wanted.count() * 32 <= 8 << 20 else wanted, "node"), "_t"))
+        wanted = _row_bits(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(row_of, "node"))
+        sets = written(shingle_sets(body(wanted), "_t"))
         side = lambda end, name: sets.select(F.col("node").alias(end), F.col("_set").alias(name))
         both = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
         out = written(both.mapInArrow(released(_similar(least)), "a bigint, b bigint"))
@@ -352,7 +368,7 @@ def near_duplicates(marked: DataFrame, text: str, least: float = LEAST, block: i
         links, old = verified(pairs), roots
         roots = joined(links.union(old.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         discard(pairs), discard(links), discard(old)
-    discard(met), discard(bitmaps), discard(spare)
+    discard(met), discard(bitmaps), discard(distinct)
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
 
 
@@ -360,4 +376,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """One document of each group, with its own columns: that of least id, nulls last, the first of equal ids."""
     marked = _marked(docs, text, doc_id)
     best = near_duplicates(marked, text, least).groupBy("root").agg(F.min("best").alias("best"))
-    return marked.join(written(best.select(F.col("best.row").alias("row"))), "row").select("doc.*")
+    return _only(marked, _row_bits(best.select(F.col("best.row").alias("row")))).select("doc.*")

@@ -48,11 +48,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, which outlives lost executors."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, which outlives lost executors; `codec`: other than Spark's own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barloom-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path
     return out

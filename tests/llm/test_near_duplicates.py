@@ -252,6 +252,27 @@ def test_short_texts_against_all_pairs(make):
     assert sorted(r.doc_id for r in dedup.drop_near_duplicates(make([(i, t, "a") for i, t in enumerate(texts)])).collect()) == want
 
 
+def test_texts_stay_where_they_lie(spark, make, monkeypatch):
+    """No join shuffles the texts however many rows are kept, and where their bits are too many to broadcast the rows are the same."""
+    docs = make([(i, f"one two three four five t{i % 150} u{i % 150} v{i % 150}", "a") for i in range(400)]).repartition(3)
+    marked = dedup._marked(docs, "text", "doc_id")
+    assert marked.agg(F.max("row")).first()[0] > 1 << 33
+    some = [r.row for r in marked.select("row").collect()][::7]
+    monkeypatch.setattr(dedup, "_marked", lambda *_: marked)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, shuffled in ((dedup.BROADCAST, False), (0, True)):
+            monkeypatch.setattr(dedup, "BROADCAST", most)
+            got = dedup._only(marked, dedup._row_bits(spark.createDataFrame([(x,) for x in some], "row long")))
+            assert got.columns == marked.columns and sorted(r.row for r in got.select("row").collect()) == sorted(some)
+            kept = dedup.drop_near_duplicates(docs)
+            assert ("Exchange hashpartitioning" in kept._jdf.queryExecution().executedPlan().toString()) == shuffled
+            assert sorted(r.doc_id for r in kept.collect()) == list(range(150))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_task_gives_its_memory_back(monkeypatch):
     """What a task's function held is free when the pools are told to release it, also what the last batch was cut from."""
     held = []
