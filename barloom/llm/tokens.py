@@ -8,6 +8,9 @@ Format, version 1. `encode` writes two Parquet tables below one folder:
   two bits, four ranks a byte, the first in the lowest bits. Trailing bits are zero.
 * `ranks`: (rank, id, n), one row an id that occurs; at most one a vocabulary entry, so it travels by broadcast.
 
+Parquet's codec for blocks is zstd, as it is for the ids in between, which are removed once the blocks are there: bytes of ranks and
+ids repeat too little for snappy.
+
 The tokenizer drops white space and never looks across it, so a text's ids are those of its words in order, and of the
 runs of letters and of signs in a word; a process keeps the ids of those it has met, up to CACHE, by 64-bit hash, length and sum
 of bytes. Documents of equal id are ordered by a hash of their text; null ids
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.words import _IS_SPACE, _LOWER, Lookup, Words, released, text_slices
-from barloom.session import shared_folder, written
+from barloom.session import discard, shared_folder, written
 
 CACHE = 1 << 19
 BATCH = 20_000
@@ -319,7 +322,7 @@ def encode(docs: DataFrame, model_path: str, folder: str | None = None, text: st
     folder = folder or f"{shared_folder(spark)}/barloom-tokens/{uuid.uuid4().hex}"
     with open(model_path, encoding="utf-8") as f:  # on the driver; the definition travels with the tasks
         model = f.read()
-    ids = written(_ids_table(docs, text, doc_id, model, end_id))
+    ids = written(_ids_table(docs, text, doc_id, model, end_id), "zstd")
     counts = ids.select("n_tokens", "width", "ids").mapInArrow(released(_count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])  # at most one row a vocabulary entry
     spark.createDataFrame(counts.assign(rank=np.arange(len(counts)))[["rank", "id", "n"]], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{folder}/ranks")
@@ -341,7 +344,8 @@ def encode(docs: DataFrame, model_path: str, folder: str | None = None, text: st
     n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = coded.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     numbered = ordered.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    numbered.select("part", "pos", "doc_id", "n_tokens", "control", "data").write.parquet(f"{folder}/blocks")
+    numbered.select("part", "pos", "doc_id", "n_tokens", "control", "data").write.parquet(f"{folder}/blocks", compression="zstd")
+    discard(ids)
     return folder
 
 

@@ -153,6 +153,25 @@ def test_token_files_of_odd_rows(spark, make, odd):
     assert tokens.digests(spark, tokens.encode(docs.limit(0), vocabulary())).count() == 0
 
 
+def test_token_files_are_all_that_stays_and_are_compressed(spark):
+    """The ids in between go, and the blocks take fewer bytes than the ranks in them."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from barloom.session import shared_folder
+
+    shared_folder(spark)  # names the folder of later calls
+    tables = Path(shared_folder(spark).removeprefix("file:")) / "barloom-tables"
+    there = lambda: {p.name for p in tables.glob("*")}
+    before = there()
+    folder = tokens.encode(spark.read.parquet(f"{SF}/documents.parquet"), vocabulary(), files=2)
+    assert there() == before
+    data = [pq.ParquetFile(p).metadata for p in Path(folder.removeprefix("file:")).glob("blocks/*.parquet")]
+    data = [m.row_group(g).column(c) for m in data for g in range(m.num_row_groups) for c in range(m.num_columns) if m.schema.column(c).name == "data"]
+    assert {c.compression for c in data} == {"ZSTD"} and sum(c.total_compressed_size for c in data) < 0.9 * sum(c.total_uncompressed_size for c in data)
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input: what goes, what stays, and the columns."""
     from barloom.session import written
