@@ -17,7 +17,8 @@ bound, has few pairs left. A pair is tested by size and a bitmap of shingles, wh
 sets from below, and only then by the sets. Shingles of more than BLOCK nodes are cut into blocks, and every two blocks are
 compared in a task of their own.
 
-Texts are never shuffled: which rows are wanted travels as one bit a row (`_only`), to where the texts lie.
+Texts are not shuffled: which rows are wanted travels as one bit a row (`_only`) to where the texts lie, unless the bits take more
+than BROADCAST bytes.
 """
 
 from __future__ import annotations
